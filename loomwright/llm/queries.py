@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["decontaminate", "bpe"]
+_MODULES = ["decontaminate", "bpe", "fertility"]
 
 
 def _modules():
