@@ -77,8 +77,8 @@ class Sets:
         self.cls = np.where(self.size > 0, core.mix(c[self.bounds[1:]] - c[self.bounds[:-1]] + self.size.astype(U)), U(0))
 
 
-def rarity(docs, k: int, bits: int) -> np.ndarray:
-    """A level per counter: the corpus's document frequency, to an eighth of a power of two."""
+def rarity(docs, make, bits: int) -> np.ndarray:
+    """A level per counter: how many sets hold its tokens, to an eighth of a power of two; make(bytes, offsets) gives the sets."""
     spark = docs.sparkSession
     width = (1 << bits) // SLICES
 
@@ -86,7 +86,7 @@ def rarity(docs, k: int, bits: int) -> np.ndarray:
         total = np.zeros(1 << bits, np.uint32)
         some = False
         for _, buf, off in core.chunks(batches):
-            t = (Sets(buf, off, k).tokens >> U(64 - bits)).astype(np.int64)
+            t = (make(buf, off).tokens >> U(64 - bits)).astype(np.int64)
             t.sort()
             run = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else t
             total[t[run]] += np.diff(np.append(run, len(t))).astype(np.uint32)
@@ -311,7 +311,7 @@ def pairs(parts, percent, frequent, what):
     return each
 
 
-def combine(parts, k, percent, level_b):
+def combine(parts, sets_in, percent, level_b):
     """Frequent shingles of a pack: postings of the combinations of two in each class's prefix."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -320,8 +320,7 @@ def combine(parts, k, percent, level_b):
             hot = np.unique(np.concatenate([np.frombuffer(_unzip(b)[0], U) for b in right.column("block").to_pylist()]))
             pack = left.column("pack")[0].as_py()
             bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
-            for buf, off in _texts(bodies[:1]):
-                s = Sets(buf, off, k)
+            for s in sets_in(bodies[:1]):
                 doc, pos, token = prefixes(s, level_b.value, percent)
                 f = core.member(token, hot)
                 doc, pos, token = doc[f], pos[f], token[f]
@@ -377,7 +376,7 @@ def gather(parts):
     return each
 
 
-def send(k):
+def send(sets_in):
     """The sets that homes asked a pack for, once per part of homes."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -388,12 +387,15 @@ def send(k):
         if wanted:
             pack = left.column("pack")[0].as_py()
             bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
-            sets = [Sets(buf, off, k) for buf, off in _texts(bodies[:1])]
+            sets = list(sets_in(bodies[:1]))
             for p, asked in wanted.items():
                 asked = np.unique(np.concatenate(asked))
                 cls, size, tokens = [], [], []
                 for s in sets:
                     d = np.flatnonzero(core.member(s.cls, asked))
+                    d = d[np.unique(s.cls[d], return_index=True)[1]]
+                    asked_here = ~np.isin(s.cls[d], np.concatenate(cls)) if cls else np.ones(len(d), bool)
+                    d = d[asked_here]
                     cls.append(s.cls[d]), size.append(s.size[d]), tokens.append(s.tokens[core.ragged(s.bounds[d], s.size[d])])
                 cls = np.concatenate(cls)
                 if len(cls) != len(asked):
@@ -495,6 +497,18 @@ def components(edges):
             return edges.select(F.col("b").alias("cls"), F.col("a").alias("root"))
 
 
+def linked(packed, parts, sets_in, level, percent, frequent):
+    """Links (a, b, forest) between the classes of packs; ``sets_in`` reads the sets of a pack's texts."""
+    table, by_part = "pack binary, part int, block binary", "part int, pack binary, block binary"
+    apart = packed.mapInArrow(lambda it: it, table)
+    first = core.save(apart.where("part >= 0").groupBy("part").applyInArrow(pairs(parts, percent, frequent, "rare"), by_part))
+    combos = packed.groupBy("pack").cogroup(first.where("part = -1").groupBy("pack")).applyInArrow(combine(parts, sets_in, percent, level), by_part)
+    second = combos.groupBy("part").applyInArrow(pairs(parts, percent, frequent, "all"), by_part)
+    homes = core.save(first.where("part >= 0").unionByName(second).groupBy("part").applyInArrow(gather(parts), by_part))
+    sets = packed.groupBy("pack").cogroup(homes.where("part < 0").groupBy("pack")).applyInArrow(send(sets_in), by_part)
+    return core.save(homes.where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(verify(percent), "a long, b long, forest boolean"))
+
+
 def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
     """(members, per class: size, least doc_id, similar documents of other classes, component root)."""
     from pyspark.sql import functions as F
@@ -502,17 +516,10 @@ def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int
     spark = docs.sparkSession
     parts = core.partitions(spark)
     docs = core.docs_of(docs)
-    level = spark.sparkContext.broadcast(rarity(docs, k, bits))
-    table, by_part = "pack binary, part int, block binary", "part int, pack binary, block binary"
-    packed = docs.mapInArrow(packs(parts, k, percent, level), table).repartition(parts, "pack")
-    apart = packed.mapInArrow(lambda it: it, table)
-    first = core.save(apart.where("part >= 0").groupBy("part").applyInArrow(pairs(parts, percent, frequent, "rare"), by_part))
-    combos = packed.groupBy("pack").cogroup(first.where("part = -1").groupBy("pack")).applyInArrow(combine(parts, k, percent, level), by_part)
-    second = combos.groupBy("part").applyInArrow(pairs(parts, percent, frequent, "all"), by_part)
-    homes = core.save(first.where("part >= 0").unionByName(second).groupBy("part").applyInArrow(gather(parts), by_part))
-    sets = packed.groupBy("pack").cogroup(homes.where("part < 0").groupBy("pack")).applyInArrow(send(k), by_part)
-    links = core.save(homes.where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(verify(percent), "a long, b long, forest boolean"))
-    who = core.save(members(apart))
+    level = spark.sparkContext.broadcast(rarity(docs, lambda buf, off: Sets(buf, off, k), bits))
+    packed = docs.mapInArrow(packs(parts, k, percent, level), "pack binary, part int, block binary").repartition(parts, "pack")
+    links = linked(packed, parts, lambda blocks: (Sets(buf, off, k) for buf, off in _texts(blocks)), level, percent, frequent)
+    who = core.save(members(packed))
     per = who.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     similar = ends.join(per.select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
