@@ -4,10 +4,11 @@ Fitting, on labelled rows only where crc32(doc_id as text) mod ``folds`` is
 not ``held_out``:
 
 1. Examples: at most ``examples`` labelled documents, those of least hashed
-   doc_id (the documented bound; ``examples`` = 20,000).
-2. Terms: words whose presence tells the two labels apart (chi-squared at
-   least ``chi2`` and present in at least ``min_df`` examples), at most
-   ``terms`` of the strongest.
+   doc_id (the documented bound; ``examples`` = 10,000).
+2. Terms: words, beginnings of words, and either occurring at least 2, 3 or 5
+   times, whose presence tells the two labels apart (chi-squared at least
+   ``chi2`` and present in at least ``min_df`` examples), at most ``terms`` of
+   the strongest.
 3. Document frequencies of the terms over *all* documents, by one scan.
 4. The inverted index: postings of (example, weight) per term, examples in
    blocks, and per term and block the largest weight.
@@ -44,20 +45,53 @@ LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
-def words(buf, off):
-    """(hashes, bounds) of the lower-cased runs of letters."""
-    buf = core.LOWER[buf]
-    starts, ends = core.spans(buf, off, LETTER)
-    return core.hashes(buf, starts, ends), core.per_doc(off, starts)
+PREFIXES = (3, 4, 5, 6, 7)
+#: A term that occurs often is a term of its own at each of these counts, so that one stray word isn't a flood.
+OFTEN = (2, 3, 5)
 
 
-def counts(h, bounds, vocabulary):
-    """(document, term number, count) of the words in the sorted ``vocabulary``, by document and term."""
-    at = np.flatnonzero(core.member(h, vocabulary))
-    doc = np.searchsorted(bounds, at, "right") - 1
-    key = (doc.astype(U) << U(32)) | np.searchsorted(vocabulary, h[at]).astype(U)
-    key, n = np.unique(key, return_counts=True)
-    return (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64), n
+def features(buf, off):
+    """(hashes, documents) of the lower-cased words and of their beginnings of 3 to 7 characters."""
+    buf = core.LOWER[buf]
+    starts, ends = core.spans(buf, off, LETTER)
+    doc = core.word_docs(core.per_doc(off, starts), len(starts))
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    first = np.searchsorted(lead, starts)
+    lead = np.append(lead, np.full(max(PREFIXES), len(buf)))
+    all_s, all_e, all_d, salt = [starts], [ends], [doc], [np.zeros(len(starts), U)]
+    for k in PREFIXES:
+        e = lead[first + k]
+        long = e < ends
+        all_s.append(starts[long]), all_e.append(e[long]), all_d.append(doc[long]), salt.append(np.full(int(long.sum()), k, U))
+    return core.mix(core.hashes(buf, np.concatenate(all_s), np.concatenate(all_e)) + np.concatenate(salt)), np.concatenate(all_d)
+
+
+def grouped(h, doc):
+    """(document, feature, count) of the features, by document, with a feature for each count in ``OFTEN`` reached."""
+    o = np.lexsort((h, doc))
+    h, doc = h[o], doc[o]
+    run = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
+    n = np.diff(np.append(run, len(h)))
+    h, doc = h[run], doc[run]
+    parts = [(doc, h, n)]
+    for k in OFTEN:
+        m = n >= k
+        parts.append((doc[m], core.mix(h[m] + U(1000 + k)), np.ones(int(m.sum()), np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def counts(buf, off, base, vocabulary):
+    """(document, term number, count) of a chunk's features in the sorted ``vocabulary``, by document and term.
+
+    base: the sorted features whose counts matter; others are skipped at once.
+    """
+    h, doc = features(buf, off)
+    m = core.member(h, base)
+    doc, h, n = grouped(h[m], doc[m])
+    m = core.member(h, vocabulary)
+    doc, term, n = doc[m], np.searchsorted(vocabulary, h[m]), n[m]
+    o = np.lexsort((term, doc))
+    return doc[o], term[o], n[o]
 
 
 class Index:
@@ -138,8 +172,8 @@ def isotonic(x: np.ndarray, y: np.ndarray):
 class Model:
     """Terms, their idf, the index and the calibration."""
 
-    def __init__(self, vocabulary, idf, index, k):
-        self.vocabulary, self.idf, self.index, self.k = vocabulary, idf, index, k
+    def __init__(self, base, vocabulary, idf, index, k):
+        self.base, self.vocabulary, self.idf, self.index, self.k = base, vocabulary, idf, index, k
         self.steps = (np.zeros(0), np.zeros(0))
         self.known: dict = {}
 
@@ -153,8 +187,7 @@ class Model:
         return float(y[min(int(np.searchsorted(x, vote)), len(y) - 1)]) if len(y) else 0.0
 
     def scores(self, buf, off) -> np.ndarray:
-        h, bounds = words(buf, off)
-        doc, term, n = counts(h, bounds, self.vocabulary)
+        doc, term, n = counts(buf, off, self.base, self.vocabulary)
         cuts = np.searchsorted(doc, np.arange(len(off)))
         out = np.empty(len(off) - 1)
         for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
@@ -171,7 +204,7 @@ def held(doc_id, folds: int, part: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == part
 
 
-def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, examples: int = 20_000, terms: int = 2_000, chi2: float = 30.0, min_df: int = 5, k: int = 15) -> Model:
+def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, examples: int = 10_000, terms: int = 1_000, chi2: float = 30.0, min_df: int = 5, k: int = 25) -> Model:
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
@@ -182,38 +215,46 @@ def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, e
     # Of rows that repeat a doc_id, the least text is the example.
     rows = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
-    def present(batches):
-        for batch, buf, off in core.chunks(batches):
-            h, bounds = words(buf, off)
-            doc = core.word_docs(bounds, len(h))
-            at = np.concatenate((h[:, None], doc[:, None].astype(U)), axis=1) if len(h) else np.zeros((0, 2), U)
-            o = np.lexsort((at[:, 0], at[:, 1]))
-            h, doc = h[o], doc[o]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, bool)
-            run = np.flatnonzero(new)
-            n = np.diff(np.append(run, len(h)))
-            b = np.searchsorted(doc[run], np.arange(batch.num_rows + 1))
-            lists = lambda x, t: pa.LargeListArray.from_arrays(pa.array(b, pa.int64()), pa.array(x, t)).cast(pa.list_(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists(h[run].view(np.int64), pa.int64()), lists(n.astype(np.int32), pa.int32())], names=["doc_id", "y", "h", "n"])
-
-    ex = core.save(rows.select("doc_id", "text", "y").mapInArrow(present, "doc_id long, y int, h array<long>, n array<int>"), spark)
+    ex = core.save(rows.select("doc_id", "text", "y"), spark)
     n_all, n_bad = ex.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("double")), F.lit(0.0))).first()
+    none = np.zeros(0, np.int64)
     if not n_all:
-        return Model(np.zeros(0, U), np.zeros(0), Index(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0, 0, np.zeros(0)), k)
-    by_term = ex.select("y", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").cast("double").alias("df"), F.sum(F.col("y").cast("double")).alias("bad")).where(F.col("df") >= min_df)
+        return Model(none.view(U), none.view(U), np.zeros(0), Index(none, none, np.zeros(0), 0, 0, np.zeros(0)), k)
+
+    def present(batches):
+        for batch, buf, off in core.chunks(batches):
+            doc, h, _ = grouped(*features(buf, off))
+            y = np.array(batch.column(2).to_pylist(), np.int64)
+            o, run = core.groups(h)
+            df = np.diff(np.append(run, len(h)))
+            bad = np.add.reduceat(y[doc[o]], run) if len(run) else run
+            yield pa.RecordBatch.from_arrays([pa.array(h[o[run]].view(np.int64)), pa.array(df.astype(np.float64)), pa.array(bad.astype(np.float64))], names=["h", "df", "bad"])
+
+    by_term = ex.mapInArrow(present, "h long, df double, bad double").groupBy("h").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad")).where(F.col("df") >= min_df)
     a, b, n, m = F.col("bad"), F.col("df") - F.col("bad"), F.lit(float(n_all)), F.lit(float(n_bad))
     x2 = n * F.pow(a * (n - m - b) - b * (m - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * m * (n - m))
     best = by_term.where((F.col("df") < n) & (m > 0) & (m < n)).withColumn("x2", F.round(x2, 6)).where(F.col("x2") >= chi2).orderBy(F.desc("x2"), "h").limit(terms)
     vocabulary = np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(U))
-    # Document frequencies over the whole corpus.
-    cast = spark.sparkContext.broadcast(vocabulary)
+    cast_v = spark.sparkContext.broadcast(vocabulary)
+
+    def needed(batches):
+        """Features of the examples that are terms, or whose counts are."""
+        for _, buf, off in core.chunks(batches):
+            h = np.unique(features(buf, off)[0])
+            m = core.member(h, cast_v.value)
+            for c in OFTEN:
+                m |= core.member(core.mix(h + U(1000 + c)), cast_v.value)
+            yield pa.RecordBatch.from_arrays([pa.array(h[m].view(np.int64))], names=["h"])
 
+    base = np.sort(np.array([r.h for r in ex.mapInArrow(needed, "h long").distinct().collect()], np.int64).view(U))
+    cast = spark.sparkContext.broadcast((base, vocabulary))
+
+    # Document frequencies over the whole corpus.
     def df(batches):
-        total, docs_ = np.zeros(len(cast.value), np.int64), 0
+        total, docs_ = np.zeros(len(cast.value[1]), np.int64), 0
         for batch, buf, off in core.chunks(batches):
-            h, bounds = words(buf, off)
-            _, term, _ = counts(h, bounds, cast.value)
-            total += np.bincount(term, minlength=len(total)) if len(total) else 0
+            _, term, _ = counts(buf, off, *cast.value)
+            total += np.bincount(term, minlength=len(total))
             docs_ += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.concatenate(([docs_], total)))], names=["term", "n"])
 
@@ -227,7 +268,7 @@ def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, e
     term = np.concatenate([np.array(r[2], np.int64) for r in got]) if got else np.zeros(0, np.int64)
     count = np.concatenate([np.array(r[3], np.float64) for r in got]) if got else np.zeros(0)
     index = Index(doc, term, (1 + np.log(count)) * idf[term], len(got), len(vocabulary), y)
-    model = Model(vocabulary, idf, index, k)
+    model = Model(base, vocabulary, idf, index, k)
     # Calibration: every example by the others.
     place = np.empty(len(got), np.int64)
     place[index.original] = np.arange(len(got))
@@ -241,16 +282,11 @@ def _vectors(ex, cast):
     """(doc_id, label, terms, counts) of the examples, restricted to the chosen terms."""
 
     def run(batches):
-        v = cast.value
-        for batch in batches:
-            out = ([], [])
-            for h, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                h, n = np.array(h, np.int64).view(U), np.array(n, np.int32)
-                m = core.member(h, v)
-                t = np.searchsorted(v, h[m]).astype(np.int32)
-                o = np.argsort(t)
-                out[0].append(t[o]), out[1].append(n[m][o])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.list_(pa.int32())), pa.array(out[1], pa.list_(pa.int32()))], names=["doc_id", "y", "t", "n"])
+        for batch, buf, off in core.chunks(batches):
+            doc, term, n = counts(buf, off, *cast.value)
+            at = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "y", "t", "n"])
 
     return [(r.doc_id, r.y, r.t, r.n) for r in ex.mapInArrow(run, "doc_id long, y int, t array<int>, n array<int>").collect()]
 
@@ -274,8 +310,7 @@ def evidence(docs, model: Model):
     def run(batches):
         m = cast.value
         for batch, buf, off in core.chunks(batches):
-            h, bounds = words(buf, off)
-            doc, term, n = counts(h, bounds, m.vocabulary)
+            doc, term, n = counts(buf, off, m.base, m.vocabulary)
             cuts = np.searchsorted(doc, np.arange(len(off)))
             near = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
