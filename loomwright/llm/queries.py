@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["warc", "decontaminate", "bpe", "fertility", "lines", "substrings", "ngram_join", "compaction", "toxicity"]
+_MODULES = ["warc", "decontaminate", "bpe", "fertility", "lines", "pii", "substrings", "ngram_join", "compaction", "toxicity"]
 
 
 def _modules():
