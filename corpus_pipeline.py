@@ -1,13 +1,56 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: from raw documents to token digests, in five stages.
+
+Each stage works on all that its predecessor kept, and is written as Parquet
+before the next one reads it.  Toxic documents go; lines that match an earlier
+line go, and documents that consist of such lines; of each group of similar
+documents one stays; documents with windows of two or more benchmark items go;
+what is left is encoded and decoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from loomwright.llm import bpe, core, decontaminate, lines, ngram_join, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def toxicity_stage(spark, docs, sf_dir):
+    docs = docs.select(*COLUMNS)
+    return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_stage(spark, docs, sf_dir):
+    return lines.clean(docs.select(*COLUMNS))
+
+
+def ngram_stage(spark, docs, sf_dir):
+    return ngram_join.clean(docs.select(*COLUMNS))
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def token_stage(spark, docs, sf_dir):
+    return bpe.digests(docs, core.tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", ngram_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("byte-level BPE", token_stage),
+]
+
+#: Nearest labelled examples and a fitted calibration aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = core.save(docs)
     return docs
