@@ -1,15 +1,469 @@
-"""The registered queries of the engine's own operators, and their SQL."""
+"""The registered queries of the engine's own operators on the test tables, each with its SQL.
+
+Every query runs over whole tables.  Limits stand only where a top-k report is
+the feature.  ``source`` plays the entity of a document, the star schema the
+entity graph and its dated entries, ``events`` the operations log.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import graph as G
+from .operators import knowledge as K
+from .rules import Rules
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+SEARCH = "the ontion that"
+KEYWORDS = (("Energy", "ontion", 0.9), ("Energy", "tion", 0.35), ("Transport", "heit", 0.6), ("Finance", "ción", 0.5), ("Health", "ement", 0.45), ("Retail", "keit", 0.2))
+RULES = Rules(number_units=r"\d+\.?\d*\s*(%|GB|TB|nm|mm)", entity_words=r"(Inc|Corp|Ltd|University|example)", action_words=("licensed", "password", "token"), noise=(r"^(about|contact|menu)", r"(all rights reserved|privacy policy)", r"^[-_=*#]{10,}$"))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf_search_topk(spark, sf_dir)
+
+
+_TOK = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+_TF = f"tok AS (SELECT doc_id AS doc, lower(unnest({_TOK})) AS token FROM documents), tf AS (SELECT doc, token, count(*) AS n FROM tok GROUP BY 1, 2), tot AS (SELECT doc, sum(n) AS total FROM tf GROUP BY 1)"
+
+
+# ---- search and terms
+
+
+@query(f"""WITH {_TF}, nn AS (SELECT count(*) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT token, count(*) / 3.0 AS f FROM (SELECT unnest(['the', 'ontion', 'that']) AS token) GROUP BY 1),
+idf AS (SELECT token, ln((n + 1) / (df + 1)) + 1 AS idf FROM df, nn), v AS (SELECT token, f * idf AS q FROM q JOIN idf USING (token)),
+w AS (SELECT doc, token, CAST(tf.n AS DOUBLE) / total * idf AS w FROM tf JOIN tot USING (doc) JOIN idf USING (token)),
+d AS (SELECT doc, sum(w * q) AS dot FROM w JOIN v USING (token) GROUP BY 1), nr AS (SELECT doc, sqrt(sum(w * w)) AS dn FROM w GROUP BY 1)
+SELECT doc, round(dot / (dn * (SELECT sqrt(sum(q * q)) FROM v)), 4) AS score FROM d JOIN nr USING (doc) ORDER BY round(dot / (dn * (SELECT sqrt(sum(q * q)) FROM v)), 9) DESC, doc LIMIT 20""")
+def tfidf_search_topk(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    postings, df = K.index(docs)
+    return K.search(postings, df, SEARCH, 20)
+
+
+@query(f"""WITH {_TF} SELECT doc, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS max_tf FROM tf GROUP BY 1""")
+def doc_term_stats(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    each = docs.select("doc", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    return each.groupBy("doc").agg(F.count("*").alias("n_terms"), F.sum("n").alias("n_tokens"), F.max("n").alias("max_tf"))
+
+
+@query(f"""WITH {_TF} SELECT token, count(*) AS df FROM tf GROUP BY 1 ORDER BY df DESC, token LIMIT 100""")
+def doc_freq_top(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return docs.select("doc", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(100)
+
+
+@query("""WITH p AS (SELECT doc_id AS doc, source AS entity, lower(text) AS low, lower(source) AS e, lower(lang) AS t FROM documents),
+s AS (SELECT doc, entity, (CASE WHEN length(e) > 0 AND contains('news of src3 about ontion', e) THEN 20 ELSE 0 END) + (CASE WHEN contains(e, 'src3') OR contains(e, 'ontion') THEN 15 ELSE 0 END)
+ + (CASE WHEN contains(t, 'src3') OR contains(t, 'ontion') THEN 10 ELSE 0 END) + 5.0 * (CAST(contains(low, 'src3') AS INT) + CAST(contains(low, 'ontion') AS INT)) / 2 AS score FROM p)
+SELECT doc, entity, CAST(score AS DOUBLE) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc LIMIT 25""")
+def heuristic_page_search(spark, sf_dir):
+    pages = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("entity"), F.col("lang").alias("title"), F.col("text").alias("content"))
+    return K.heuristic_search(pages, "news of src3 about ontion", ["src3", "ontion"], 25)
+
+
+@query(None)
+def snippet_densest_window(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return K.snippet(docs, ["ontion", "thhe"])
+
+
+# ---- filters and quality
+
+
+@query(r"SELECT doc_id, lang FROM documents WHERE contains(text, chr(65533)) OR regexp_matches(text, '[À-ÿ]{4,}')")
+def mojibake_docs(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where(T.mojibake(F.col("text"))).select("doc_id", "lang")
+
+
+_CLEAN = r"""list_filter(list_transform(string_split(replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '&[A-Za-z]+;|&#[0-9]+;', ' ', 'g'), '\n', chr(10)), chr(10)), lambda x: trim(x)),
+ lambda x: length(x) >= 8 AND NOT regexp_matches(x, '^[0-9]+$') AND NOT regexp_matches(x, '^(来源|source)[:：]') AND NOT regexp_matches(x, '(?i)(?:^(about|contact|menu))|(?:(all rights reserved|privacy policy))|(?:^[-_=*#]{10,}$)'))"""
+
+
+@query(f"""SELECT doc_id, md5(array_to_string({_CLEAN}, chr(10))) AS cleaned_md5, CAST(len({_CLEAN}) AS INT) AS n_lines FROM documents""")
+def noise_line_strip(spark, sf_dir):
+    t = T.clean_text(F.col("text"), RULES)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("cleaned_md5"), F.when(t == "", 0).otherwise(F.size(F.split(t, "\n"))).alias("n_lines"))
+
+
+@query(None)
+def quality_grade_docs(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", T.quality(F.col("text"), RULES).alias("q"))
+    return d.select("doc_id", "q.score", "q.grade", "q.action", F.array_join("q.reasons", ",").alias("reasons"))
+
+
+@query(None)
+def grade_histogram(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("lang", T.quality(F.col("text"), RULES).alias("q"))
+    return d.groupBy("lang", F.col("q.grade").alias("grade")).agg(F.count("*").alias("n"))
+
+
+@query(None)
+def sentence_topk_summary(spark, sf_dir):
+    s = T.summary(F.col("text"), 3, RULES)
+    return _table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.md5("s.summary").alias("summary_md5"), F.size("s.points").alias("n_points"), "s.info_type", "s.quality")
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(licensed|copyright)') THEN 'license' WHEN regexp_matches(text, '(?i)(password|token|api_key)') THEN 'secret' WHEN regexp_matches(text, '@[a-z0-9-]+[.]') THEN 'contact' ELSE 'prose' END AS doc_type FROM documents""")
+def doc_classify_rules(spark, sf_dir):
+    rules = Rules(info_types=(("(licensed|copyright)", "license"), ("(password|token|api_key)", "secret"), (r"@[a-z0-9-]+[.]", "contact")))
+    kind = T.info_type(F.col("text"), rules)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.when(kind == "新闻", "prose").otherwise(kind).alias("doc_type"))
+
+
+@query("SELECT url_kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(url), 'ads.') OR contains(lower(url), '/login') THEN 'blocked' ELSE 'ok' END AS url_kind FROM pages) GROUP BY 1")
+def url_blacklist_filter(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select(F.when(T.contains_any(F.lower("url"), ("ads.", "/login")), "blocked").otherwise("ok").alias("url_kind")).groupBy("url_kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) >= 50) AS n_long, count(*) FILTER (WHERE length(text) < 200) AS n_thin FROM documents GROUP BY 1")
+def content_gate(spark, sf_dir):
+    n = F.length("text")
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(n >= 50).alias("n_long"), F.count_if(n < 200).alias("n_thin"))
+
+
+# ---- dedup, ledger, increments
+
+
+@query("SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_md5(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents WHERE lang <> 'en' AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en') GROUP BY 2")
+def ledger_anti_join(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("md5"))
+    return d.where("lang <> 'en'").groupBy("md5").agg(F.min("doc_id").alias("doc_id")).join(d.where("lang = 'en'").select("md5").distinct(), "md5", "left_anti").select("doc_id", "md5")
+
+
+@query("SELECT source, lang, doc_id, n_chars FROM (SELECT source, lang, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
+def keep_longest_per_key(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars", F.length("text").alias("n"))
+    best = d.groupBy("source", "lang").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n", -F.col("doc_id"))).alias("b"))
+    return best.select("source", "lang", "b.doc_id", "b.n_chars")
+
+
+@query("SELECT url, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1")
+def url_dedup(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query("WITH d AS (SELECT md5(text) AS md5, min(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END) AS batch, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT batch, count(*) AS n_new, min(doc_id) AS first_id FROM d GROUP BY 1")
+def incremental_ingest(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("batch"))
+    return d.groupBy("md5").agg(F.min("batch").alias("batch"), F.min("doc_id").alias("doc_id")).groupBy("batch").agg(F.count("*").alias("n_new"), F.min("doc_id").alias("first_id"))
+
+
+@query("""WITH d AS (SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(left(text, 500), ''))), '') AS k FROM documents),
+c AS (SELECT k, count(*) AS n, min(doc_id) AS class_id, list_filter(string_split(k, ''), lambda x: x <> '') AS s FROM d WHERE k <> '' GROUP BY 1),
+e AS (SELECT class_id, n, len(s) AS z, unnest(s) AS ch FROM c),
+p AS (SELECT a.class_id AS a, any_value(b.n) AS n FROM e a JOIN e b ON a.ch = b.ch AND a.class_id <> b.class_id GROUP BY a.class_id, b.class_id, a.z, b.z HAVING 100 * count(*) > 95 * (a.z + b.z - count(*)))
+SELECT d.doc_id, c.class_id, CAST(c.n - 1 + coalesce((SELECT sum(n) FROM p WHERE p.a = c.class_id), 0) AS BIGINT) AS n_similar FROM d JOIN c USING (k)""")
+def near_dup_char_jaccard(spark, sf_dir):
+    """Documents by the set of characters of their first 500; per document its class and how many others are similar."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.left("text", F.lit(500)), ""), lambda c: c != ""))).alias("s")).where(F.size("s") > 0)
+    return char_similar(d, 95)
+
+
+def char_similar(d: DataFrame, percent: int) -> DataFrame:
+    """d (doc_id, s: sorted set) -> doc_id, class_id, n_similar; similar: Jaccard above ``percent`` per cent.
+
+    Classes are joined by prefix: sets in order of rarity over all classes, the
+    first |s| - ceil(t |s|) + 1 elements of each.
+    """
+    c = d.groupBy("s").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    e = c.select("class_id", F.explode("s").alias("ch"))
+    rare = e.join(e.groupBy("ch").agg(F.count("*").alias("df")), "ch").groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "ch"))), lambda x: x["ch"]).alias("o"))
+    z = F.size("o")
+    prefix = rare.select("class_id", z.alias("z"), F.explode(F.slice("o", 1, (z - F.ceil(F.lit(percent / 100.0) * z) + 1).cast("int"))).alias("ch"))
+    cand = prefix.alias("a").join(prefix.alias("b"), F.expr(f"a.ch = b.ch AND a.class_id < b.class_id AND 100 * least(a.z, b.z) >= {percent} * greatest(a.z, b.z)")).select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
+    sets = c.select("class_id", "s", "n")
+    got = cand.join(sets.select(F.col("class_id").alias("x"), F.col("s").alias("sx"), F.col("n").alias("nx")), "x").join(sets.select(F.col("class_id").alias("y"), F.col("s").alias("sy"), F.col("n").alias("ny")), "y")
+    ok = got.where(100 * F.size(F.array_intersect("sx", "sy")) > percent * F.size(F.array_union("sx", "sy")))
+    n = ok.select(F.col("x").alias("class_id"), F.col("ny").alias("m")).unionByName(ok.select(F.col("y").alias("class_id"), F.col("nx").alias("m"))).groupBy("class_id").agg(F.sum("m").alias("m"))
+    return d.join(c, "s").join(n, "class_id", "left").select("doc_id", "class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_similar"))
+
+
+# ---- routing and mentions
+
+_KW = "(VALUES " + ", ".join(f"('{t}', '{k}', CAST({s} AS DOUBLE))" for t, k, s in KEYWORDS) + ") kw(topic, keyword, spec)"
+
+
+@query(f"SELECT DISTINCT doc_id, topic FROM documents, {_KW} WHERE contains(lower(text), keyword)")
+def keyword_router(spark, sf_dir):
+    kws: dict[str, list[str]] = {}
+    for t, k, _ in KEYWORDS:
+        kws.setdefault(t, []).append(k)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.topics(F.lower("text"), kws)).alias("topic"))
+
+
+@query(f"SELECT doc_id, topic, round(max(spec * 0.7), 6) AS score FROM documents, {_KW} WHERE contains(lower(text), keyword) AND spec >= 0.3 GROUP BY 1, 2 HAVING max(spec * 0.7) >= 0.3")
+def router_scored_max(spark, sf_dir):
+    low = F.lower("text")
+    scored = F.array(*(F.when(low.contains(k), F.struct(F.lit(t).alias("topic"), F.lit(s * 0.7).alias("score"))) for t, k, s in KEYWORDS if s >= 0.3))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(scored, lambda x: x.isNotNull())).alias("x"))
+    return d.groupBy("doc_id", "x.topic").agg(F.round(F.max("x.score"), 6).alias("score")).where("score >= 0.3")
+
+
+@query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INT) AS n_mentions FROM documents WHERE contains(left(text, 500), 'the') OR (length(text) - length(replace(text, 'the', ''))) / 3 >= 3")
+def prominent_mentions(spark, sf_dir):
+    n = T.mentions(F.col("text"), F.lit("the"))
+    return _table(spark, sf_dir, "documents").where(F.left("text", F.lit(500)).contains("the") | (n >= 3)).select("doc_id", n.alias("n_mentions"))
+
+
+@query("WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS name FROM documents) SELECT name, count(*) AS n, min(doc_id) AS first_doc FROM m WHERE name NOT IN (SELECT c_name FROM customer) GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, first_doc, name LIMIT 20")
+def mention_counts_topk(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    known = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    return K.discover(docs, Rules(name_patterns=("[A-Z][a-z]{6,}",)), known).drop("confidence")
+
+
+@query(f"SELECT topic, count(*) AS n, array_to_string(list_sort(list_distinct(list(source)))[1:5], ',') AS sources FROM (SELECT DISTINCT doc_id, topic, source FROM documents, {_KW} WHERE contains(lower(text), keyword)) GROUP BY 1 HAVING count(*) >= 3")
+def topic_counts_collect_set(spark, sf_dir):
+    kws: dict[str, list[str]] = {}
+    for t, k, _ in KEYWORDS:
+        kws.setdefault(t, []).append(k)
+    d = _table(spark, sf_dir, "documents").select("source", F.explode(T.topics(F.lower("text"), kws)).alias("topic"))
+    return d.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 5), ",").alias("sources")).where("n >= 3")
+
+
+@query("SELECT quality, toxic, lang, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
+def label_left_join_coverage(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left").groupBy("quality", "toxic", "lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, regexp_extract(text, '([0-9]+)[ ]*%', 1) AS first_percent, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INT) AS n_numbers FROM documents")
+def numeric_mentions(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "([0-9]+)[ ]*%", 1).alias("first_percent"), F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("n_numbers"))
+
+
+@query("""WITH t AS (SELECT doc_id, text AS t0 FROM documents),
+a AS (SELECT doc_id, CASE WHEN strpos(t0, 'ontion') > 0 AND NOT contains(t0, '[[ontion]]') THEN left(t0, strpos(t0, 'ontion') - 1) || '[[ontion]]' || substr(t0, strpos(t0, 'ontion') + 6) ELSE t0 END AS t1 FROM t),
+b AS (SELECT doc_id, CASE WHEN strpos(t1, 'heit') > 0 AND NOT contains(t1, '[[heit]]') THEN left(t1, strpos(t1, 'heit') - 1) || '[[heit]]' || substr(t1, strpos(t1, 'heit') + 4) ELSE t1 END AS t2 FROM a)
+SELECT doc_id, md5(t2) AS text_md5 FROM b""")
+def wikilink_inject(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(T.inject_links(F.col("text"), F.array(F.lit("heit"), F.lit("ontion")))).alias("text_md5"))
+
+
+# ---- pages
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def html_clean_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(T.clean_simple(F.col("html"))).alias("text_md5"))
+
+
+@query("""SELECT target, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages) GROUP BY 1""")
+def html_link_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages)
+SELECT target, count(*) AS n_pages FROM l WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.target) GROUP BY 1""")
+def broken_links(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target")).groupBy("target").agg(F.count_distinct("page_id").alias("n_pages"))
+    return links.join(p.select(F.col("url").alias("target")).distinct(), "target", "left_anti")
+
+
+# ---- contradictions
+
+
+@query("""WITH v AS (SELECT l_partkey AS entity, l_returnflag AS metric, l_quantity AS value FROM lineitem WHERE l_quantity > 0), d AS (SELECT entity, metric, value, count(*) AS n FROM v GROUP BY ALL)
+SELECT a.entity, a.metric, sum(a.n * b.n)::BIGINT AS n_pairs, any_value(t.n_values)::BIGINT AS n_values, any_value(t.n_distinct) AS n_distinct
+FROM d a JOIN d b ON a.entity = b.entity AND a.metric = b.metric AND b.value < a.value * (1 - CAST(0.3 AS DOUBLE)) JOIN (SELECT entity, metric, sum(n) AS n_values, count(*) AS n_distinct FROM d GROUP BY ALL) t ON t.entity = a.entity AND t.metric = a.metric GROUP BY 1, 2""")
+def numeric_contradictions(spark, sf_dir):
+    v = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_returnflag").alias("metric"), F.col("l_quantity").alias("value"))
+    return K.numeric_contradictions(v)
+
+
+@query("""WITH v AS (SELECT o_custkey AS entity, 'status' AS attribute, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL)
+SELECT entity, attribute, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS n_pairs, count(*) AS n_values, string_agg(value, ',' ORDER BY value) AS vals FROM v GROUP BY 1, 2 HAVING count(*) > 1""")
+def categorical_contradictions(spark, sf_dir):
+    v = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.lit("status").alias("attribute"), F.col("o_orderstatus").alias("value"))
+    return K.categorical_contradictions(v)
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_id, event_type, lead(ts) OVER w AS nts, lead(event_type) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, event_type FROM e WHERE nt = event_type AND CAST(nts AS DATE) <> CAST(ts AS DATE)""")
+def temporal_adjacent_events(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _table(spark, sf_dir, "events").withColumn("nx", F.lead(F.struct("ts", "event_type")).over(w))
+    return e.where((F.col("nx.event_type") == F.col("event_type")) & (F.to_date("nx.ts") != F.to_date("ts"))).select("event_id", "user_id", "event_type")
+
+
+@query("WITH c AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role FROM conversations) SELECT role, next_role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM c GROUP BY 1, 2")
+def conversation_turn_pairs(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return _table(spark, sf_dir, "conversations").withColumn("next_role", F.lead("role").over(w)).groupBy("role", "next_role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+# ---- graph
+
+
+@query("SELECT r_name, n_name, count(c_custkey) AS n_customers, min(c_name) AS first_name FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def sector_companies(spark, sf_dir):
+    n, r, c = (_table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    per = c.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.min("c_name").alias("first_name"))
+    return n.join(r, n.n_regionkey == r.r_regionkey).join(per, n.n_nationkey == per.c_nationkey, "left").select("r_name", "n_name", F.coalesce("n", F.lit(0)).alias("n_customers"), "first_name")
+
+
+@query("SELECT n_regionkey AS tier, count(*) AS n_sectors, string_agg(n_name, ',' ORDER BY n_name) AS sectors FROM nation GROUP BY 1")
+def tier_overview(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("tier")).agg(F.count("*").alias("n_sectors"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("sectors"))
+
+
+_EDGES = "e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 2 + 1) AS dst FROM nation WHERE n_nationkey * 2 + 1 < 25 UNION SELECT n_nationkey, n_nationkey * 2 + 2 FROM nation WHERE n_nationkey * 2 + 2 < 25 UNION SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey < 24)"
+
+
+def _edges(spark, sf_dir):
+    k = F.col("n_nationkey")
+    n = _table(spark, sf_dir, "nation").select(k)
+    e = n.select(k.alias("src"), (k * 2 + 1).alias("dst")).where("dst < 25").union(n.select(k, k * 2 + 2).toDF("src", "dst").where("dst < 25")).union(n.where("n_nationkey % 5 = 0 AND n_nationkey < 24").select(k, k + 1).toDF("src", "dst"))
+    return e.distinct()
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, p(last, path, n) AS (SELECT 0, '0', 1 UNION ALL SELECT dst, path || '>' || dst, n + 1 FROM p JOIN e ON last = src WHERE NOT list_contains(string_split(path, '>'), CAST(dst AS VARCHAR)))
+SELECT path, n FROM p WHERE last NOT IN (SELECT src FROM e)""")
+def supply_chain_paths(spark, sf_dir):
+    start = spark.range(1).select(F.lit(0).alias("entity"))
+    p = G.paths(_edges(spark, sf_dir), start)
+    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "n")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, p(entity, hops) AS (SELECT 0, 0 UNION SELECT dst, hops + 1 FROM p JOIN e ON entity = src WHERE hops < 10) SELECT entity, min(hops) AS hops FROM p GROUP BY 1""")
+def bfs_reach(spark, sf_dir):
+    return G.reach(_edges(spark, sf_dir), spark.range(1).select(F.lit(0).alias("entity")))
+
+
+@query("SELECT s_suppkey, (SELECT count(*) FROM supplier t WHERE t.s_nationkey = s.s_nationkey) - 1 AS n_peers, (SELECT min(s_name) FROM supplier t WHERE t.s_nationkey = s.s_nationkey) AS first_peer FROM supplier s")
+def related_peers(spark, sf_dir):
+    s = _table(spark, sf_dir, "supplier")
+    g = s.groupBy("s_nationkey").agg((F.count("*") - 1).alias("n_peers"), F.min("s_name").alias("first_peer"))
+    return s.join(g, "s_nationkey").select("s_suppkey", "n_peers", "first_peer")
+
+
+# ---- gaps
+
+
+@query("SELECT c_custkey AS entity, kind FROM customer, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = kind)")
+def missing_matrix(spark, sf_dir):
+    have = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("kind"))
+    return K.missing(have, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity")), ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphan_customers(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return _table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
+def unanswered_not_exists(spark, sf_dir):
+    """Benchmark items (of 12 characters or more) whose whole text stands in no document."""
+    b = _table(spark, sf_dir, "benchmark")
+    # Containment needs the item's first 12 characters somewhere: an equi join on them narrows what is compared.
+    # An item is at least a sentence; ``missing`` keys of shorter ones would be the whole text.
+    keyed = b.select("item_id", F.col("text").alias("t"), F.left("text", F.lit(12)).alias("k"))
+    d = _table(spark, sf_dir, "documents").select("text").distinct()
+    starts = d.select("text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 11, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(12))))).alias("k"))
+    near = starts.join(K.dimension(keyed.select("k").distinct()), "k").join(keyed, "k")
+    found = near.where(F.contains("text", "t")).select("item_id").distinct()
+    return b.select("item_id").join(found, "item_id", "left_anti")
+
+
+_STALE = "SELECT c_custkey AS entity, max(CAST(o_orderdate AS DATE)) AS last_updated FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+@query(f"SELECT entity, date_diff('day', last_updated, DATE '1998-08-02') AS age_days, CASE WHEN date_diff('day', last_updated, DATE '1998-08-02') > 90 THEN 'medium' ELSE 'low' END AS priority FROM ({_STALE}) WHERE date_diff('day', last_updated, DATE '1998-08-02') > 30")
+def stale_entities(spark, sf_dir):
+    p = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_orderdate").alias("last_updated")).join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity")), "entity", "left_semi")
+    return K.stale(p, "1998-08-02").select("entity", F.col("age_days").cast("long").alias("age_days"), "priority")
+
+
+# ---- dashboards
+
+
+@query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'ALL' ELSE lang END AS category, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE n_chars < 200) AS thin,
+CAST(floor(100 * count(*) FILTER (WHERE n_chars < 200) / count(*)) AS BIGINT) AS thin_pct FROM documents GROUP BY ROLLUP (lang)""")
+def dashboard_by_category_rollup(spark, sf_dir):
+    thin = F.count_if(F.col("n_chars") < 200)
+    return _table(spark, sf_dir, "documents").rollup("lang").agg(F.when(F.grouping("lang") == 1, "ALL").otherwise(F.col("lang")).alias("category"), F.count("*").alias("pages"), F.sum("n_chars").alias("chars"), thin.alias("thin"), T.floor_percent(thin, F.count("*")).alias("thin_pct")).drop("lang")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def metrics_timers(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("SELECT 'events{type=' || event_type || ',user=' || user_id || '}' AS key, count(*) AS n FROM events GROUP BY event_type, user_id")
+def labelled_counters(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n")).select(F.format_string("events{type=%s,user=%d}", "event_type", "user_id").alias("key"), "n")
+
+
+@query("(SELECT 'top' AS side, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10) UNION ALL (SELECT 'bottom', o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10)")
+def top_bottom_entries(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    a = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).withColumn("side", F.lit("top"))
+    return a.unionByName(o.orderBy("o_totalprice", "o_orderkey").limit(10).withColumn("side", F.lit("bottom")))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-07-01' ORDER BY d DESC, o_orderkey LIMIT 20")
+def dataview_recent(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).where("d >= '1998-07-01'").orderBy(F.desc("d"), "o_orderkey").limit(20)
+
+
+@query("SELECT source AS type, count(*) AS pages, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def dataview_group_by_type(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("type")).agg(F.count("*").alias("pages"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def props_json_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.expr("try_variant_get(try_parse_json(props), '$.k', 'bigint')").alias("k"))
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 4) AS score FROM embeddings, q
+ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) DESC, vec_id LIMIT 10""")
+def embedding_cosine_topk(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = F.array(*(F.lit(float(x)) for x in e.orderBy("vec_id").first()["v"]))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    c = dot(F.col("v"), q) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(q, q))
+    return e.select("vec_id", c.alias("c")).orderBy(F.desc(F.round("c", 9)), "vec_id").limit(10).select("vec_id", F.round("c", 4).alias("score"))
+
 
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN date_diff('second', lag(ts) OVER w, ts) < 1800 THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, count(DISTINCT g) AS n_sessions, count(*) AS n_events FROM g GROUP BY 1")
+def event_sessions(spark, sf_dir):
+    from .streaming.incremental import sessions
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return sessions(_table(spark, sf_dir, "events")).groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events"))

@@ -237,12 +237,12 @@ def inject_links(text: Column, targets: Column) -> Column:
     by_length = F.transform(F.array_sort(F.transform(targets, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
     def step(acc, t):
-        at = F.locate(t, acc)
+        at = F.position(t, acc)
         link = F.concat(F.lit("[["), t, F.lit("]]"))
-        return F.when((at > 0) & ~acc.contains(link), F.concat(F.substring(acc, 1, at - 1), link, F.substring(acc, at + F.length(t), F.length(acc)))).otherwise(acc)
+        return F.when((at > 0) & ~acc.contains(link), F.concat(acc.substr(F.lit(1), at - 1), link, acc.substr(at + F.length(t), F.length(acc)))).otherwise(acc)
 
-    head = F.when(text.startswith("---") & (F.locate("---", text, 4) > 0), F.substring(text, 1, F.locate("---", text, 4) + 2)).otherwise(F.lit(""))
-    body = F.substring(text, F.length(head) + 1, F.length(text))
+    head = F.when(text.startswith("---") & (F.locate("---", text, 4) > 0), text.substr(F.lit(1), F.locate("---", text, 4) + 2)).otherwise(F.lit(""))
+    body = text.substr(F.length(head) + 1, F.length(text))
     return F.concat(head, F.aggregate(by_length, body, step))
 
 

@@ -102,12 +102,17 @@ def heuristic_search(pages: DataFrame, question: str, words: list[str], n: int =
 def snippet(docs: DataFrame, words: list[str], width: int = 80, lead: int = 20, size: int = 200) -> DataFrame:
     """doc and the text around its densest window of hits; the first of equals."""
     low = F.lower("text")
-    places = F.flatten(F.array(*(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split(low, F.lit("\\Q" + w.lower() + "\\E"))) - 1), lambda i, w=w: F.when(low.contains(w.lower()), F.length(F.substring_index(low, w.lower(), i)))), lambda x: x.isNotNull()) for w in words)))
+
+    def of(word):
+        n = F.size(F.split(low, F.lit("\\Q" + word + "\\E"))) - 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.length(F.call_function("substring_index", low, F.lit(word), i)))).otherwise(F.array().cast("array<int>"))
+
+    places = F.flatten(F.array(*(of(w.lower()) for w in words)))
     hits = docs.where(T.any_of(low.contains(w.lower()) for w in words)).select("doc", "text", F.explode(F.array_distinct(places)).alias("at"))
     w = Window.partitionBy("doc").orderBy("at").rangeBetween(0, width - 1)
     best = hits.withColumn("n", F.count("*").over(w)).groupBy("doc").agg(F.max_by("at", F.struct("n", -F.col("at"))).alias("at"), F.any_value("text").alias("text"))
     start = F.greatest(F.col("at") - lead, F.lit(0))
-    cut = F.substring(F.col("text"), start + 1, F.lit(size))
+    cut = F.col("text").substr(start + 1, F.lit(size))
     return best.select("doc", F.concat(F.when(start > 0, "...").otherwise(""), cut, F.when(start + size < F.length("text"), "...").otherwise("")).alias("snippet"))
 
 
