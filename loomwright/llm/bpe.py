@@ -87,12 +87,9 @@ def _pack(ids: list, seqs: list, words: Words, parts: int):
     rank = np.argsort(-seen, kind="stable")
     number = np.empty(len(texts), np.uint32)
     number[rank] = np.arange(len(texts), dtype=np.uint32)
-    by = np.argsort(part, kind="stable")
     rows = [(-1, _zip(_planes(lens), _planes(number[seq]), np.array([i if i is not None else 0 for i in ids], np.int64), np.array([i is None for i in ids])))]
-    cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[by]) > 0))) if len(by) else []
-    for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
-        w = by[a:b]
-        rows.append((int(part[w[0]]), _zip(_planes(number[w]), _planes(size[w]), b"".join([texts[i] for i in w.tolist()]))))
+    for p, w in core.by_part(part):
+        rows.append((p, _zip(_planes(number[w]), _planes(size[w]), b"".join([texts[i] for i in w.tolist()]))))
     key = hashlib.blake2b(b"".join(hashlib.blake2b(r).digest() for _, r in rows), digest_size=16).digest()
     return pa.RecordBatch.from_arrays([pa.array([key] * len(rows), pa.binary()), pa.array([p for p, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["pack", "part", "block"])
 
@@ -173,9 +170,9 @@ def _assembled(left: pa.Table, right: pa.Table):
 def _coded(docs, path: str, each, schema: str):
     spark = docs.sparkSession
     parts = core.partitions(spark)
-    packed = core.docs_of(docs).mapInArrow(packs(parts), "pack binary, part int, block binary").repartition(parts, "pack")
-    ids = packed.mapInArrow(lambda it: it, packed.schema).where("part >= 0").repartition(parts, "part").mapInArrow(encoder(path), "pack binary, block binary")
-    return packed.groupBy("pack").cogroup(ids.groupBy("pack")).applyInArrow(each, schema)
+    packed = core.docs_of(docs).mapInArrow(core.lean(packs(parts)), "pack binary, part int, block binary").repartition(parts, "pack")
+    ids = core.fence(packed).where("part >= 0").repartition(parts, "part").mapInArrow(core.lean(encoder(path)), "pack binary, block binary")
+    return packed.groupBy("pack").cogroup(ids.groupBy("pack")).applyInArrow(core.lean(each), schema)
 
 
 def _table(path: str) -> list[bytes]:

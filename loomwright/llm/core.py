@@ -9,12 +9,21 @@ mixing step, so hashing n words costs O(bytes) vector operations.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
 
+# Freed memory must be able to leave an idle worker: no pool of Arrow's own, and ``trim`` after each task.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _libc = None
+
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,7 +35,7 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)
 _T = np.random.default_rng(20240229).integers(1, 2**63, 256).astype(U) | U(1)
@@ -75,7 +84,7 @@ def chunks(batches, text: str = "text", limit: int = CHUNK):
         buf, off = buffers(batch.column(batch.schema.get_field_index(text)))
         a, n = 0, batch.num_rows
         while a < n:
-            b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
+            b = min(max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1), a + 65536)
             yield batch.slice(a, b - a), buf[off[a] : off[b]], off[a : b + 1] - off[a]
             a = b
 
@@ -156,6 +165,27 @@ def order(keys: np.ndarray) -> np.ndarray:
     return idx
 
 
+def distinct_in(owner: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Positions of the distinct (owner, token) pairs, by owner and token."""
+    if len(owner) and int(owner.max()) >> 20:  # an owner doesn't fit beside 44 bits of a token
+        idx = np.lexsort((tokens, owner))
+        t, o = tokens[idx], owner[idx]
+        return idx[np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])))]
+    key = (owner.astype(U) << U(44)) | (tokens >> U(20))
+    idx = order(key)
+    k = key[idx]
+    tie = np.flatnonzero(k[1:] == k[:-1])
+    t = tokens[idx]
+    if len(tie) and (t[tie] != t[tie + 1]).any():  # different tokens that share 44 bits
+        run = np.zeros(len(k), bool)
+        run[tie] = run[tie + 1] = True
+        where = np.flatnonzero(run)
+        idx[where] = idx[where][np.lexsort((tokens[idx[where]], k[where]))]
+        t = tokens[idx]
+    o = owner[idx]
+    return idx[np.concatenate(([True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])))] if len(idx) else idx
+
+
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts of the runs of equal keys within that order)."""
     idx = order(keys)
@@ -237,3 +267,55 @@ def docs_of(df, id_col: str = "doc_id", text_col: str = "text", *more: str):
     from pyspark.sql import functions as F
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in more))
+
+
+def by_part(part: np.ndarray):
+    """(part, indices) groups in ascending order of part; indices ascend within each."""
+    if not len(part):
+        return
+    by = np.argsort(part, kind="stable")
+    p = part[by]
+    cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True):
+        yield int(p[a]), by[a:b]
+
+
+def trim() -> None:
+    """Give freed memory back to the system; workers stay alive between tasks."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(f):
+    """A function for mapInArrow or applyInArrow that trims memory when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            yield from f(batches)
+            trim()
+
+        return run
+    if len(inspect.signature(f).parameters) == 2:
+
+        def both(left, right):
+            try:
+                return f(left, right)
+            finally:
+                trim()
+
+        return both
+
+    def one(table):
+        try:
+            return f(table)
+        finally:
+            trim()
+
+    return one
+
+
+def fence(df):
+    """The same rows; no filter above is moved below, so that a shuffle under it can be used again."""
+    from pyspark.sql import functions as F
+
+    return df.where(F.monotonically_increasing_id() >= 0)

@@ -8,12 +8,13 @@ form one class; classes are joined, members are counted, not paired.
    counter (a logarithmic level) is broadcast.  The size of the table does not
    depend on the data.  Sets are ordered by (level, hash): any common order is
    right, rarity only makes the candidates few.
-2. Prefixes.  Two sets with Jaccard >= t share at least two of the first
-   |x| - ceil(t |x|) + 2 shingles of the longer and |y| - ceil(2t/(1+t) |y|) + 2
-   of the shorter.  Every class indexes its prefix shingles, in blocks per
-   part of the hash space.
+2. Extended prefixes.  Two sets with Jaccard >= t share at least ``SHARE`` of the
+   first |x| - ceil(t |x|) + SHARE shingles of the longer and
+   |y| - ceil(2t/(1+t) |y|) + SHARE of the shorter, or all they must share.
+   Every class indexes its prefix shingles, in blocks per part of the hash space.
 3. Shingles found in at most ``frequent`` classes are rare: each pair in their
-   lists that passes the length and positional filters is a candidate.
+   lists that passes the length and positional filters is counted, and is a
+   candidate if it shares enough of them.
 4. Shingles of longer lists are frequent.  They are answered to the packs that
    hold them, which index combinations of two of them.  A similar pair shares
    two prefix shingles: one is rare, or both are frequent.
@@ -43,6 +44,9 @@ PACK = 16 << 20
 U = np.uint64
 SCHEMA = "doc_id long, n_shingles long, n_similar long, component_id long"
 SLICES = 64
+#: Similar sets share at least this many tokens of their extended prefixes (all that they must share, if that is less).
+SHARE = 4
+SCHEMA_AT = "at long, pack binary, part int, block binary"
 
 
 class Sets:
@@ -63,16 +67,13 @@ class Sets:
             if len(few):
                 tokens = np.concatenate((tokens, core.mix(core.windows(h, m)[bounds[few]] + U(m))))
                 doc = np.concatenate((doc, few))
-        o = core.order(core.mix(tokens ^ core.mix(doc.astype(U))))
-        tokens, doc = tokens[o], doc[o]
-        first = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1]))) if len(tokens) else np.zeros(0, bool)
-        tokens, doc = tokens[first], doc[first]
-        o = np.argsort(doc, kind="stable")
+        o = core.distinct_in(doc, tokens)
         self.tokens, doc = tokens[o], doc[o]
         self.bounds = np.searchsorted(doc, np.arange(len(off)))
         self.doc = doc
         self.size = np.diff(self.bounds)
         c = np.concatenate((np.zeros(1, U), np.cumsum(core.mix(self.tokens + U(77)), dtype=U)))
+        self.sig = np.zeros(len(self.size), U)  # sets are too large for a signature to tell them apart
         # The class of a set: a sum over its members, whatever their order; 0 is the empty set.
         self.cls = np.where(self.size > 0, core.mix(c[self.bounds[1:]] - c[self.bounds[:-1]] + self.size.astype(U)), U(0))
 
@@ -106,7 +107,7 @@ def rarity(docs, make, bits: int) -> np.ndarray:
 
     table = "slice int, block binary"
     out = np.zeros(1 << bits, np.uint8)
-    sums = core.docs_of(docs).mapInArrow(count, table).repartition(min(SLICES, core.partitions(spark)), "slice").mapInArrow(add, table)
+    sums = core.docs_of(docs).mapInArrow(core.lean(count), table).repartition(min(SLICES, core.partitions(spark)), "slice").mapInArrow(core.lean(add), table)
     for s, block in sums.collect():  # SLICES rows, 2 ** bits bytes at most
         out[s * width : (s + 1) * width] = np.frombuffer(_unzip(bytes(block))[0], np.uint8)
     return out
@@ -116,17 +117,17 @@ def _ceil(a: int, n: np.ndarray, b: int) -> np.ndarray:
     return -(-(a * n) // b)
 
 
-def probe_length(n, percent):
-    """Prefix that shares two shingles with that of any similar set that is no longer."""
-    return np.minimum(n - _ceil(percent, n, 100) + 2, n)
+def probe_length(n, percent, share):
+    """Prefix that shares ``share`` tokens with that of any similar set that is no longer."""
+    return np.minimum(n - _ceil(percent, n, 100) + share, n)
 
 
-def index_length(n, percent):
+def index_length(n, percent, share):
     """The same for any similar set that is no shorter."""
-    return np.minimum(n - _ceil(2 * percent, n, 100 + percent) + 2, n)
+    return np.minimum(n - _ceil(2 * percent, n, 100 + percent) + share, n)
 
 
-def prefixes(sets: Sets, level: np.ndarray, percent: int):
+def prefixes(sets: Sets, level: np.ndarray, percent: int, share: int = SHARE):
     """(document, position, token) of the prefixes, by document and position."""
     lv = level[(sets.tokens >> U(64 - int(len(level)).bit_length() + 1)).astype(np.int64)]
     key = (sets.doc.astype(U) << U(40)) | (lv.astype(U) << U(32)) | (core.mix(sets.tokens) >> U(32))
@@ -139,7 +140,7 @@ def prefixes(sets: Sets, level: np.ndarray, percent: int):
         run[tie] = run[tie + 1] = True
         where = np.flatnonzero(run)
         o[where] = o[where][np.lexsort((sets.tokens[o[where]], k[where]))]
-    n = probe_length(sets.size, percent) * (sets.size > 0)
+    n = probe_length(sets.size, percent, share) * (sets.size > 0)
     at = core.ragged(sets.bounds[:-1], n)
     doc, pos = core.repeat_index(n)
     return doc, pos, sets.tokens[o][at]
@@ -156,27 +157,32 @@ def _texts(blocks):
             a = b
 
 
-def _parts(part: np.ndarray):
-    """(part, indices) groups in ascending order of part; indices ascend."""
-    by = np.argsort(part, kind="stable")
-    p = part[by]
-    cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
-    for a, b in zip(cuts, [*cuts[1:], len(p)], strict=True):
-        yield int(p[a]), by[a:b]
+def signature(sets) -> np.ndarray:
+    """64 bits per set, one of them for each token."""
+    out = np.zeros(len(sets.size), U)
+    some = np.flatnonzero(sets.size)
+    if len(some):
+        out[some] = np.bitwise_or.reduceat(U(1) << (sets.tokens & U(63)), sets.bounds[:-1][some])
+    return out
+
 
+def _postings(token, cls, size, pos, sig):
+    """One block of postings, sorted by token; classes in a table of their own.
 
-def _postings(token, cls, size, pos):
-    """One block of postings, sorted by token; classes in a table of their own."""
+    Forty bits of a token are enough here: two tokens taken for one only add
+    candidates, which are verified.
+    """
     o = core.order(token)
-    token, cls, size, pos = token[o], cls[o], size[o], pos[o]
+    token, cls, size, pos, sig = token[o] >> U(24), cls[o], size[o], pos[o], sig[o]
     u, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
-    return _zip(token, u, _planes(size[first]), _planes(inverse), _planes(pos))
+    step = np.diff(token, prepend=U(0))
+    return _zip(_planes(step & U(0xFFFFFFFF)), (step >> U(32)).astype(np.uint8), u, _planes(size[first]), _planes(inverse), _planes(pos), sig[first])
 
 
 def packs(parts, k, percent, level_b):
-    """(pack, part, block): part -1 has one text of each class, -2 the rows' ids and classes, others postings."""
+    """(pack, part, block): part -1 has one text of each class, others postings."""
 
-    def rows(ids, texts):
+    def rows(texts):
         size = np.array([len(t) for t in texts], np.uint32)
         all_sets = [Sets(buf, off, k) for buf, off in _texts([_zip(b"".join(texts), _planes(size))])]
         cls, n = np.concatenate([s.cls for s in all_sets]), np.concatenate([s.size for s in all_sets])
@@ -187,71 +193,101 @@ def packs(parts, k, percent, level_b):
         rep &= n > 0
         keep = np.flatnonzero(rep)
         body = _zip(b"".join([texts[i] for i in keep.tolist()]), _planes(size[keep]), cls[keep])
-        ids_ = _zip(np.array([0 if i is None else i for i in ids], np.int64), np.array([i is None for i in ids]), cls, _planes(n))
-        name = hashlib.blake2b(body + ids_, digest_size=16).digest()
-        out = [(-1, body), (-2, ids_)]
+        name = hashlib.blake2b(body, digest_size=16).digest()
+        out = []
         got, base = [], 0
         for s in all_sets:
             doc, pos, token = prefixes(s, level_b.value, percent)
             mine = rep[base + doc]
-            got.append((token[mine], s.cls[doc[mine]], s.size[doc[mine]], pos[mine]))
+            got.append((token[mine], s.cls[doc[mine]], s.size[doc[mine]], pos[mine], s.sig[doc[mine]]))
             base += len(s.cls)
-        token, c, z, pos = (np.concatenate(x) for x in zip(*got, strict=True))
-        for p, w in _parts((token % U(parts)).astype(np.int64)):
-            out.append((p, _postings(token[w], c[w], z[w], pos[w])))
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.binary()), pa.array([p for p, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["pack", "part", "block"])
+        token, c, z, pos, sig = (np.concatenate(x) for x in zip(*got, strict=True))
+        for p, w in core.by_part((token % U(parts)).astype(np.int64)):
+            out.append((p, _postings(token[w], c[w], z[w], pos[w], sig[w])))
+        return packed_rows(name, body, out)
 
     def run(batches):
-        ids, texts, used = [], [], 0
-        for batch, buf, off in core.chunks(batches):
+        texts, used = [], 0
+        for _, buf, off in core.chunks(batches):
             raw = buf.tobytes()
-            for i, a, b in zip(batch.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                ids.append(i)
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                 texts.append(raw[a:b])
                 used += b - a
-                if used > PACK or len(ids) >= 65536:
-                    yield rows(ids, texts)
-                    ids, texts, used = [], [], 0
-        if ids:
-            yield rows(ids, texts)
+                if used > PACK or len(texts) >= 65536:
+                    yield rows(texts)
+                    texts, used = [], 0
+        if texts:
+            yield rows(texts)
 
     return run
 
 
-def _filter(a, b, size, pos_a, pos_b, percent):
-    """Which pairs of classes pass the length, prefix and positional filters."""
+def _filter(a, b, size, pos_a, pos_b, percent, share, sig):
+    """Which pairs of classes pass the length, prefix, positional and signature filters.
+
+    A bit of a that b hasn't comes from a token that b hasn't, and of these
+    there can't be more than a's size less the overlap that is needed.
+    """
     na, nb = size[a], size[b]
     short = np.where(na <= nb, pos_a, pos_b)
     ns, nl = np.minimum(na, nb), np.maximum(na, nb)
     most = np.minimum(pos_a, pos_b) + 1 + np.minimum(na - pos_a - 1, nb - pos_b - 1)
-    return (100 * ns >= percent * nl) & (short < index_length(ns, percent)) & ((100 + percent) * most >= percent * (ns + nl))
+    ok = (100 * ns >= percent * nl) & (short < index_length(ns, percent, share)) & ((100 + percent) * most >= percent * (ns + nl))
+    if sig is not None:
+        at = np.flatnonzero(ok)
+        x, y = sig[a[at]], sig[b[at]]
+        need = _ceil(percent, na[at] + nb[at], 100 + percent)
+        ok[at] = (np.bitwise_count(x & ~y) <= na[at] - need) & (np.bitwise_count(y & ~x) <= nb[at] - need)
+    return ok
+
+
+def at_of(name: bytes) -> int:
+    """Where a pack's texts are grouped: below 0, apart from the parts of the postings."""
+    return -1 - (int.from_bytes(name[:8], "little") >> 1)
+
+
+def packed_rows(name: bytes, body: bytes, postings) -> pa.RecordBatch:
+    """A pack's texts (part -1) and postings (part, block), keyed for one shuffle of both."""
+    rows = [(at_of(name), -1, body), *((p, p, b) for p, b in postings)]
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.binary()), pa.array([p for _, p, _ in rows], pa.int32()), pa.array([b for _, _, b in rows], pa.binary())], names=["at", "pack", "part", "block"])
+
+
+def pack_of(left: pa.Table) -> bytes:
+    names = set(left.column("pack").to_pylist())
+    if len(names) != 1:
+        raise RuntimeError("texts that were asked for are missing; the input isn't repeatable")
+    return names.pop()
 
 
 def _read_postings(table: pa.Table):
-    tokens, cls, size, local, pos, owner = [], [], [], [], [], []
+    tokens, cls, size, local, pos, owner, sig = [], [], [], [], [], [], []
     base = 0
     for p, block in enumerate(table.column("block").to_pylist()):
-        t, u, z, i, q = _unzip(block)
+        t, high, u, z, i, q, g = _unzip(block)
+        sig.append(np.frombuffer(g, U))
         u = np.frombuffer(u, U)
-        tokens.append(np.frombuffer(t, U)), cls.append(u), size.append(_unplanes(z).astype(np.int64)), pos.append(_unplanes(q).astype(np.int64))
+        tokens.append(np.cumsum(_unplanes(t).astype(U) | (np.frombuffer(high, np.uint8).astype(U) << U(32)), dtype=U)), cls.append(u), size.append(_unplanes(z).astype(np.int64)), pos.append(_unplanes(q).astype(np.int64))
         local.append(_unplanes(i).astype(np.int64) + base)
         owner.append(np.full(len(u), p))
         base += len(u)
-    return (np.concatenate(x) for x in (tokens, cls, size, local, pos, owner))
+    return (np.concatenate(x) for x in (tokens, cls, size, local, pos, owner, sig))
 
 
-def pairs(parts, percent, frequent, what):
+def pairs(parts, percent, frequent, what, share):
     """One part of the index: candidate pairs by the part of the larger class, and the frequent shingles, by pack.
 
     what: "rare" reports lists of more than ``frequent`` classes; "all" pairs every list.
     """
 
     def each(table: pa.Table) -> pa.Table:
-        token, cls, size, local, pos, owner = _read_postings(table)
+        if table.column("part")[0].as_py() < 0:  # texts, which the same shuffle brings
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "pack", "block"])
+        token, cls, size, local, pos, owner, sig = _read_postings(table)
         names = table.column("pack").to_pylist()
         # A class may come from many packs: the first stands for it.
         u, first, number = np.unique(cls, return_index=True, return_inverse=True)
-        size, home = size[first], owner[first]
+        size, home, sig = size[first], owner[first], sig[first]
+        sig = sig if sig.any() else None
         c, from_pack = number[local], owner[local]
         o = core.order(token)
         token, c, pos, from_pack = token[o], c[o], pos[o], from_pack[o]
@@ -266,64 +302,74 @@ def pairs(parts, percent, frequent, what):
         if what == "rare":
             hot = length > frequent
             sel = np.flatnonzero(hot[run]) if len(run) else []
-            for p, w in _parts(from_pack[sel]) if len(sel) else ():
+            for p, w in core.by_part(from_pack[sel]) if len(sel) else ():
                 out[0].append(-1), out[1].append(names[p]), out[2].append(_zip(np.unique(token[sel[w]])))
             length = np.where(hot, 0, length)
             use = ~hot[run_k] if len(run_k) else np.zeros(0, bool)
             run_k, c_k, pos_k = run_k[use], c_k[use], pos_k[use]
         begin = np.searchsorted(run_k, np.arange(len(length)))
-        found = np.zeros(0, U)
+        found, times = np.zeros(0, U), np.zeros(0, np.int64)
         fresh, waiting = [], 0
+
+        def merged():
+            keys, inverse = np.unique(np.concatenate((found, *(k for k, _ in fresh))), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate((times, *(n for _, n in fresh))), minlength=len(keys))
+            return keys, np.minimum(n, share).astype(np.int64)
+
         lists = np.flatnonzero(length > 1)
         cost = length[lists] * (length[lists] - 1) // 2
         a = 0
         while a < len(lists):  # in steps of a bounded number of pairs; a longer list goes by its rows
-            b = max(a + 1, int(np.searchsorted(np.cumsum(cost[a:]), 4_000_000, "right")) + a)
+            b = max(a + 1, int(np.searchsorted(np.cumsum(cost[a:]), 1_000_000, "right")) + a)
             ls = lists[a:b]
             rows = core.ragged(begin[ls], length[ls])
             left = np.repeat(begin[ls] + length[ls], length[ls]) - rows - 1
             step = 0
             upto = np.cumsum(left)
             while step < len(rows):
-                end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + 4_000_000, "right")))
+                end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + 1_000_000, "right")))
                 i = np.repeat(rows[step:end], left[step:end])
                 j = core.ragged(rows[step:end] + 1, left[step:end])
-                ok = _filter(c_k[i], c_k[j], size, pos_k[i], pos_k[j], percent)
+                ok = _filter(c_k[i], c_k[j], size, pos_k[i], pos_k[j], percent, share, sig)
                 x, y = c_k[i[ok]].astype(U), c_k[j[ok]].astype(U)
-                fresh.append(np.unique((np.maximum(x, y) << U(32)) | np.minimum(x, y)))
-                waiting += len(fresh[-1])
-                if waiting > 8_000_000:
-                    found, fresh, waiting = np.unique(np.concatenate((found, *fresh))), [], 0
+                fresh.append(np.unique((np.maximum(x, y) << U(32)) | np.minimum(x, y), return_counts=True))
+                waiting += len(fresh[-1][0])
+                if waiting > 2_000_000:
+                    (found, times), fresh, waiting = merged(), [], 0
                 step = end
             a = b
-        if fresh:
-            found = np.unique(np.concatenate((found, *fresh)))
+        found, times = merged()
+        if what == "all":  # two shingles in common already, in one combination
+            times = np.full(len(found), share)
         big, small = (found >> U(32)).astype(np.int64), (found & U(0xFFFFFFFF)).astype(np.int64)
-        for p, w in _parts((u[big] % U(parts)).astype(np.int64)):
+        for p, w in core.by_part((u[big] % U(parts)).astype(np.int64)):
             b, s = big[w], small[w]
             d = np.unique(np.concatenate((b, s)))
             packs_, at = np.unique(home[d], return_inverse=True)
             # Pairs in order of (larger, smaller), as steps: dense groups compress to almost nothing.
             bi, si = np.searchsorted(d, b), np.searchsorted(d, s)
-            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[x] for x in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si)))
+            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[x] for x in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si), times[w].astype(np.uint8)))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
 
 
-def combine(parts, sets_in, percent, level_b):
+def combine(parts, sets_in, percent, level_b, share):
     """Frequent shingles of a pack: postings of the combinations of two in each class's prefix."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if right.num_rows:
             hot = np.unique(np.concatenate([np.frombuffer(_unzip(b)[0], U) for b in right.column("block").to_pylist()]))
-            pack = left.column("pack")[0].as_py()
+            pack = pack_of(left)
             bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
             for s in sets_in(bodies[:1]):
-                doc, pos, token = prefixes(s, level_b.value, percent)
-                f = core.member(token, hot)
+                doc, pos, token = prefixes(s, level_b.value, percent, share)
+                f = core.member(token & ~U(0xFFFFFF), hot << U(24))
                 doc, pos, token = doc[f], pos[f], token[f]
+                some = np.unique(s.cls[doc])
+                for p, w in core.by_part((some % U(parts)).astype(np.int64)):
+                    out[0].append(-2 - p), out[1].append(pack), out[2].append(_zip(some[w]))
                 n = np.bincount(doc, minlength=len(s.size)) if len(doc) else np.zeros(len(s.size), np.int64)
                 begin = np.cumsum(n) - n
                 left_ = np.repeat(n, n) - (np.arange(len(doc)) - begin[doc]) - 1
@@ -333,44 +379,59 @@ def combine(parts, sets_in, percent, level_b):
                     i = np.repeat(np.arange(a, b), left_[a:b])
                     j = core.ragged(np.arange(a, b) + 1, left_[a:b])
                     key = core.mix(core.mix(token[i] + U(3)) + token[j])
-                    for p, w in _parts((key % U(parts)).astype(np.int64)):
+                    for p, w in core.by_part((key % U(parts)).astype(np.int64)):
                         d = doc[i[w]]
-                        out[0].append(p), out[1].append(pack), out[2].append(_postings(key[w], s.cls[d], s.size[d], pos[i[w]]))
+                        out[0].append(p), out[1].append(pack), out[2].append(_postings(key[w], s.cls[d], s.size[d], pos[i[w]], s.sig[d]))
                     a = b
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
 
 
-def gather(parts):
-    """All candidates of a part of larger classes: by home, the pairs (part >= 0), and by pack, the sets to send (part -1)."""
+def gather(parts, percent, share):
+    """All candidates of a part of larger classes: by home, the pairs (part >= 0), and by pack, the sets to send (part -1).
 
-    def each(table: pa.Table) -> pa.Table:
-        cls, size, pack, big, small = [], [], [], [], []
+    A pair must share ``share`` prefix tokens, or all that it must share at
+    all.  Where the larger class has frequent shingles in its prefix, which
+    weren't counted, one will do.
+    """
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        cls, size, pack, big, small, times, hot = [], [], [], [], [], [], [np.zeros(0, U)]
         base = 0
-        for block in table.column("block").to_pylist():
-            u, z, names, at, b, s = _unzip(block)
+        rows = [(t.column("part").to_pylist(), t.column("block").to_pylist()) for t in (left, right)]
+        for p, block in ((p, b) for ps, bs in rows for p, b in zip(ps, bs, strict=True)):
+            if p == -1:  # frequent shingles, which the same shuffle brings
+                continue
+            if p <= -2:
+                hot.append(np.frombuffer(_unzip(block)[0], U))
+                continue
+            u, z, names, at, b, s, n = _unzip(block)
             u = np.frombuffer(u, U)
             names = np.frombuffer(names, "V16")
-            cls.append(u), size.append(_unplanes(z)), pack.append(names[_unplanes(at)])
+            cls.append(u), size.append(_unplanes(z)), pack.append(names[_unplanes(at)]), times.append(np.frombuffer(n, np.uint8))
             big.append(np.cumsum(_unplanes(b).astype(np.int64)) + base), small.append(_unplanes(s).astype(np.int64) + base)
             base += len(u)
-        cls, size, pack, big, small = (np.concatenate(x) for x in (cls, size, pack, big, small))
-        u, first, number = np.unique(cls, return_index=True, return_inverse=True)
-        pack, size = pack[first], size[first]
-        key = np.unique((number[big].astype(U) << U(32)) | number[small].astype(U))
-        big, small = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], big[1:] != big[:-1]))) if len(big) else big
-        home = np.repeat(small[first], np.diff(np.append(first, len(big))))  # the least class that the larger one is paired with
-        to = (u[home] % U(parts)).astype(np.int64)
         out = ([], [], [])
-        for p, w in _parts(to):
-            b, s = big[w], small[w]
-            d = np.unique(np.concatenate((b, s)))
-            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(np.searchsorted(d, b)), _planes(np.searchsorted(d, s))))
-            for q in np.unique(pack[d]):
-                mine = d[pack[d] == q]
-                out[0].append(-1 - p), out[1].append(q.tobytes()), out[2].append(_zip(u[mine]))
+        if cls:
+            cls, size, pack, big, small, times = (np.concatenate(x) for x in (cls, size, pack, big, small, times))
+            u, first, number = np.unique(cls, return_index=True, return_inverse=True)
+            pack, size = pack[first], size[first].astype(np.int64)
+            key, inverse = np.unique((number[big].astype(U) << U(32)) | number[small].astype(U), return_inverse=True)
+            times = np.bincount(inverse, weights=times)
+            big, small = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
+            must = np.minimum(_ceil(percent, size[big] + size[small], 100 + percent), share)
+            ok = (times >= must) | core.member(u, np.unique(np.concatenate(hot)))[big]
+            big, small = big[ok], small[ok]
+            first = np.flatnonzero(np.concatenate(([True], big[1:] != big[:-1]))) if len(big) else big
+            home = np.repeat(small[first], np.diff(np.append(first, len(big))))  # the least class that the larger one is paired with
+            for p, w in core.by_part((u[home] % U(parts)).astype(np.int64)):
+                b, s = big[w], small[w]
+                d = np.unique(np.concatenate((b, s)))
+                out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(np.searchsorted(d, b)), _planes(np.searchsorted(d, s))))
+                for q in np.unique(pack[d]):
+                    mine = d[pack[d] == q]
+                    out[0].append(-1 - p), out[1].append(q.tobytes()), out[2].append(_zip(u[mine]))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
@@ -385,7 +446,7 @@ def send(sets_in):
         for p, block in zip(right.column("part").to_pylist(), right.column("block").to_pylist(), strict=True):
             wanted.setdefault(-1 - p, []).append(np.frombuffer(_unzip(block)[0], U))
         if wanted:
-            pack = left.column("pack")[0].as_py()
+            pack = pack_of(left)
             bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
             sets = list(sets_in(bodies[:1]))
             for p, asked in wanted.items():
@@ -439,7 +500,7 @@ def verify(percent):
                 root[x] = x = root[root[x]]
             return x
 
-        for a, e in zip(starts, [*starts[1:], len(big)], strict=True):
+        for a, e in zip(starts, [*starts[1:], len(big)] if len(big) else [], strict=True):
             b = big[a]
             own = tokens[at[b] : at[b] + size[b]]
             mark[own] = True
@@ -461,17 +522,15 @@ def verify(percent):
     return each
 
 
-def members(packed):
+def members(docs, k):
     """doc_id, class and set size of every document."""
 
     def run(batches):
-        for batch in batches:
-            for p, block in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if p == -2:
-                    ids, null, cls, n = _unzip(block.as_py())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool)), pa.array(np.frombuffer(cls, np.int64)), pa.array(_unplanes(n).astype(np.int64))], names=["doc_id", "cls", "n_shingles"])
+        for batch, buf, off in core.chunks(batches):
+            s = Sets(buf, off, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.cls.view(np.int64)), pa.array(s.size.astype(np.int64))], names=["doc_id", "cls", "n_shingles"])
 
-    return packed.mapInArrow(run, "doc_id long, cls long, n_shingles long")
+    return docs.mapInArrow(core.lean(run), "doc_id long, cls long, n_shingles long")
 
 
 def components(edges):
@@ -497,16 +556,34 @@ def components(edges):
             return edges.select(F.col("b").alias("cls"), F.col("a").alias("root"))
 
 
-def linked(packed, parts, sets_in, level, percent, frequent):
-    """Links (a, b, forest) between the classes of packs; ``sets_in`` reads the sets of a pack's texts."""
-    table, by_part = "pack binary, part int, block binary", "part int, pack binary, block binary"
-    apart = packed.mapInArrow(lambda it: it, table)
-    first = core.save(apart.where("part >= 0").groupBy("part").applyInArrow(pairs(parts, percent, frequent, "rare"), by_part))
-    combos = packed.groupBy("pack").cogroup(first.where("part = -1").groupBy("pack")).applyInArrow(combine(parts, sets_in, percent, level), by_part)
-    second = combos.groupBy("part").applyInArrow(pairs(parts, percent, frequent, "all"), by_part)
-    homes = core.save(first.where("part >= 0").unionByName(second).groupBy("part").applyInArrow(gather(parts), by_part))
-    sets = packed.groupBy("pack").cogroup(homes.where("part < 0").groupBy("pack")).applyInArrow(send(sets_in), by_part)
-    return core.save(homes.where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(verify(percent), "a long, b long, forest boolean"))
+def linked(packed, parts, sets_in, level, percent, frequent, share=SHARE):
+    """Links (a, b, forest) between the classes of packs; ``sets_in`` reads the sets of a pack's texts.
+
+    One query, so that the packs' shuffle, the candidates' and the homes' are each written once and read again.
+    """
+    from pyspark.sql import functions as F
+
+    by_part = "part int, pack binary, block binary"
+    lean, fence = core.lean, core.fence
+
+    def to_packs(df):
+        """Requests keyed as the texts are."""
+
+        def keyed(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([at_of(x) for x in b.column(1).to_pylist()], pa.int64()), b.column(1), b.column(0), b.column(2)], names=["at", "pack", "part", "block"])
+
+        return df.mapInArrow(keyed, SCHEMA_AT).groupBy("at")
+
+    first = packed.groupBy("at").applyInArrow(lean(pairs(parts, percent, frequent, "rare", share)), by_part).repartition(parts, "part")
+    asked = fence(first).where("part = -1")
+    combos = packed.groupBy("at").cogroup(to_packs(asked)).applyInArrow(lean(combine(parts, sets_in, percent, level, share)), by_part).repartition(parts, "part")
+    second = fence(combos).where("part >= 0").groupBy("part").applyInArrow(lean(pairs(parts, percent, frequent, "all", share)), by_part)
+    hot = fence(combos).where("part <= -2")
+    more = second.unionByName(hot).withColumn("to", F.when(F.col("part") >= 0, F.col("part")).otherwise(-2 - F.col("part")))
+    homes = first.groupBy("part").cogroup(more.groupBy("to")).applyInArrow(lean(gather(parts, percent, share)), by_part).repartition(parts, "part")
+    sets = packed.groupBy("at").cogroup(to_packs(fence(homes).where("part < 0"))).applyInArrow(lean(send(sets_in)), by_part)
+    return core.save(fence(homes).where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(lean(verify(percent)), "a long, b long, forest boolean"))
 
 
 def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
@@ -517,9 +594,9 @@ def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int
     parts = core.partitions(spark)
     docs = core.docs_of(docs)
     level = spark.sparkContext.broadcast(rarity(docs, lambda buf, off: Sets(buf, off, k), bits))
-    packed = docs.mapInArrow(packs(parts, k, percent, level), "pack binary, part int, block binary").repartition(parts, "pack")
+    packed = docs.mapInArrow(core.lean(packs(parts, k, percent, level)), SCHEMA_AT).repartition(parts, "at")
     links = linked(packed, parts, lambda blocks: (Sets(buf, off, k) for buf, off in _texts(blocks)), level, percent, frequent)
-    who = core.save(members(packed))
+    who = core.save(members(docs, k))
     per = who.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     similar = ends.join(per.select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
@@ -541,6 +618,34 @@ def report(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int
     return out.select("doc_id", "n_shingles", F.coalesce(F.col("n") - 1 + F.col("others"), F.lit(0)).alias("n_similar"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def clean(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
+    """The documents, all columns, without those similar to another: of each component that of the least doc_id stays.
+
+    Of rows with one doc_id and one set, one stays; so do documents with the
+    empty set, all of them.  Documents without an id go if they are similar to
+    one that has an id; else one of each class stays.
+    """
+    from pyspark.sql import functions as F
+
+    who, per = classes(docs, k, percent, frequent, bits)
+    repeats = who.where("cls <> 0").groupBy("doc_id", "cls").count().where("count > 1")
+    gone = who.join(per.where("n > 1 OR others > 0").select("cls", "component_id"), "cls").where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("cls").alias("_gone_cls")).distinct()
+    names, schema = docs.columns, docs.schema
+    mark = "_class_"
+    while mark in names:
+        mark += "_"
+
+    def classed(batches):
+        for batch, buf, off in core.chunks(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Sets(buf, off, k).cls.view(np.int64))], names=[*names, mark])
+
+    rows = docs.mapInArrow(classed, type(schema)([*schema.fields, *type(schema)().add(mark, "long").fields]))
+    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(mark) == F.col("_gone_cls")), "left_anti")
+    if repeats.limit(1).count():
+        kept = kept.where(F.col(mark) != 0).dropDuplicates(["doc_id", mark]).unionByName(kept.where(F.col(mark) == 0))
+    return kept.select(*names)
+
+
 QUERY = "op8_ngram_jaccard"
 
 

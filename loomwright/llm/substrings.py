@@ -110,14 +110,11 @@ def packs(parts: int, length: int, anchor: int, limit: int = PACK):
         segs = _all_segments([body], length, anchor)
         key, content = np.concatenate([s.key for s in segs]), np.concatenate([s.content for s in segs])
         part = (key % U(parts)).astype(np.int64)
-        by = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[by]) > 0))) if len(by) else []
         name = hashlib.blake2b(body, digest_size=16).digest()
         out = [(-1, body)]
-        for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
-            w = by[a:b]
+        for p, w in core.by_part(part):
             u, _, n = _distinct(key[w], content[w])
-            out.append((int(part[w[0]]), _zip(u[0], u[1], np.minimum(n, 2).astype(np.uint8))))
+            out.append((p, _zip(u[0], u[1], np.minimum(n, 2).astype(np.uint8))))
         return pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.binary()), pa.array([p for p, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["pack", "part", "block"])
 
     def run(batches):
@@ -245,11 +242,8 @@ def ship(parts: int, shards: int, length: int, anchor: int):
                 break
             status = _statuses(segs, right, parts)
             number, shard, chunk, first, n, query = _plan(segs, status, length, shards)
-            by = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[by]) > 0))) if len(by) else []
-            for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True):
-                w = np.sort(by[a:b])
-                out[0].append(int(shard[w[0]]))
+            for p, w in core.by_part(shard):
+                out[0].append(p)
                 out[1].append(pack)
                 out[2].append(_zip(_planes(n[w]), query[w], _join(segs, first[w], n[w] + length - 1, chunk[w])))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "pack", "block"])
@@ -346,12 +340,12 @@ def _run(docs, row, schema, ddl, length, anchor, hot):
     parts = core.partitions(spark)
     shards = parts * 2
     table = "pack binary, part int, block binary"
-    packed = core.docs_of(docs).mapInArrow(packs(parts, length, anchor), table).repartition(parts, "pack")
-    hashes = packed.mapInArrow(lambda it: it, table).where("part >= 0")
-    replies = hashes.groupBy("part").applyInArrow(settle(hot), table).repartition(parts, "pack")
-    sent = packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(ship(parts, shards, length, anchor), "shard int, pack binary, block binary")
-    found = sent.groupBy("shard").applyInArrow(search(length), table)
-    return packed.groupBy("pack").cogroup(replies.unionByName(found).groupBy("pack")).applyInArrow(finish(parts, shards, length, anchor, row, schema), ddl)
+    packed = core.docs_of(docs).mapInArrow(core.lean(packs(parts, length, anchor)), table).repartition(parts, "pack")
+    hashes = core.fence(packed).where("part >= 0")
+    replies = hashes.groupBy("part").applyInArrow(core.lean(settle(hot)), table).repartition(parts, "pack")
+    sent = packed.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(core.lean(ship(parts, shards, length, anchor)), "shard int, pack binary, block binary")
+    found = sent.groupBy("shard").applyInArrow(core.lean(search(length)), table)
+    return packed.groupBy("pack").cogroup(replies.unionByName(found).groupBy("pack")).applyInArrow(core.lean(finish(parts, shards, length, anchor, row, schema)), ddl)
 
 
 def digests(docs, length: int = 35, anchor: int = 16, hot: int = 1 << 14):
