@@ -33,6 +33,7 @@ from .fertility import LINE
 
 U = np.uint64
 LAST = np.iinfo(np.int64).max
+SHARE = 2
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
@@ -45,20 +46,16 @@ class Lines:
         starts, ends = core.spans(buf, off, core.NONBLANK)
         tokens = core.hashes(buf, starts, ends)
         line = np.searchsorted(self.starts, starts, "right") - 1
-        o = core.order(core.mix(tokens ^ core.mix(line.astype(U))))
+        o = core.distinct_in(line, tokens)
         tokens, line = tokens[o], line[o]
-        if len(tokens):
-            first = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])))
-            tokens, line = tokens[first], line[first]
         size = np.bincount(line, minlength=len(self.starts)) if len(line) else np.zeros(len(self.starts), np.int64)
         big = size[line] >= min_words if len(line) else np.zeros(0, bool)
-        tokens, line = tokens[big], line[big]
-        o = np.argsort(line, kind="stable")
-        self.tokens, self.doc = tokens[o], line[o]
+        self.tokens, self.doc = tokens[big], line[big]
         self.bounds = np.searchsorted(self.doc, np.arange(len(self.starts) + 1))
         self.size = np.diff(self.bounds)
         c = np.concatenate((np.zeros(1, U), np.cumsum(core.mix(self.tokens + U(77)), dtype=U)))
         self.cls = np.where(self.size > 0, core.mix(c[self.bounds[1:]] - c[self.bounds[:-1]] + self.size.astype(U)), U(0))
+        self.sig = nj.signature(self)
         # Line numbers within the document, blank and empty lines included.
         breaks = np.concatenate(([0], np.cumsum(buf == 10))) if len(buf) else np.zeros(1, np.int64)
         owner = core.word_docs(self.bounds_of_docs, len(self.starts))
@@ -80,8 +77,12 @@ def _lines_in(min_words: int):
     return read
 
 
-def packs(parts: int, percent: int, min_words: int, level_b):
-    """(pack, part, block): part -1 has the rows, -2 each class with its first position, others postings."""
+def packs(parts: int, percent: int, min_words: int, level_b, what: str = "texts"):
+    """Packs as in the n-gram join.
+
+    what: "join" gives rows and postings, "members" each class with its first
+    position in the pack, "texts" the rows.
+    """
 
     def rows(batches):
         sink = pa.BufferOutputStream()
@@ -95,23 +96,25 @@ def packs(parts: int, percent: int, min_words: int, level_b):
             ids = np.array([LAST if i is None else i for i in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()], np.int64)
             have = np.flatnonzero(s.cls)
             cls.append(s.cls[have]), doc.append(ids[s.owner[have]]), number.append(s.number[have])
+            if what != "join":
+                continue
             _, once = np.unique(s.cls, return_index=True)
             rep = np.zeros(len(s.cls), bool)
             rep[once] = True
-            d, pos, token = nj.prefixes(s, level_b.value, percent)
+            d, pos, token = nj.prefixes(s, level_b.value, percent, SHARE)
             mine = rep[d] if len(d) else np.zeros(0, bool)
-            got.append((token[mine], s.cls[d[mine]], s.size[d[mine]], pos[mine]))
+            got.append((token[mine], s.cls[d[mine]], s.size[d[mine]], pos[mine], s.sig[d[mine]]))
         cls, doc, number = (np.concatenate(x) for x in (cls, doc, number))
         o = np.lexsort((number, doc, cls))
         cls, doc, number = cls[o], doc[o], number[o]
         first = np.concatenate(([True], cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, bool)
         n = np.diff(np.append(np.flatnonzero(first), len(cls)))
-        out = [(-1, body), (-2, _zip(cls[first], doc[first], number[first], n.astype(np.int64)))]
-        name = hashlib.blake2b(b"".join(b for _, b in out), digest_size=16).digest()
-        token, c, z, pos = (np.concatenate(x) for x in zip(*got, strict=True))
-        for p, w in nj._parts((token % U(parts)).astype(np.int64)):
-            out.append((p, nj._postings(token[w], c[w], z[w], pos[w])))
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(out), pa.binary()), pa.array([p for p, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["pack", "part", "block"])
+        classes = _zip(cls[first], doc[first], number[first], n.astype(np.int64))
+        name = hashlib.blake2b(body + classes, digest_size=16).digest()
+        if what == "members":
+            return nj.packed_rows(name, classes, [])
+        token, c, z, pos, sig = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, U)] * 5
+        return nj.packed_rows(name, body, [(p, nj._postings(token[w], c[w], z[w], pos[w], sig[w])) for p, w in core.by_part((token % U(parts)).astype(np.int64))])
 
     def run(batches):
         held, used = [], 0
@@ -132,10 +135,9 @@ def members(packed):
 
     def run(batches):
         for batch in batches:
-            for name, p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if p == -2:
-                    cls, doc, number, n = (np.frombuffer(x, np.int64) for x in nj._unzip(block.as_py()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cls), pa.binary()), pa.array(cls), pa.array(doc), pa.array(number), pa.array(n)], names=["pack", "cls", "doc", "line", "n"])
+            for name, block in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
+                cls, doc, number, n = (np.append(np.frombuffer(x, np.int64), y) for x, y in zip(nj._unzip(block.as_py()), (0, LAST, LAST, 0), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cls), pa.binary()), pa.array(cls), pa.array(doc), pa.array(number), pa.array(n)], names=["pack", "cls", "doc", "line", "n"])
 
     return packed.mapInArrow(run, "pack binary, cls long, doc long, line long, n long")
 
@@ -147,18 +149,24 @@ def _run(docs, percent, min_words, frequent, bits, row, schema):
     spark = docs.sparkSession
     parts = core.partitions(spark)
     level = spark.sparkContext.broadcast(nj.rarity(docs, lambda buf, off: Lines(buf, off, min_words), bits))
-    packed = docs.mapInArrow(packs(parts, percent, min_words, level), "pack binary, part int, block binary").repartition(parts, "pack")
-    links = nj.linked(packed, parts, _lines_in(min_words), level, percent, frequent)
-    who = core.save(members(packed))
+    table = nj.SCHEMA_AT
+    packed = docs.mapInArrow(core.lean(packs(parts, percent, min_words, level, "join")), table).repartition(parts, "at")
+    links = nj.linked(packed, parts, _lines_in(min_words), level, percent, frequent, SHARE)
+    who = core.save(members(docs.mapInArrow(core.lean(packs(parts, percent, min_words, level, "members")), table)))
     at = F.struct("doc", "line")
-    per = who.groupBy("cls").agg(F.min(at).alias("first"), F.sum("n").alias("n"))
+    per = who.where("cls <> 0").groupBy("cls").agg(F.min(at).alias("first"), F.sum("n").alias("n"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     before = ends.join(per.select(F.col("cls").alias("b"), "first"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("other"))
     # Classes of one line that match nothing need no answer.
     cut = per.join(before, "cls", "left").where("n > 1 OR other IS NOT NULL").select("cls", F.least("first", F.coalesce("other", "first")).alias("cut"))
     answers = who.select("pack", "cls").join(cut, "cls").select("pack", "cls", F.col("cut.doc").alias("doc"), F.col("cut.line").alias("line"))
+    # Every pack gets an answer, so that one that doesn't is found out.
+    answers = answers.unionByName(who.select("pack").distinct().select("pack", F.lit(0).cast("long").alias("cls"), F.lit(LAST).alias("doc"), F.lit(LAST).alias("line")))
+    texts = docs.mapInArrow(core.lean(packs(parts, percent, min_words, level)), table)
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and not right.num_rows:
+            raise RuntimeError("the lines of a pack changed while they were joined; the input isn't repeatable")
         cls = np.array(right.column("cls")).astype(np.int64).view(U)
         o = np.argsort(cls)
         cls, doc, line = cls[o], np.array(right.column("doc"))[o], np.array(right.column("line"))[o]
@@ -186,7 +194,7 @@ def _run(docs, percent, min_words, frequent, bits, row, schema):
                 out.append(row(batch, texts, lines, removed))
         return pa.Table.from_batches(out) if out else row(None, [], [], [])
 
-    return packed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(each, schema)
+    return texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(core.lean(each), schema)
 
 
 def digests(docs, percent: int = 80, min_words: int = 5, frequent: int = 4096, bits: int = 22):
