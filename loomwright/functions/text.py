@@ -58,7 +58,7 @@ def list_value(value: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[\[([^\]|]*\|)?([^\]]*)\]\]", "$2"), (r"(?m)^#{1,6}\s+", ""), (r"(\*\*|__|\*|`)", ""), (r"\s+", " ")):
+    for pattern, to in ((r"![\[][^\]]*[\]][(][^)]*[)]", ""), (r"[\[]([^\]]*)[\]][(][^)]*[)]", "$1"), (r"\[{2}([^\]|]*\|)?([^\]]*)\]{2}", "$2"), (r"(?m)^#{1,6}\s+", ""), (r"(\*\*|__|\*|`)", ""), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, to)
     return F.trim(text)
 
@@ -83,7 +83,7 @@ def clean_text(text: Column, rules: Rules = RULES) -> Column:
 
 def sentences(text: Column, least: int = 11) -> Column:
     """Split after Han stops and newlines, and at a full stop before a capital; at least ``least`` characters."""
-    first = F.split(text, r"(?<=[。！？；\n])\s*")
+    first = F.split(text, r"(?<=[\n；！？。])\s*")
     parts = F.flatten(F.transform(first, lambda s: F.split(s, r"(?<=[A-Za-z])\.\s+(?=[A-Z])")))
     return F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= least)
 
@@ -206,7 +206,7 @@ def relevant_sentences(text: Column, words: Column, k: int = 3) -> Column:
 
 def section(text: Column, name: str) -> Column:
     """What stands between ``## name`` and the next heading of that level."""
-    return F.regexp_extract(text, rf"(?s)(?:^|\n)## {re.escape(name)}[^\n]*\n(.*?)(?=\n## |\z)", 1)
+    return F.regexp_extract(text, rf"(?s)(?:^|\n)## {re.escape(name)}[^\n]*\n(.*?)(?=\n#{{2}} |\z)", 1)
 
 
 def timeline(text: Column, heading: str = "时间线", source: str = "来源") -> Column:
@@ -225,7 +225,7 @@ def timeline(text: Column, heading: str = "时间线", source: str = "来源") -
 
 
 def wikilinks(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1)), lambda x: F.trim(F.substring_index(x, "|", 1))))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[{2}([^\]]+)\]{2}"), F.lit(1)), lambda x: F.trim(F.substring_index(x, "|", 1))))
 
 
 def markdown_links(text: Column) -> Column:
@@ -275,7 +275,7 @@ def sentiment(text: Column, rules: Rules = RULES) -> Column:
 
 def json_in(text: Column) -> Column:
     """The JSON that a reply holds: bare, fenced, or its first object or list; null where there is none."""
-    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)`{3}(?:json)?\s*(.*?)`{3}", 1), F.lit(""))
     loose = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1), F.lit(""))
     return F.coalesce(F.try_parse_json(F.trim(text)), F.try_parse_json(fenced), F.try_parse_json(loose))
 
@@ -292,7 +292,7 @@ def answer_type(q: Column) -> Column:
 def mojibake(text: Column, variant: str = "default") -> Column:
     """Damaged text, by one of four definitions that differ in what runs of accented letters they suspect."""
     bad = text.contains("�")
-    return {"default": bad | text.rlike(r"[À-ÿ]{4,}"), "strict": bad | text.rlike(r"[À-ÿ]{4,}") | text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]{3,}"), "ipa": bad | text.rlike(r"[À-ʯ]{3,}"), "loose": bad | text.rlike(r"[À-ÿ]{3,}")}[variant]
+    return {"default": bad | text.rlike(r"[À-ÿ]{4,}"), "strict": bad | text.rlike(r"[À-ÿ]{4,}") | text.rlike(r"[\x0e-\x1f\x0b\x0c\x00-\x08]{3,}"), "ipa": bad | text.rlike(r"[À-ʯ]{3,}"), "loose": bad | text.rlike(r"[À-ÿ]{3,}")}[variant]
 
 
 def age_days(date: Column, as_of: str) -> Column:

@@ -258,7 +258,7 @@ def question_matches(questions: DataFrame, docs: DataFrame, least: float = 0.3)
     return j.select("entity", "question", "doc", r.alias("relevance")).where(F.col("relevance") >= least).withColumn("confidence", F.when(F.col("relevance") >= 0.7, "high").when(F.col("relevance") >= 0.5, "medium").otherwise("low"))
 
 
-def lint(pages: DataFrame, required: tuple[str, ...] = ("title", "entity", "type", "last_updated", "sources_count", "tags")) -> DataFrame:
+def lint(pages: DataFrame, required: tuple[str, ...] = ("entity", "last_updated", "sources_count", "tags", "title", "type")) -> DataFrame:
     """(level, category, path) issues of front matter, timelines and assessments."""
     gone = F.filter(F.array(*(F.lit(k) for k in required)), lambda k: ~F.map_contains_key("meta", k))
     a = pages.where(F.size(gone) > 0).select(F.lit("WARNING").alias("level"), F.lit("frontmatter").alias("category"), "path")

@@ -16,16 +16,16 @@ class Rules:
     filename_blacklist: tuple[str, ...] = ("行情中心", "公司简介", "百科")
     name_blacklist: tuple[str, ...] = ("有限公司", "股份公司", "集团公司")
     min_content: int = 100
-    noise: tuple[str, ...] = (r"^(关于|联系|首页|导航|菜单)", r"^(about|contact|menu|navigation)\b", r"(登录|注册|订阅|版权所有)", r"(copyright|all rights reserved|privacy policy)", r"^[\s\-_=*#]{10,}$", r"^[|:\s]+$")
-    weights: dict = field(default_factory=lambda: {"has_specific_numbers": 0.25, "has_entity_names": 0.20, "content_length": 0.15, "sentence_diversity": 0.15, "has_action_verbs": 0.10, "no_noise_ratio": 0.15})
+    noise: tuple[str, ...] = (r"^(关于|联系|首页|导航|菜单)", r"^(about|contact|menu|navigation)\b", r"(登录|注册|订阅|版权所有)", r"(copyright|all rights reserved|privacy policy)", r"^[-=_#*\s]{10,}$", r"^[|:\s]+$")
+    weights: dict = field(default_factory=lambda: {"content_length": 0.15, "has_action_verbs": 0.1, "has_entity_names": 0.2, "has_specific_numbers": 0.25, "no_noise_ratio": 0.15, "sentence_diversity": 0.15})
     accept: float = 0.5
     review: float = 0.2
     grades: dict = field(default_factory=lambda: {"S": 0.8, "A": 0.5, "B": 0.2})
-    number_units: str = r"\d+\.?\d*\s*(亿|万|%|元|倍|GB|TB|nm|mm|Q[1-4])"
-    entity_words: str = r"(公司|集团|股份|半导体|芯片|NVIDIA|AMD|TSMC|Intel)"
-    action_words: tuple[str, ...] = ("发布", "推出", "宣布", "突破", "增长", "下降", "收购", "投资", "launched", "announced", "acquired", "grew")
+    number_units: str = r"[0-9]+(?:[.][0-9]*)?\s*(?:%|GB|TB|mm|nm|Q[1-4]|倍|元|万|亿)"
+    entity_words: str = r"(Intel|TSMC|AMD|NVIDIA|芯片|半导体|股份|集团|公司)"
+    action_words: tuple[str, ...] = ("grew", "acquired", "announced", "launched", "收购", "投资", "增长", "下降", "突破", "宣布", "推出", "发布")
     industry_words: tuple[str, ...] = ("芯片", "半导体", "GPU", "AI", "营收", "利润", "产能", "revenue", "profit", "capacity")
-    role_words: str = r"(公司|集团|股份|CEO|董事长|总经理|总裁)"
+    role_words: str = r"(CEO|总裁|董事长|总经理|集团|股份|公司)"
     positive: tuple[str, ...] = ("增长", "突破", "领先", "growth", "record", "strong")
     negative: tuple[str, ...] = ("下降", "亏损", "风险", "decline", "loss", "weak")
     info_types: tuple[tuple[str, str], ...] = ((r"(营收|利润|财报|revenue|earnings)", "财务"), (r"(发布|推出|新品|launch)", "产品"), (r"(收购|并购|投资|融资|acqui)", "投资"), (r"(合作|签约|partner)", "合作"), (r"(政策|监管|regulat)", "政策"), (r"(研发|专利|突破|patent)", "技术"), (r"(人事|任命|辞职|appoint)", "人事"))

@@ -23,7 +23,7 @@ def low_information(title, points, body, level):
 
 
 def plain_title(title):
-    return F.regexp_replace(title, r"\[\[([^\]]*)\]\]", "$1")
+    return F.regexp_replace(title, r"\[{2}([^\]]*)\]{2}", "$1")
 
 
 def upsert_timeline(timeline: DataFrame, new: DataFrame) -> DataFrame:

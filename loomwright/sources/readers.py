@@ -115,7 +115,7 @@ def read_json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(at, op, message) of ``## [date time] op | message`` lines."""
-    line = r"^## \[(\d{4}-\d{2}-\d{2})(?: (\d{2}:\d{2}))?\] (\S+) \| (.*)$"
+    line = r"^#{2} \[([0-9-]{10})(?: ([0-9:]{5}))?\] (\S+) \| (.*)$"
     return spark.read.text(path).where(F.col("value").rlike(line)).select(F.concat_ws(" ", F.regexp_extract("value", line, 1), F.nullif(F.regexp_extract("value", line, 2), F.lit(""))).alias("at"), F.regexp_extract("value", line, 3).alias("op"), F.regexp_extract("value", line, 4).alias("message"))
 
 
