@@ -45,7 +45,7 @@ class Lines:
         self.bounds_of_docs = core.per_doc(off, self.starts)
         starts, ends = core.spans(buf, off, core.NONBLANK)
         tokens = core.hashes(buf, starts, ends)
-        line = np.searchsorted(self.starts, starts, "right") - 1
+        line = np.repeat(np.arange(len(self.starts)), np.diff(np.append(np.searchsorted(starts, self.starts), len(starts))))
         o = core.distinct_in(line, tokens)
         tokens, line = tokens[o], line[o]
         size = np.bincount(line, minlength=len(self.starts)) if len(line) else np.zeros(len(self.starts), np.int64)
@@ -85,13 +85,10 @@ def packs(parts: int, percent: int, min_words: int, level_b, what: str = "texts"
     """
 
     def rows(batches):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            for b in batches:
-                w.write_batch(b)
-        body = sink.getvalue().to_pybytes()
         got, cls, doc, number = [], [], [], []
+        name = hashlib.blake2b(digest_size=16)
         for batch, buf, off in core.chunks(batches):
+            name.update(buf)
             s = Lines(buf, off, min_words)
             ids = np.array([LAST if i is None else i for i in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()], np.int64)
             have = np.flatnonzero(s.cls)
@@ -110,9 +107,15 @@ def packs(parts: int, percent: int, min_words: int, level_b, what: str = "texts"
         first = np.concatenate(([True], cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, bool)
         n = np.diff(np.append(np.flatnonzero(first), len(cls)))
         classes = _zip(cls[first], doc[first], number[first], n.astype(np.int64))
-        name = hashlib.blake2b(body + classes, digest_size=16).digest()
+        name.update(classes)
+        name = name.digest()
         if what == "members":
             return nj.packed_rows(name, classes, [])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for b in batches:
+                w.write_batch(b)
+        body = sink.getvalue().to_pybytes()
         token, c, z, pos, sig = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, U)] * 5
         return nj.packed_rows(name, body, [(p, nj._postings(token[w], c[w], z[w], pos[w], sig[w])) for p, w in core.by_part((token % U(parts)).astype(np.int64))])
 
