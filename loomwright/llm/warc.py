@@ -278,7 +278,9 @@ def convert(decisions, path: str):
                     files.add(converted(h, content, *refer[n]), warc_info)
         return pa.Table.from_batches([files.manifest()])
 
-    decisions.groupBy("file").applyInArrow(each, MANIFEST).write.parquet(f"{path}/manifest")
+    # As many tasks as files, up to the shuffle's partitions: the decisions are few, the files aren't.
+    spread = decisions.repartition(core.partitions(decisions.sparkSession), "file")
+    spread.groupBy("file").applyInArrow(each, MANIFEST).write.parquet(f"{path}/manifest")
     return decisions.sparkSession.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
