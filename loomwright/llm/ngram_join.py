@@ -304,10 +304,17 @@ def pairs(parts, percent, frequent, what, share):
             sel = np.flatnonzero(hot[run]) if len(run) else []
             for p, w in core.by_part(from_pack[sel]) if len(sel) else ():
                 out[0].append(-1), out[1].append(names[p]), out[2].append(_zip(np.unique(token[sel[w]])))
-            length = np.where(hot, 0, length)
             use = ~hot[run_k] if len(run_k) else np.zeros(0, bool)
             run_k, c_k, pos_k = run_k[use], c_k[use], pos_k[use]
-        begin = np.searchsorted(run_k, np.arange(len(length)))
+        # Within a list by size: partners are those that follow, up to the largest size that can be similar.
+        width = int(size.max()) * 100 // percent + 2 if len(size) else 2
+        key = run_k * width + size[c_k]
+        o = np.argsort(key, kind="stable")
+        key, c_k, pos_k = key[o], c_k[o], pos_k[o]
+        last = np.searchsorted(key, key - size[c_k] + size[c_k] * 100 // percent, "right")
+        left = last - np.arange(len(key)) - 1
+        rows = np.flatnonzero(left > 0)
+        left = left[rows]
         found, times = np.zeros(0, U), np.zeros(0, np.int64)
         fresh, waiting = [], 0
 
@@ -316,28 +323,18 @@ def pairs(parts, percent, frequent, what, share):
             n = np.bincount(inverse, weights=np.concatenate((times, *(n for _, n in fresh))), minlength=len(keys))
             return keys, np.minimum(n, share).astype(np.int64)
 
-        lists = np.flatnonzero(length > 1)
-        cost = length[lists] * (length[lists] - 1) // 2
-        a = 0
-        while a < len(lists):  # in steps of a bounded number of pairs; a longer list goes by its rows
-            b = max(a + 1, int(np.searchsorted(np.cumsum(cost[a:]), 1_000_000, "right")) + a)
-            ls = lists[a:b]
-            rows = core.ragged(begin[ls], length[ls])
-            left = np.repeat(begin[ls] + length[ls], length[ls]) - rows - 1
-            step = 0
-            upto = np.cumsum(left)
-            while step < len(rows):
-                end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + 1_000_000, "right")))
-                i = np.repeat(rows[step:end], left[step:end])
-                j = core.ragged(rows[step:end] + 1, left[step:end])
-                ok = _filter(c_k[i], c_k[j], size, pos_k[i], pos_k[j], percent, share, sig)
-                x, y = c_k[i[ok]].astype(U), c_k[j[ok]].astype(U)
-                fresh.append(np.unique((np.maximum(x, y) << U(32)) | np.minimum(x, y), return_counts=True))
-                waiting += len(fresh[-1][0])
-                if waiting > 2_000_000:
-                    (found, times), fresh, waiting = merged(), [], 0
-                step = end
-            a = b
+        upto, step = np.cumsum(left), 0
+        while step < len(rows):  # a bounded number of pairs at a time
+            end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + 1_000_000, "right")))
+            i = np.repeat(rows[step:end], left[step:end])
+            j = core.ragged(rows[step:end] + 1, left[step:end])
+            ok = _filter(c_k[i], c_k[j], size, pos_k[i], pos_k[j], percent, share, sig)
+            x, y = c_k[i[ok]].astype(U), c_k[j[ok]].astype(U)
+            fresh.append(np.unique((np.maximum(x, y) << U(32)) | np.minimum(x, y), return_counts=True))
+            waiting += len(fresh[-1][0])
+            if waiting > 2_000_000:
+                (found, times), fresh, waiting = merged(), [], 0
+            step = end
         found, times = merged()
         if what == "all":  # two shingles in common already, in one combination
             times = np.full(len(found), share)
@@ -461,9 +458,11 @@ def send(sets_in):
                 cls = np.concatenate(cls)
                 if len(cls) != len(asked):
                     raise RuntimeError("the sets of a pack changed while they were joined; its input isn't repeatable")
-                # Shared shingles are written once: groups of near copies compress.
-                u, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-                out[0].append(p), out[1].append(pack), out[2].append(_zip(cls, _planes(np.concatenate(size)), u, _planes(inverse)))
+                # Shared tokens are written once; sorted tokens and their places in the sets go as steps, which compress.
+                size, (u, place) = np.concatenate(size), np.unique(np.concatenate(tokens), return_inverse=True)
+                step = np.diff(u, prepend=U(0))
+                place = place + np.repeat(np.arange(len(size)), size) * len(u)
+                out[0].append(p), out[1].append(pack), out[2].append(_zip(cls, _planes(size), _planes(step & U(0xFFFFFFFF)), _planes(step >> U(32)), _planes(np.diff(place, prepend=0))))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
@@ -475,8 +474,11 @@ def verify(percent):
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         cls, size, tokens = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
         for block in right.column("block").to_pylist():
-            c, z, u, i = _unzip(block)
-            cls.append(np.frombuffer(c, U)), size.append(_unplanes(z).astype(np.int64)), tokens.append(np.frombuffer(u, U)[_unplanes(i)])
+            c, z, low, high, place = _unzip(block)
+            z = _unplanes(z).astype(np.int64)
+            u = np.cumsum(_unplanes(low).astype(U) | (_unplanes(high).astype(U) << U(32)), dtype=U)
+            place = np.cumsum(_unplanes(place).astype(np.int64)) - np.repeat(np.arange(len(z)), z) * len(u)
+            cls.append(np.frombuffer(c, U)), size.append(z), tokens.append(u[place])
         cls, size, tokens = np.concatenate(cls), np.concatenate(size), np.concatenate(tokens)
         at = np.cumsum(size) - size
         u, first = np.unique(cls, return_index=True)
