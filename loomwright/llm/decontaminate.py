@@ -152,13 +152,17 @@ def clean(docs, benchmark, n: int = 8, min_items: int = 2, mode: str = "document
 
     mode "documents" drops a document in which windows of at least
     ``min_items`` items occur; "spans" keeps every document and cuts the hit
-    words, with the bytes between them, out of its text.
+    words, with the bytes between them, out of its text; "both" drops as
+    "documents" does, cuts the hit words out of the rest, and drops those that
+    had words and have none left.  ``n_chars``, where there is such a column,
+    is the new text's length.
     """
-    if mode not in ("documents", "spans"):
-        raise ValueError(f"mode is documents or spans, not {mode!r}")
+    if mode not in ("documents", "spans", "both"):
+        raise ValueError(f"mode is documents, spans or both, not {mode!r}")
     spark = docs.sparkSession
     kind, what = build(spark, benchmark, n, block_windows)
     ti = docs.columns.index("text")
+    ci = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch, buf, off in core.chunks(batches):
@@ -183,7 +187,14 @@ def clean(docs, benchmark, n: int = 8, min_items: int = 2, mode: str = "document
             text = pa.compute.if_else(old.is_null(), pa.scalar(None, pa.large_string()), text) if old.null_count else text
             cols = list(batch.columns)
             cols[ti] = text.cast(old.type)
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            c = np.concatenate(([0], np.cumsum(hit)))
+            n_hit = c[bounds[1:]] - c[bounds[:-1]]
+            if ci is not None:
+                cols[ci] = pa.compute.if_else(pa.array(n_hit > 0), pa.compute.utf8_length(text).cast(cols[ci].type), cols[ci])
+            out = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            if mode == "both":
+                out = out.filter(pa.array([len(items.get(d, ())) < min_items and (not k or k < w) for d, (k, w) in enumerate(zip(n_hit.tolist(), np.diff(bounds).tolist(), strict=True))], pa.bool_()))
+            yield out
 
     return docs.mapInArrow(run, docs.schema)
 

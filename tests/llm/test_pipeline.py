@@ -39,3 +39,15 @@ def test_stages(spark, tmp_path):
     whole = {r.doc_id: r.decoded_sha256 for r in P.run(spark, str(tmp_path)).collect()}
     assert whole == {i: r.decoded_sha256 for i, r in after.items()}
     assert decontaminate and lines and ngram_join and toxicity
+
+
+def test_benchmark_stage_acts_on_one_item(spark, tmp_path):
+    item = "Which of these nine rivers, says the old map, runs north of the grey hills?"
+    before, after = "Some words é stand before.\n", "\nAnd others follow it to the end."
+    docs = [(1, before + item + after), (2, before + after), (3, item), (4, before + item[: item.index("says")] + after), (5, None), (6, "")]
+    spark.createDataFrame([(7, item), (8, "no document has a single one of these words together in it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in P.benchmark_stage(spark, docs, str(tmp_path)).collect()}
+    cut = before + "?" + after
+    whole = before + item[: item.index("says")] + after
+    assert out == {1: (cut, len(cut)), 2: (before + after, len(before + after)), 4: (whole, len(whole)), 5: (None, 0), 6: ("", 0)}
