@@ -7,7 +7,9 @@ normalised entropy of the document's tokens.  For each band group (the
 document's language, or where that is null its dominant script) quartiles of
 each measure are taken over *all* documents that pass the base rules, from an
 exact histogram; a document is rejected outside
-[q1 - width * spread, q3 + width * spread], spread = max(q3 - q1, a floor).
+[q1 - low * spread, q3 + width * spread], spread = max(q3 - q1, a floor).  Junk
+(symbols, tables, repetition) takes more tokens for its characters and has
+fewer different ones, so ``low`` is narrow for these two; elsewhere it's width.
 
 One scan measures every text and writes a narrow table to the shared folder;
 the histogram is a partial aggregation of that table with a bounded number of
@@ -37,6 +39,8 @@ LINE[10] = False
 STEP = {"chars_per_token": 0.01, "byte_share": 0.001, "entropy": 0.001}
 #: The least spread of a band, in the measure's own unit.
 FLOOR = {"chars_per_token": 0.05, "byte_share": 0.02, "entropy": 0.05}
+#: The lower sides that are narrower than ``width``.
+LOW = {"chars_per_token": 1.5, "entropy": 1.5}
 SCRIPTS = ("Latin", "Cyrillic", "Arabic", "Han", "Other")
 MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, band string, chars_per_token int, byte_share int, entropy int"
 
@@ -164,7 +168,7 @@ def measures(docs, model: str):
     return slim.mapInArrow(run, MEASURES)
 
 
-def bands(measured, width: float):
+def bands(measured, width: float, low: dict[str, float]):
     """band, measure -> lowest and highest accepted bucket, over all documents that pass the base rules."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
@@ -175,16 +179,17 @@ def bands(measured, width: float):
     upto = hist.withColumn("upto", F.sum("count").over(w.orderBy("bucket"))).withColumn("all", F.sum("count").over(w))
     q = upto.groupBy("band", "measure").agg(*(F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 3)))
     floor = F.create_map(*(F.lit(x) for k in STEP for x in (k, math.ceil(FLOOR[k] / STEP[k]))))
-    spread = F.greatest(F.col("q3") - F.col("q1"), floor[F.col("measure")]) * F.lit(width)
-    return q.select("band", "measure", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
+    below = F.create_map(*(F.lit(x) for k in STEP for x in (k, float(low.get(k, width)))))
+    spread = F.greatest(F.col("q3") - F.col("q1"), floor[F.col("measure")])
+    return q.select("band", "measure", (F.col("q1") - spread * below[F.col("measure")]).alias("low"), (F.col("q3") + spread * F.lit(width)).alias("high"))
 
 
-def report(docs, model: str, width: float = 6.0):
-    """One row per document: base counts, measures, and whether it is kept."""
+def report(docs, model: str, width: float = 6.0, low: dict[str, float] = LOW):
+    """One row per document: base counts, measures, and whether it is kept; ``low`` are the lower sides that aren't ``width`` wide."""
     from pyspark.sql import functions as F
 
     measured = core.save(measures(docs, model))
-    b = bands(measured, width)
+    b = bands(measured, width, low)
     wide = b.groupBy("band").agg(*(F.max(F.when(F.col("measure") == k, F.col(x))).alias(f"{k}_{x}") for k in STEP for x in ("low", "high")))
     inside = F.lit(True)
     for k in STEP:

@@ -179,6 +179,18 @@ def test_fertility_rejects_what_the_tokenizer_does_not_know(spark):
     assert sum(out[i].kept for i, _, _ in good) >= 59
 
 
+def test_fertility_rejects_symbols_and_tables(spark):
+    rng = random.Random(4)
+    words = lambda n: [rng.choice(["house", "river", "people", "little", "under", "walking", "stone"]) + rng.choice(["", "s", "ed"]) for _ in range(n)]
+    good = [(i, " ".join(words(150)), "en") for i in range(60)]
+    littered = [(900 + i, " ".join(w + " " + rng.choice(["$$$", "%%%", "###"]) if k % 6 == 0 else w for k, w in enumerate(words(150))), "en") for i in range(3)]
+    tables = [(950 + i, " ".join(words(110)) + "\n" + "\n".join(f"| {' '.join(words(2))} | {' '.join(words(1))} |" for _ in range(18)), "en") for i in range(3)]
+    out = {r.doc_id: r for r in fertility.report(spark.createDataFrame(good + littered + tables, "doc_id long, text string, lang string"), core.tokenizer_path("piece_bpe_32k.model")).collect()}
+    for i, _, _ in littered + tables:
+        assert not out[i].base_failed and not out[i].kept
+    assert sum(out[i].kept for i, _, _ in good) >= 57
+
+
 # ---- op 5
 
 
