@@ -10,6 +10,7 @@ mixing step, so hashing n words costs O(bytes) vector operations.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import inspect
 import os
 import uuid
@@ -36,6 +37,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 CHUNK = 1 << 20
+#: Spans of more bytes than this are hashed one by one.
+LONG = 256
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)
 _T = np.random.default_rng(20240229).integers(1, 2**63, 256).astype(U) | U(1)
@@ -111,7 +114,12 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     p, inv = _powers(len(buf))
     c = np.zeros(len(buf) + 1, U)
     np.cumsum(_T[buf] * p[: len(buf)], out=c[1:])
-    return mix((c[ends] - c[starts]) * inv[starts] + U(0x5851F42D4C957F2D))
+    out = mix((c[ends] - c[starts]) * inv[starts] + U(0x5851F42D4C957F2D))
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):  # a polynomial modulo a power of two has known collisions of long strings
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -262,6 +270,37 @@ def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def input_bytes(df) -> int | None:
+    """The optimizer's estimate of the bytes of the tables that are read; None where it has none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return n if n < 1 << 60 else None
+
+
+def parts(df, each: int = 32 << 20, most: int = 1 << 30) -> int:
+    """Parts of an index over a table: one for each ``each`` bytes, up to 4,096; larger ones, of at most ``most`` bytes, beyond.
+
+    Few parts keep blocks (one for each pack and part) large and repetitions of
+    a document between parts rare; tasks work through a part piece by piece.
+    """
+    n = input_bytes(df)
+    if n is None:
+        return max(12, partitions(df.sparkSession))
+    return max(12, -(-n // most), min(4096, -(-n // each)))
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Column names that aren't taken, whatever their case."""
+    taken = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        n = f"_{n}_"
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def docs_of(df, id_col: str = "doc_id", text_col: str = "text", *more: str):
     """Only the needed columns, so that no other column can clash."""
     from pyspark.sql import functions as F

@@ -1,22 +1,28 @@
 """Line dedup: an exact set-similarity join of lines, which removes later matches.
 
 A line is a \\n-separated part of a text; its set is its distinct words (runs
-of anything but ASCII blanks, compared as they are).  Lines of fewer than
-``min_words`` distinct words are left alone.  A line goes when an earlier line
-of the corpus, removed or not, has Jaccard similarity of at least ``percent``
-per cent with it; earlier is by (doc_id, line number).
+of anything but ASCII blanks, compared as they are).  Every line with a word
+takes part.  A line goes when an earlier line of the corpus, removed or not,
+has Jaccard similarity of at least ``percent`` per cent with it; earlier is by
+(doc_id, line number).
 
 Lines of equal sets form a class, wherever they are; classes are joined by the
 machinery of the n-gram join: tokens in order of rarity over the whole corpus,
-prefix, length and positional filters, exact verification.  Each class then has
-one position, its own and its matches' earliest, which goes back to the packs
-of documents that hold the class.  However often a line occurs, it moves once
-per pack.
+prefix, length and positional filters, exact verification.  Sets of so few
+words that only equal ones are similar (under 4 at 80 %) are classes only.
+
+1. Survey, one scan: per pack of documents and class, the first position there
+   and how many lines it has; and the words' frequencies.
+2. One query: packs are shuffled once, with each line's class beside the text;
+   classes are joined, and each has one position, its own and its matches'
+   earliest, which goes back to the packs that hold the class.  However often a
+   line occurs, it moves once per pack.
 
 Defined cases: a null or empty text has no lines with words and stays as it
 is; blank lines are never removed; a null doc_id comes after all others;
 rows of the same doc_id aren't earlier or later than each other, line for
 line, so repeated rows keep the same lines; a text of any length is read whole.
+A doc_id must be a number: another type is cast, and what can't be cast raises.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ import pyarrow as pa
 
 from . import core
 from . import ngram_join as nj
-from .bpe import _zip
+from .bpe import _unzip, _zip
 from .fertility import LINE
 
 U = np.uint64
@@ -40,27 +46,29 @@ SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 class Lines:
     """Word sets of the lines of a chunk of documents; as nj.Sets, with lines for documents."""
 
-    def __init__(self, buf, off, min_words: int):
+    def __init__(self, buf, off):
         self.starts, self.ends = core.spans(buf, off, LINE)
-        self.bounds_of_docs = core.per_doc(off, self.starts)
         starts, ends = core.spans(buf, off, core.NONBLANK)
         tokens = core.hashes(buf, starts, ends)
         line = np.repeat(np.arange(len(self.starts)), np.diff(np.append(np.searchsorted(starts, self.starts), len(starts))))
         o = core.distinct_in(line, tokens)
-        tokens, line = tokens[o], line[o]
-        size = np.bincount(line, minlength=len(self.starts)) if len(line) else np.zeros(len(self.starts), np.int64)
-        big = size[line] >= min_words if len(line) else np.zeros(0, bool)
-        self.tokens, self.doc = tokens[big], line[big]
+        self.tokens, self.doc = tokens[o], line[o]
         self.bounds = np.searchsorted(self.doc, np.arange(len(self.starts) + 1))
         self.size = np.diff(self.bounds)
         c = np.concatenate((np.zeros(1, U), np.cumsum(core.mix(self.tokens + U(77)), dtype=U)))
         self.cls = np.where(self.size > 0, core.mix(c[self.bounds[1:]] - c[self.bounds[:-1]] + self.size.astype(U)), U(0))
-        self.sig = nj.signature(self)
-        # Line numbers within the document, blank and empty lines included.
-        breaks = np.concatenate(([0], np.cumsum(buf == 10))) if len(buf) else np.zeros(1, np.int64)
-        owner = core.word_docs(self.bounds_of_docs, len(self.starts))
-        self.owner = owner
-        self.number = breaks[self.starts] - breaks[off[:-1]][owner] if len(self.starts) else np.zeros(0, np.int64)
+
+
+def places(buf, off, starts):
+    """(owner, number) of the lines that begin at ``starts``; numbers count blank and empty lines too."""
+    breaks = np.concatenate(([0], np.cumsum(buf == 10))) if len(buf) else np.zeros(1, np.int64)
+    owner = core.word_docs(core.per_doc(off, starts), len(starts))
+    return owner, breaks[starts] - breaks[off[:-1]][owner] if len(starts) else np.zeros(0, np.int64)
+
+
+def _ids(batch):
+    col = batch.column(batch.schema.get_field_index("doc_id"))
+    return col.cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
 def _rows_of(block):
@@ -68,139 +76,162 @@ def _rows_of(block):
         return list(r)
 
 
-def _lines_in(min_words: int):
-    def read(blocks):
-        for block in blocks:
-            for _, buf, off in core.chunks(_rows_of(block)):
-                yield Lines(buf, off, min_words)
+def in_packs(batches):
+    """(batches, key) of packs of bounded size; the key stands for the ids and texts."""
+    held, used, name = [], 0, hashlib.blake2b(digest_size=16)
+    for batch, buf, off in core.chunks(batches):
+        held.append(batch)
+        used += len(buf) + 64 * batch.num_rows
+        for x in (_ids(batch), off, buf):
+            name.update(np.ascontiguousarray(x))
+        if used > nj.PACK:
+            yield held, name.digest()
+            held, used, name = [], 0, hashlib.blake2b(digest_size=16)
+    if held:
+        yield held, name.digest()
 
-    return read
 
+SURVEY = "at long, cls long, doc long, line long, n long, " + nj.Tally.schema
 
-def packs(parts: int, percent: int, min_words: int, level_b, what: str = "texts"):
-    """Packs as in the n-gram join.
 
-    what: "join" gives rows and postings, "members" each class with its first
-    position in the pack, "texts" the rows.
-    """
+def survey(docs, bits):
+    """Per pack (by where its texts are grouped) and class: its first position there and how many lines it has; and the tasks' counters."""
+    fields = [x.split()[0] for x in SURVEY.split(", ")]
+
+    def rows(at, *cols):
+        n = len(cols[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, at)), *map(pa.array, cols), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=fields)
 
-    def rows(batches):
-        got, cls, doc, number = [], [], [], []
-        name = hashlib.blake2b(digest_size=16)
-        for batch, buf, off in core.chunks(batches):
-            name.update(buf)
-            s = Lines(buf, off, min_words)
-            ids = np.array([LAST if i is None else i for i in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()], np.int64)
-            have = np.flatnonzero(s.cls)
-            cls.append(s.cls[have]), doc.append(ids[s.owner[have]]), number.append(s.number[have])
-            if what != "join":
-                continue
-            _, once = np.unique(s.cls, return_index=True)
-            rep = np.zeros(len(s.cls), bool)
-            rep[once] = True
-            d, pos, token = nj.prefixes(s, level_b.value, percent, SHARE)
-            mine = rep[d] if len(d) else np.zeros(0, bool)
-            got.append((token[mine], s.cls[d[mine]], s.size[d[mine]], pos[mine], s.sig[d[mine]]))
-        cls, doc, number = (np.concatenate(x) for x in (cls, doc, number))
-        o = np.lexsort((number, doc, cls))
-        cls, doc, number = cls[o], doc[o], number[o]
-        first = np.concatenate(([True], cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, bool)
-        n = np.diff(np.append(np.flatnonzero(first), len(cls)))
-        classes = _zip(cls[first], doc[first], number[first], n.astype(np.int64))
-        name.update(classes)
-        name = name.digest()
-        if what == "members":
-            return nj.packed_rows(name, classes, [])
+    def run(batches):
+        tally = nj.Tally(bits)
+        for held, name in in_packs(batches):
+            cls, doc, number = [], [], []
+            for batch, buf, off in core.chunks(held):
+                s = Lines(buf, off)
+                tally.add(s.tokens)
+                owner, n = places(buf, off, s.starts)
+                have = s.size > 0
+                cls.append(s.cls[have]), doc.append(_ids(batch)[owner[have]]), number.append(n[have])
+            cls, doc, number = (np.concatenate(x) for x in (cls, doc, number))
+            o = np.lexsort((number, doc, cls))
+            cls, doc, number = cls[o], doc[o], number[o]
+            first = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1]))) if len(cls) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(cls)))
+            yield rows(nj.at_of(name), cls[first].view(np.int64), doc[first], number[first], n)
+            # Every pack has a row, so that one that gets no answer is found out.
+            yield rows(nj.at_of(name), *(np.array([x], np.int64) for x in (0, LAST, LAST, 0)))
+        for number, block in tally.blocks():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 5 + [pa.array([number], pa.int32()), pa.array([block], pa.binary())], names=fields)
+
+    return docs.mapInArrow(core.lean(run), SURVEY)
+
+
+def packs(parts: int, percent: int, order_b):
+    """Packs as in the n-gram join; a pack's texts are its rows, and each line's class (0: no word)."""
+
+    def rows(batches, name):
+        every, size, hot, sig, got, base, seen = [], [], [], [], [], 0, np.zeros(0, U)
+        for _, buf, off in core.chunks(batches):
+            s = Lines(buf, off)
+            use = np.zeros(len(s.cls), bool)
+            use[np.unique(s.cls, return_index=True)[1]] = True
+            use &= (s.size > 0) & ~np.isin(s.cls, seen)
+            seen = np.union1d(seen, s.cls[use])
+            found, h = nj.indexed(s, order_b.value, percent, SHARE, use)
+            got += [(t, d + base, p) for t, d, p in found]
+            base += len(s.cls)
+            every.append(s.cls), size.append(s.size), hot.append(h), sig.append(nj.signature(s))
+        every, size, hot, sig = (np.concatenate(x) for x in (every, size, hot, sig))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, batches[0].schema) as w:
             for b in batches:
                 w.write_batch(b)
-        body = sink.getvalue().to_pybytes()
-        token, c, z, pos, sig = (np.concatenate(x) for x in zip(*got, strict=True)) if got else [np.zeros(0, U)] * 5
-        return nj.packed_rows(name, body, [(p, nj._postings(token[w], c[w], z[w], pos[w], sig[w])) for p, w in core.by_part((token % U(parts)).astype(np.int64))])
+        return nj.packed_rows(name, _zip(sink.getvalue(), every), nj.blocks_of(got, (every, size, hot, sig), parts))
 
     def run(batches):
-        held, used = [], 0
-        for batch, buf, _ in core.chunks(batches):
-            held.append(batch)
-            used += len(buf) + 64 * batch.num_rows
-            if used > nj.PACK:
-                yield rows(held)
-                held, used = [], 0
-        if held:
-            yield rows(held)
+        for held, name in in_packs(batches):
+            yield rows(held, name)
 
     return run
 
 
-def members(packed):
-    """Per pack and class: its first position there and how many lines it has."""
+def _with_lines(block):
+    """(batch, bytes, offsets, lines' starts, ends, classes) of a pack's texts, in chunks."""
+    rows, cls = _unzip(block)
+    cls, at = np.frombuffer(cls, U), 0
+    for batch, buf, off in core.chunks(_rows_of(rows)):
+        starts, ends = core.spans(buf, off, LINE)
+        yield batch, buf, off, starts, ends, cls[at : at + len(starts)]
+        at += len(starts)
 
-    def run(batches):
-        for batch in batches:
-            for name, block in zip(batch.column(1).to_pylist(), batch.column(3), strict=True):
-                cls, doc, number, n = (np.append(np.frombuffer(x, np.int64), y) for x, y in zip(nj._unzip(block.as_py()), (0, LAST, LAST, 0), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cls), pa.binary()), pa.array(cls), pa.array(doc), pa.array(number), pa.array(n)], names=["pack", "cls", "doc", "line", "n"])
 
-    return packed.mapInArrow(run, "pack binary, cls long, doc long, line long, n long")
+def asked_lines(block, asked):
+    """Of a pack's lines, the sets of the classes that are asked for."""
+    for _, buf, _, starts, ends, cls in _with_lines(block):
+        mine = np.flatnonzero(core.member(cls, asked))
+        mine = mine[np.unique(cls[mine], return_index=True)[1]]
+        if len(mine):
+            n = (ends - starts)[mine]
+            yield Lines(buf[core.ragged(starts[mine], n)], np.concatenate(([0], np.cumsum(n))))
 
 
-def _run(docs, percent, min_words, frequent, bits, row, schema):
+def _run(docs, percent, frequent, floor, bits, row, schema):
     """row(batch, texts kept, numbers of lines, numbers removed) makes the result's batches."""
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
-    parts = core.partitions(spark)
-    level = spark.sparkContext.broadcast(nj.rarity(docs, lambda buf, off: Lines(buf, off, min_words), bits))
-    table = nj.SCHEMA_AT
-    packed = docs.mapInArrow(core.lean(packs(parts, percent, min_words, level, "join")), table).repartition(parts, "at")
-    links = nj.linked(packed, parts, _lines_in(min_words), level, percent, frequent, SHARE)
-    who = core.save(members(docs.mapInArrow(core.lean(packs(parts, percent, min_words, level, "members")), table)))
+    surveyed = core.save(survey(docs, bits))
+    who = surveyed.where("slice IS NULL").select("at", "cls", "doc", "line", "n")
+    n_sets = who.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    order = spark.sparkContext.broadcast(nj.Order(nj.levels(surveyed.where("slice IS NOT NULL").select("slice", "block"), bits), n_sets, frequent, floor))
+    parts = core.parts(docs)
+    packed = docs.mapInArrow(core.lean(packs(parts, percent, order)), nj.SCHEMA_AT).repartition(core.partitions(spark), "at")
+    links = nj.linked(packed, parts, asked_lines, percent, SHARE)
     at = F.struct("doc", "line")
-    per = who.where("cls <> 0").groupBy("cls").agg(F.min(at).alias("first"), F.sum("n").alias("n"))
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    per = who.where("n > 0").groupBy("cls").agg(F.min(at).alias("first"), F.sum("n").alias("n"))
+    ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
     before = ends.join(per.select(F.col("cls").alias("b"), "first"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("first").alias("other"))
     # Classes of one line that match nothing need no answer.
     cut = per.join(before, "cls", "left").where("n > 1 OR other IS NOT NULL").select("cls", F.least("first", F.coalesce("other", "first")).alias("cut"))
-    answers = who.select("pack", "cls").join(cut, "cls").select("pack", "cls", F.col("cut.doc").alias("doc"), F.col("cut.line").alias("line"))
-    # Every pack gets an answer, so that one that doesn't is found out.
-    answers = answers.unionByName(who.select("pack").distinct().select("pack", F.lit(0).cast("long").alias("cls"), F.lit(LAST).alias("doc"), F.lit(LAST).alias("line")))
-    texts = docs.mapInArrow(core.lean(packs(parts, percent, min_words, level)), table)
+    answers = who.where("n > 0").select("at", "cls").join(cut, "cls").select("at", "cls", F.col("cut.doc").alias("doc"), F.col("cut.line").alias("line"))
+    answers = answers.unionByName(who.where("n = 0").select("at", "cls", "doc", "line"))
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and not right.num_rows:
+        blocks = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
+        if bool(blocks) != bool(right.num_rows):
             raise RuntimeError("the lines of a pack changed while they were joined; the input isn't repeatable")
         cls = np.array(right.column("cls")).astype(np.int64).view(U)
         o = np.argsort(cls)
         cls, doc, line = cls[o], np.array(right.column("doc"))[o], np.array(right.column("line"))[o]
         out = []
-        for block in (b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1):
-            for batch, buf, off in core.chunks(_rows_of(block)):
-                s = Lines(buf, off, min_words)
-                ids = np.array([LAST if i is None else i for i in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()], np.int64)
-                gone = np.zeros(len(s.cls), bool)
-                f = np.flatnonzero(core.member(s.cls, cls))
-                k = np.searchsorted(cls, s.cls[f])
-                mine = ids[s.owner[f]]
-                gone[f] = (doc[k] < mine) | ((doc[k] == mine) & (line[k] < s.number[f]))
-                raw, texts, lines, removed = buf.tobytes(), [], [], []
-                lost = np.concatenate(([0], np.cumsum(gone)))[s.bounds_of_docs]
+        for block in blocks:
+            for batch, buf, off, starts, _, mine in _with_lines(block):
+                owner, number = places(buf, off, starts)
+                ids = _ids(batch)
+                gone = np.zeros(len(mine), bool)
+                f = np.flatnonzero(core.member(mine, cls) & (mine != 0))
+                k = np.searchsorted(cls, mine[f])
+                i = ids[owner[f]]
+                gone[f] = (doc[k] < i) | ((doc[k] == i) & (line[k] < number[f]))
+                raw, texts = buf.tobytes(), []
+                bounds = core.per_doc(off, starts)
+                removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[bounds]).tolist()
+                breaks = np.concatenate(([0], np.cumsum(buf == 10)))[off]
+                lines = np.where(np.diff(off) > 0, np.diff(breaks) + 1, 0).tolist()
                 for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                     text = raw[a:b]
-                    r = int(lost[d + 1] - lost[d])
-                    parts_ = text.split(b"\n")
-                    if r:
-                        x = slice(s.bounds_of_docs[d], s.bounds_of_docs[d + 1])
-                        drop = set(s.number[x][gone[x]].tolist())
-                        text = b"\n".join([p for i, p in enumerate(parts_) if i not in drop])
-                    texts.append(text), lines.append(len(parts_) if b > a else 0), removed.append(r)
+                    if removed[d]:
+                        x = slice(bounds[d], bounds[d + 1])
+                        drop = set(number[x][gone[x]].tolist())
+                        text = b"\n".join([p for i, p in enumerate(text.split(b"\n")) if i not in drop])
+                    texts.append(text)
                 out.append(row(batch, texts, lines, removed))
         return pa.Table.from_batches(out) if out else row(None, [], [], [])
 
-    return texts.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(core.lean(each), schema)
+    return packed.groupBy("at").cogroup(answers.groupBy("at")).applyInArrow(core.lean(each), schema)
 
 
-def digests(docs, percent: int = 80, min_words: int = 5, frequent: int = 4096, bits: int = 22):
+def digests(docs, percent: int = 80, frequent: float = nj.FREQUENT, floor: int = nj.FLOOR, bits: int = 22):
     """doc_id, n_lines, n_removed and the SHA-256 of the text without the removed lines."""
 
     def row(batch, texts, lines, removed):
@@ -208,10 +239,10 @@ def digests(docs, percent: int = 80, min_words: int = 5, frequent: int = 4096, b
         x = pa.RecordBatch.from_arrays([ids, pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
         return x if batch is not None else pa.Table.from_batches([x])
 
-    return _run(core.docs_of(docs), percent, min_words, frequent, bits, row, SCHEMA)
+    return _run(core.docs_of(docs), percent, frequent, floor, bits, row, SCHEMA)
 
 
-def clean(docs, percent: int = 80, min_words: int = 5, frequent: int = 4096, bits: int = 22):
+def clean(docs, percent: int = 80, frequent: float = nj.FREQUENT, floor: int = nj.FLOOR, bits: int = 22):
     """The documents, all columns, without the removed lines.
 
     A document is dropped when every word it had was in a removed line; one
@@ -239,7 +270,7 @@ def clean(docs, percent: int = 80, min_words: int = 5, frequent: int = 4096, bit
     from pyspark.sql.pandas.types import to_arrow_schema
 
     empty = to_arrow_schema(docs.schema).empty_table()
-    return _run(docs, percent, min_words, frequent, bits, row, docs.schema)
+    return _run(docs, percent, frequent, floor, bits, row, docs.schema)
 
 
 QUERY = "op5_line_dedup"
@@ -253,7 +284,7 @@ SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS o, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, o, i - 1 AS i, ls[i] AS t FROM (SELECT r, o, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 s AS (SELECT r, o, i, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) AS w FROM l),
-c AS (SELECT w, min((o, i)) AS first, len(w) AS n, row_number() OVER () AS c FROM s WHERE len(w) >= 5 GROUP BY w),
+c AS (SELECT w, min((o, i)) AS first, len(w) AS n, row_number() OVER () AS c FROM s WHERE len(w) > 0 GROUP BY w),
 t AS (SELECT c, n, unnest(w) AS x FROM c),
 p AS (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
       GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),

@@ -3,21 +3,23 @@
 A document's set is its distinct ``k``-word shingles.  Documents of equal sets
 form one class; classes are joined, members are counted, not paired.
 
-1. Rarity.  Each task counts its documents' shingles in a table of
-   2 ** ``bits`` counters; the tables are added by slices and one byte per
-   counter (a logarithmic level) is broadcast.  The size of the table does not
-   depend on the data.  Sets are ordered by (level, hash): any common order is
-   right, rarity only makes the candidates few.
+1. Survey, one scan: every document's class, written to the shared folder, and
+   the shingles' frequencies in a table of 2 ** ``bits`` counters per task; the
+   tables are added by slices and one byte per counter (a logarithmic level) is
+   broadcast.  Sets are ordered by (level, hash): any common order is right,
+   rarity only makes the candidates few.
 2. Extended prefixes.  Two sets with Jaccard >= t share at least ``SHARE`` of the
    first |x| - ceil(t |x|) + SHARE shingles of the longer and
-   |y| - ceil(2t/(1+t) |y|) + SHARE of the shorter, or all they must share.
-   Every class indexes its prefix shingles, in blocks per part of the hash space.
-3. Shingles found in at most ``frequent`` classes are rare: each pair in their
-   lists that passes the length and positional filters is counted, and is a
-   candidate if it shares enough of them.
-4. Shingles of longer lists are frequent.  They are answered to the packs that
-   hold them, which index combinations of two of them.  A similar pair shares
+   |y| - ceil(2t/(1+t) |y|) + SHARE of the shorter, or all they must share, which
+   is two or more unless the sets are equal.
+3. Token classes.  A shingle in at least ``frequent`` of all sets (and ``floor``
+   of them) is frequent, others are rare.  A class indexes each rare shingle of
+   its prefix, and each combination of two frequent ones.  A similar pair shares
    two prefix shingles: one is rare, or both are frequent.
+4. The index lies in parts, as many as the input's bytes ask for; each pairs the
+   classes in its lists that pass the length and positional filters.  A pair is
+   a candidate if a combination found it, or if the rare shingles it shares and
+   the frequent ones that it may share are enough.
 5. Candidates meet at a home, the least class among those they are paired
    with, so that a group's sets move there once, and are verified exactly.
 6. Components: alternating star contraction over the links' spanning forests,
@@ -27,6 +29,7 @@ Defined cases: a null, empty or blank text has the empty set, n_similar 0 and
 its own doc_id as component; one word alone is its own shingle; repeated rows
 are documents of their own and similar to each other; null doc_ids count as
 documents, and component_id is the least non-null id (null if there is none).
+A doc_id must be a number: another type is cast, and what can't be cast raises.
 Sets hold 64-bit hashes of shingles.
 """
 
@@ -47,6 +50,11 @@ SLICES = 64
 #: Similar sets share at least this many tokens of their extended prefixes (all that they must share, if that is less).
 SHARE = 4
 SCHEMA_AT = "at long, pack binary, part int, block binary"
+FLAG = U(1 << 24)
+#: Postings of a part that are paired at a time.
+RANGE = 400_000
+#: A token is frequent if at least this share of all sets hold it, and at least FLOOR of them.
+FREQUENT, FLOOR = 1 / 32, 64
 
 
 class Sets:
@@ -78,41 +86,68 @@ class Sets:
         self.cls = np.where(self.size > 0, core.mix(c[self.bounds[1:]] - c[self.bounds[:-1]] + self.size.astype(U)), U(0))
 
 
-def rarity(docs, make, bits: int) -> np.ndarray:
-    """A level per counter: how many sets hold its tokens, to an eighth of a power of two; make(bytes, offsets) gives the sets."""
-    spark = docs.sparkSession
-    width = (1 << bits) // SLICES
+class Tally:
+    """How many sets hold each token, in 2 ** ``bits`` counters of 16 bits (a full one stays full)."""
+
+    schema = "slice int, block binary"
+
+    def __init__(self, bits: int):
+        self.bits, self.total = bits, None
+
+    def add(self, tokens):
+        if self.total is None:
+            self.total = np.zeros(1 << self.bits, np.uint16)
+        t = (tokens >> U(64 - self.bits)).astype(np.uint32)
+        t.sort()
+        run = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
+        at = t[run]
+        self.total[at] = np.minimum(self.total[at] + np.diff(np.append(run, len(t))), 0xFFFF)
+
+    def blocks(self):
+        """(slice, its counters) of what was counted."""
+        width = (1 << self.bits) // SLICES
+        for s in range(SLICES if self.total is not None else 0):
+            part = self.total[s * width : (s + 1) * width]
+            yield s, _zip((part & 0xFF).astype(np.uint8), (part >> 8).astype(np.uint8))
 
-    def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
-        some = False
-        for _, buf, off in core.chunks(batches):
-            t = (make(buf, off).tokens >> U(64 - bits)).astype(np.int64)
-            t.sort()
-            run = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else t
-            total[t[run]] += np.diff(np.append(run, len(t))).astype(np.uint32)
-            some = True
-        for s in range(SLICES if some else 0):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_zip(_planes(total[s * width : (s + 1) * width]))], pa.binary())], names=["slice", "block"])
+
+def levels(blocks, bits: int) -> np.ndarray:
+    """A level per counter: the sum of the tasks' counters, to an eighth of a power of two; blocks: rows of ``Tally``."""
+    width = (1 << bits) // SLICES
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                low, high = (np.frombuffer(x, np.uint8) for x in _unzip(block.as_py()))
                 sums.setdefault(s, np.zeros(width, np.uint64))
-                sums[s] += _unplanes(_unzip(block.as_py())[0])
+                sums[s] += low
+                sums[s] += high.astype(np.uint64) << U(8)
         for s, total in sums.items():
-            level = np.minimum(np.floor(8 * np.log2(total.astype(np.float64) + 1)), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_zip(level)], pa.binary())], names=["slice", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([_zip(level_of(total).astype(np.uint8))], pa.binary())], names=["slice", "block"])
 
-    table = "slice int, block binary"
     out = np.zeros(1 << bits, np.uint8)
-    sums = core.docs_of(docs).mapInArrow(core.lean(count), table).repartition(min(SLICES, core.partitions(spark)), "slice").mapInArrow(core.lean(add), table)
+    sums = blocks.repartition(min(SLICES, core.partitions(blocks.sparkSession)), "slice").mapInArrow(core.lean(add), Tally.schema)
     for s, block in sums.collect():  # SLICES rows, 2 ** bits bytes at most
         out[s * width : (s + 1) * width] = np.frombuffer(_unzip(bytes(block))[0], np.uint8)
     return out
 
 
+def level_of(count):
+    return np.minimum(np.floor(8 * np.log2(np.asarray(count, np.float64) + 1)), 255)
+
+
+class Order:
+    """The common order of tokens, and which of them are frequent; what is broadcast."""
+
+    def __init__(self, level: np.ndarray, n_sets: int, frequent: float, floor: int):
+        self.level = level
+        self.frequent = int(level_of(max(floor, frequent * n_sets)))
+
+    def of(self, tokens):
+        return self.level[(tokens >> U(65 - int(len(self.level)).bit_length())).astype(np.int64)]
+
+
 def _ceil(a: int, n: np.ndarray, b: int) -> np.ndarray:
     return -(-(a * n) // b)
 
@@ -127,34 +162,64 @@ def index_length(n, percent, share):
     return np.minimum(n - _ceil(2 * percent, n, 100 + percent) + share, n)
 
 
-def prefixes(sets: Sets, level: np.ndarray, percent: int, share: int = SHARE):
-    """(document, position, token) of the prefixes, by document and position."""
-    lv = level[(sets.tokens >> U(64 - int(len(level)).bit_length() + 1)).astype(np.int64)]
-    key = (sets.doc.astype(U) << U(40)) | (lv.astype(U) << U(32)) | (core.mix(sets.tokens) >> U(32))
-    o = core.order(key)
-    # Equal keys of different tokens: settle by the token, the same in every document.
-    k = key[o]
-    tie = np.flatnonzero(k[1:] == k[:-1])
-    if len(tie):
-        run = np.zeros(len(k), bool)
-        run[tie] = run[tie + 1] = True
-        where = np.flatnonzero(run)
-        o[where] = o[where][np.lexsort((sets.tokens[o[where]], k[where]))]
-    n = probe_length(sets.size, percent, share) * (sets.size > 0)
-    at = core.ragged(sets.bounds[:-1], n)
+def prefixes(sets: Sets, order: Order, percent: int, share: int = SHARE):
+    """(document, position, token, level) of the prefixes, by document and position; none of sets that only equal ones are similar to."""
+    n = np.where(sets.size * (100 - percent) >= percent, probe_length(sets.size, percent, share), 0)
+    lv = order.of(sets.tokens)
+    if len(sets.size) >> 24:  # a document's number doesn't fit beside 40 bits
+        o = np.lexsort((sets.tokens, core.mix(sets.tokens) >> U(32), lv, sets.doc))
+    else:
+        key = (sets.doc.astype(U) << U(40)) | (lv.astype(U) << U(32)) | (core.mix(sets.tokens) >> U(32))
+        o = core.order(key)
+        # Equal keys of different tokens: settle by the token, the same in every document.
+        k = key[o]
+        tie = np.flatnonzero(k[1:] == k[:-1])
+        if len(tie):
+            run = np.zeros(len(k), bool)
+            run[tie] = run[tie + 1] = True
+            where = np.flatnonzero(run)
+            o[where] = o[where][np.lexsort((sets.tokens[o[where]], k[where]))]
+    o = o[core.ragged(sets.bounds[:-1], n)]
     doc, pos = core.repeat_index(n)
-    return doc, pos, sets.tokens[o][at]
+    return doc, pos, sets.tokens[o], lv[o]
 
 
-def _texts(blocks):
-    for block in blocks:
-        raw, size = _unzip(block)[:2]
-        off = np.concatenate(([0], np.cumsum(_unplanes(size).astype(np.int64))))
-        buf, a = np.frombuffer(raw, np.uint8), 0
-        while a < len(off) - 1:
-            b = max(a + 1, int(np.searchsorted(off, off[a] + core.CHUNK, "right")) - 1)
-            yield buf[off[a] : off[b]], off[a : b + 1] - off[a]
-            a = b
+def indexed(sets: Sets, order: Order, percent: int, share: int, use: np.ndarray):
+    """(token, document, position) of what the marked documents index, and per document how many frequent tokens its prefix has.
+
+    Bit 24 of a token tells combinations of two frequent tokens from single rare ones.
+    """
+    doc, pos, token, level = prefixes(sets, order, percent, share)
+    mine = use[doc]
+    doc, pos, token, often = doc[mine], pos[mine], token[mine], level[mine] >= order.frequent
+    n = np.bincount(doc[often], minlength=len(sets.size))
+    rare = ~often
+    out = [(token[rare] & ~FLAG, doc[rare], pos[rare])]
+    doc, pos, token = doc[often], pos[often], token[often]
+    begin = np.cumsum(n) - n
+    left = n[doc] - (np.arange(len(doc)) - begin[doc]) - 1
+    upto, a = np.cumsum(left), 0
+    while a < len(doc):  # a bounded number of combinations at a time
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 2_000_000, "right")))
+        i = np.repeat(np.arange(a, b), left[a:b])
+        j = core.ragged(np.arange(a, b) + 1, left[a:b])
+        out.append((core.mix(core.mix(token[i] + U(3)) + token[j]) | FLAG, doc[i], pos[i]))
+        a = b
+    return out, np.minimum(n, 255)
+
+
+def _in_chunks(buf, off):
+    a = 0
+    while a < len(off) - 1:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + core.CHUNK, "right")) - 1)
+        yield buf[off[a] : off[b]], off[a : b + 1] - off[a]
+        a = b
+
+
+def picked(buf, off, mine):
+    """(bytes, offsets) of the texts numbered ``mine``, in chunks."""
+    n = np.diff(off)[mine]
+    yield from _in_chunks(buf[core.ragged(off[mine], n)], np.concatenate(([0], np.cumsum(n))))
 
 
 def signature(sets) -> np.ndarray:
@@ -166,45 +231,48 @@ def signature(sets) -> np.ndarray:
     return out
 
 
-def _postings(token, cls, size, pos, sig):
-    """One block of postings, sorted by token; classes in a table of their own.
+def _postings(token, local, pos, cls, size, hot, sig):
+    """One block of postings, sorted by token, of the documents numbered ``local``; their classes in a table of their own.
 
     Forty bits of a token are enough here: two tokens taken for one only add
     candidates, which are verified.
     """
     o = core.order(token)
-    token, cls, size, pos, sig = token[o] >> U(24), cls[o], size[o], pos[o], sig[o]
-    u, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
+    token, local, pos = token[o] >> U(24), local[o], pos[o]
+    d, local = np.unique(local, return_inverse=True)
     step = np.diff(token, prepend=U(0))
-    return _zip(_planes(step & U(0xFFFFFFFF)), (step >> U(32)).astype(np.uint8), u, _planes(size[first]), _planes(inverse), _planes(pos), sig[first])
+    return _zip(_planes(step & U(0xFFFFFFFF)), (step >> U(32)).astype(np.uint8), cls[d], _planes(size[d]), _planes(local), _planes(pos), sig[d], hot[d].astype(np.uint8))
 
 
-def packs(parts, k, percent, level_b):
+def blocks_of(got, sets_in_pack, parts: int):
+    """(part, block) of a pack's postings; got: (token, document of the pack, position) arrays."""
+    token, local, pos = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return [(p, _postings(token[w], local[w], pos[w], *sets_in_pack)) for p, w in core.by_part((token % U(parts)).astype(np.int64))]
+
+
+def packs(parts, k, percent, order_b):
     """(pack, part, block): part -1 has one text of each class, others postings."""
 
     def rows(texts):
-        size = np.array([len(t) for t in texts], np.uint32)
-        all_sets = [Sets(buf, off, k) for buf, off in _texts([_zip(b"".join(texts), _planes(size))])]
-        cls, n = np.concatenate([s.cls for s in all_sets]), np.concatenate([s.size for s in all_sets])
-        # Copies within the pack: one text stands for them.
-        _, first = np.unique(cls, return_index=True)
-        rep = np.zeros(len(cls), bool)
-        rep[first] = True
-        rep &= n > 0
-        keep = np.flatnonzero(rep)
+        size = np.array([len(t) for t in texts], np.int64)
+        off = np.concatenate(([0], np.cumsum(size)))
+        cls, n, hot, got, seen = [], [], [], [], np.zeros(0, U)
+        for buf, o in _in_chunks(np.frombuffer(b"".join(texts), np.uint8), off):
+            s = Sets(buf, o, k)
+            # Copies within the pack: one text stands for them.
+            use = np.zeros(len(s.cls), bool)
+            use[np.unique(s.cls, return_index=True)[1]] = True
+            use &= (s.size > 0) & ~np.isin(s.cls, seen)
+            seen = np.union1d(seen, s.cls[use])
+            found, h = indexed(s, order_b.value, percent, SHARE, use)
+            base = sum(map(len, cls))
+            got += [(t, d + base, p) for t, d, p in found]
+            cls.append(np.where(use, s.cls, U(0))), n.append(s.size), hot.append(h)
+        cls, n, hot = (np.concatenate(x) for x in (cls, n, hot))
+        keep = np.flatnonzero(cls)
         body = _zip(b"".join([texts[i] for i in keep.tolist()]), _planes(size[keep]), cls[keep])
-        name = hashlib.blake2b(body, digest_size=16).digest()
-        out = []
-        got, base = [], 0
-        for s in all_sets:
-            doc, pos, token = prefixes(s, level_b.value, percent)
-            mine = rep[base + doc]
-            got.append((token[mine], s.cls[doc[mine]], s.size[doc[mine]], pos[mine], s.sig[doc[mine]]))
-            base += len(s.cls)
-        token, c, z, pos, sig = (np.concatenate(x) for x in zip(*got, strict=True))
-        for p, w in core.by_part((token % U(parts)).astype(np.int64)):
-            out.append((p, _postings(token[w], c[w], z[w], pos[w], sig[w])))
-        return packed_rows(name, body, out)
+        # Sets are too large for a signature to tell them apart.
+        return packed_rows(hashlib.blake2b(body, digest_size=16).digest(), body, blocks_of(got, (cls, n, hot, np.zeros(len(cls), U)), parts))
 
     def run(batches):
         texts, used = [], 0
@@ -222,6 +290,18 @@ def packs(parts, k, percent, level_b):
     return run
 
 
+def asked_sets(k):
+    """Of a pack's texts, the sets of the classes that are asked for."""
+
+    def read(body, asked):
+        raw, size, cls = _unzip(body)
+        off = np.concatenate(([0], np.cumsum(_unplanes(size).astype(np.int64))))
+        for buf, o in picked(np.frombuffer(raw, np.uint8), off, np.flatnonzero(core.member(np.frombuffer(cls, U), asked))):
+            yield Sets(buf, o, k)
+
+    return read
+
+
 def _filter(a, b, size, pos_a, pos_b, percent, share, sig):
     """Which pairs of classes pass the length, prefix, positional and signature filters.
 
@@ -260,126 +340,96 @@ def pack_of(left: pa.Table) -> bytes:
 
 
 def _read_postings(table: pa.Table):
-    tokens, cls, size, local, pos, owner, sig = [], [], [], [], [], [], []
-    base = 0
+    """Postings (token, number of the class's entry, position), and entries (class, size, signature, frequent tokens, block)."""
+    posts, entries, base = [], [], 0
     for p, block in enumerate(table.column("block").to_pylist()):
-        t, high, u, z, i, q, g = _unzip(block)
-        sig.append(np.frombuffer(g, U))
+        t, high, u, z, i, q, g, h = _unzip(block)
         u = np.frombuffer(u, U)
-        tokens.append(np.cumsum(_unplanes(t).astype(U) | (np.frombuffer(high, np.uint8).astype(U) << U(32)), dtype=U)), cls.append(u), size.append(_unplanes(z).astype(np.int64)), pos.append(_unplanes(q).astype(np.int64))
-        local.append(_unplanes(i).astype(np.int64) + base)
-        owner.append(np.full(len(u), p))
+        token = np.cumsum(_unplanes(t).astype(U) | (np.frombuffer(high, np.uint8).astype(U) << U(32)), dtype=U)
+        posts.append((token, (_unplanes(i) + np.uint32(base)).astype(np.int32), _unplanes(q).astype(np.int32)))
+        entries.append((u, _unplanes(z).astype(np.int64), np.frombuffer(g, U), np.frombuffer(h, np.uint8), np.full(len(u), p)))
         base += len(u)
-    return (np.concatenate(x) for x in (tokens, cls, size, local, pos, owner, sig))
+    return [np.concatenate(x) for x in zip(*posts, strict=True)], [np.concatenate(x) for x in zip(*entries, strict=True)]
 
 
-def pairs(parts, percent, frequent, what, share):
-    """One part of the index: candidate pairs by the part of the larger class, and the frequent shingles, by pack.
+class Found:
+    """Pairs (larger << 32 | smaller) and how often they were met, up to ``share``."""
 
-    what: "rare" reports lists of more than ``frequent`` classes; "all" pairs every list.
-    """
+    def __init__(self, share: int):
+        self.share, self.keys, self.times = share, np.zeros(0, U), np.zeros(0, np.int64)
+        self.fresh, self.waiting = [], 0
+
+    def add(self, keys, worth: int):
+        k, n = np.unique(keys, return_counts=True)
+        self.fresh.append((k, n * worth))
+        self.waiting += len(k)
+        if self.waiting > 2_000_000:
+            self.merge()
+
+    def merge(self):
+        keys, inverse = np.unique(np.concatenate((self.keys, *(k for k, _ in self.fresh))), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate((self.times, *(n for _, n in self.fresh))), minlength=len(keys))
+        self.keys, self.times, self.fresh, self.waiting = keys, np.minimum(n, self.share).astype(np.int64), [], 0
+
+
+def pairs(parts, percent, share):
+    """One part of the index: candidate pairs by the part of the larger class."""
 
     def each(table: pa.Table) -> pa.Table:
+        out = ([], [], [])
         if table.column("part")[0].as_py() < 0:  # texts, which the same shuffle brings
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "pack", "block"])
-        token, cls, size, local, pos, owner, sig = _read_postings(table)
         names = table.column("pack").to_pylist()
+        (token, local, pos), (cls, size, sig, hot, owner) = _read_postings(table)
         # A class may come from many packs: the first stands for it.
         u, first, number = np.unique(cls, return_index=True, return_inverse=True)
-        size, home, sig = size[first], owner[first], sig[first]
+        size, home, sig, hot = size[first], owner[first], sig[first], hot[first]
         sig = sig if sig.any() else None
-        c, from_pack = number[local], owner[local]
         o = core.order(token)
-        token, c, pos, from_pack = token[o], c[o], pos[o], from_pack[o]
-        run = np.cumsum(np.concatenate(([0], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
-        # One posting of a class in a list; combinations may bring several, of which the first position is as good.
-        key = run * len(u) + c
-        o = np.argsort(key, kind="stable")
-        keep = o[np.concatenate(([True], key[o][1:] != key[o][:-1]))] if len(key) else o
-        run_k, c_k, pos_k = run[keep], c[keep], pos[keep]
-        length = np.bincount(run_k, minlength=int(run_k.max()) + 1 if len(run_k) else 0)
-        out = ([], [], [])
-        if what == "rare":
-            hot = length > frequent
-            sel = np.flatnonzero(hot[run]) if len(run) else []
-            for p, w in core.by_part(from_pack[sel]) if len(sel) else ():
-                out[0].append(-1), out[1].append(names[p]), out[2].append(_zip(np.unique(token[sel[w]])))
-            use = ~hot[run_k] if len(run_k) else np.zeros(0, bool)
-            run_k, c_k, pos_k = run_k[use], c_k[use], pos_k[use]
-        # Within a list by size: partners are those that follow, up to the largest size that can be similar.
-        width = int(size.max()) * 100 // percent + 2 if len(size) else 2
-        key = run_k * width + size[c_k]
-        o = np.argsort(key, kind="stable")
-        key, c_k, pos_k = key[o], c_k[o], pos_k[o]
-        last = np.searchsorted(key, key - size[c_k] + size[c_k] * 100 // percent, "right")
-        left = last - np.arange(len(key)) - 1
-        rows = np.flatnonzero(left > 0)
-        left = left[rows]
-        found, times = np.zeros(0, U), np.zeros(0, np.int64)
-        fresh, waiting = [], 0
-
-        def merged():
-            keys, inverse = np.unique(np.concatenate((found, *(k for k, _ in fresh))), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate((times, *(n for _, n in fresh))), minlength=len(keys))
-            return keys, np.minimum(n, share).astype(np.int64)
-
-        upto, step = np.cumsum(left), 0
-        while step < len(rows):  # a bounded number of pairs at a time
-            end = max(step + 1, int(np.searchsorted(upto, (upto[step - 1] if step else 0) + 1_000_000, "right")))
-            i = np.repeat(rows[step:end], left[step:end])
-            j = core.ragged(rows[step:end] + 1, left[step:end])
-            ok = _filter(c_k[i], c_k[j], size, pos_k[i], pos_k[j], percent, share, sig)
-            x, y = c_k[i[ok]].astype(U), c_k[j[ok]].astype(U)
-            fresh.append(np.unique((np.maximum(x, y) << U(32)) | np.minimum(x, y), return_counts=True))
-            waiting += len(fresh[-1][0])
-            if waiting > 2_000_000:
-                (found, times), fresh, waiting = merged(), [], 0
-            step = end
-        found, times = merged()
-        if what == "all":  # two shingles in common already, in one combination
-            times = np.full(len(found), share)
-        big, small = (found >> U(32)).astype(np.int64), (found & U(0xFFFFFFFF)).astype(np.int64)
+        token, c, pos = token[o], number.astype(np.int32)[local[o]], pos[o]
+        del o, local
+        # Lists of one posting pair nothing.
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        length = np.diff(np.append(start, len(token)))
+        start, length = start[length > 1], length[length > 1]
+        upto = np.cumsum(length)
+        found, width, a = Found(share), int(size.max()) * 100 // percent + 2, 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RANGE, "right")))
+            at = core.ragged(start[a:b], length[a:b])
+            run = np.repeat(np.arange(b - a), length[a:b])
+            # One posting of a class in a list, the first; within a list by size: partners are those that follow, up to the largest size that can be similar.
+            key = run * len(u) + c[at]
+            o = np.argsort(key, kind="stable")
+            keep = np.sort(o[np.concatenate(([True], key[o][1:] != key[o][:-1]))])
+            at, run = at[keep], run[keep]
+            key = run * width + size[c[at]]
+            o = np.argsort(key, kind="stable")
+            key, ck, pk = key[o], c[at[o]].astype(np.int64), pos[at[o]]
+            single = (token[start[a:b]] & U(1)) == 0
+            last = np.searchsorted(key, key - size[ck] + size[ck] * 100 // percent, "right")
+            left = last - np.arange(len(key)) - 1
+            a = b
+            for kind, worth in ((True, 1), (False, share)):  # a combination has two tokens in common
+                rows = np.flatnonzero((left > 0) & (single[run[o]] == kind))
+                many, step = np.cumsum(left[rows]), 0
+                while step < len(rows):  # a bounded number of pairs at a time
+                    end = max(step + 1, int(np.searchsorted(many, (many[step - 1] if step else 0) + 1_000_000, "right")))
+                    i = np.repeat(rows[step:end], left[rows[step:end]])
+                    j = core.ragged(rows[step:end] + 1, left[rows[step:end]])
+                    step = end
+                    ok = _filter(ck[i], ck[j], size, pk[i], pk[j], percent, share, sig)
+                    x, y = ck[i[ok]].astype(U), ck[j[ok]].astype(U)
+                    found.add((np.maximum(x, y) << U(32)) | np.minimum(x, y), worth)
+        found.merge()
+        big, small = (found.keys >> U(32)).astype(np.int64), (found.keys & U(0xFFFFFFFF)).astype(np.int64)
         for p, w in core.by_part((u[big] % U(parts)).astype(np.int64)):
-            b, s = big[w], small[w]
-            d = np.unique(np.concatenate((b, s)))
+            x, y = big[w], small[w]
+            d = np.unique(np.concatenate((x, y)))
             packs_, at = np.unique(home[d], return_inverse=True)
             # Pairs in order of (larger, smaller), as steps: dense groups compress to almost nothing.
-            bi, si = np.searchsorted(d, b), np.searchsorted(d, s)
-            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[x] for x in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si), times[w].astype(np.uint8)))
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
-
-    return each
-
-
-def combine(parts, sets_in, percent, level_b, share):
-    """Frequent shingles of a pack: postings of the combinations of two in each class's prefix."""
-
-    def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if right.num_rows:
-            hot = np.unique(np.concatenate([np.frombuffer(_unzip(b)[0], U) for b in right.column("block").to_pylist()]))
-            pack = pack_of(left)
-            bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
-            for s in sets_in(bodies[:1]):
-                doc, pos, token = prefixes(s, level_b.value, percent, share)
-                f = core.member(token & ~U(0xFFFFFF), hot << U(24))
-                doc, pos, token = doc[f], pos[f], token[f]
-                some = np.unique(s.cls[doc])
-                for p, w in core.by_part((some % U(parts)).astype(np.int64)):
-                    out[0].append(-2 - p), out[1].append(pack), out[2].append(_zip(some[w]))
-                n = np.bincount(doc, minlength=len(s.size)) if len(doc) else np.zeros(len(s.size), np.int64)
-                begin = np.cumsum(n) - n
-                left_ = np.repeat(n, n) - (np.arange(len(doc)) - begin[doc]) - 1
-                upto, a = np.cumsum(left_), 0
-                while a < len(doc):
-                    b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 2_000_000, "right")))
-                    i = np.repeat(np.arange(a, b), left_[a:b])
-                    j = core.ragged(np.arange(a, b) + 1, left_[a:b])
-                    key = core.mix(core.mix(token[i] + U(3)) + token[j])
-                    for p, w in core.by_part((key % U(parts)).astype(np.int64)):
-                        d = doc[i[w]]
-                        out[0].append(p), out[1].append(pack), out[2].append(_postings(key[w], s.cls[d], s.size[d], pos[i[w]], s.sig[d]))
-                    a = b
+            bi, si = np.searchsorted(d, x), np.searchsorted(d, y)
+            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[q] for q in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si), found.times[w].astype(np.uint8), hot[d]))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
@@ -389,36 +439,28 @@ def gather(parts, percent, share):
     """All candidates of a part of larger classes: by home, the pairs (part >= 0), and by pack, the sets to send (part -1).
 
     A pair must share ``share`` prefix tokens, or all that it must share at
-    all.  Where the larger class has frequent shingles in its prefix, which
-    weren't counted, one will do.
+    all.  The frequent ones weren't counted one by one: each may be shared.
     """
 
-    def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        cls, size, pack, big, small, times, hot = [], [], [], [], [], [], [np.zeros(0, U)]
-        base = 0
-        rows = [(t.column("part").to_pylist(), t.column("block").to_pylist()) for t in (left, right)]
-        for p, block in ((p, b) for ps, bs in rows for p, b in zip(ps, bs, strict=True)):
-            if p == -1:  # frequent shingles, which the same shuffle brings
-                continue
-            if p <= -2:
-                hot.append(np.frombuffer(_unzip(block)[0], U))
-                continue
-            u, z, names, at, b, s, n = _unzip(block)
+    def each(table: pa.Table) -> pa.Table:
+        cls, size, pack, big, small, times, hot, base = [], [], [], [], [], [], [], 0
+        for block in table.column("block").to_pylist():
+            u, z, names, at, b, s, n, h = _unzip(block)
             u = np.frombuffer(u, U)
             names = np.frombuffer(names, "V16")
-            cls.append(u), size.append(_unplanes(z)), pack.append(names[_unplanes(at)]), times.append(np.frombuffer(n, np.uint8))
+            cls.append(u), size.append(_unplanes(z)), pack.append(names[_unplanes(at)]), times.append(np.frombuffer(n, np.uint8)), hot.append(np.frombuffer(h, np.uint8))
             big.append(np.cumsum(_unplanes(b).astype(np.int64)) + base), small.append(_unplanes(s).astype(np.int64) + base)
             base += len(u)
         out = ([], [], [])
         if cls:
-            cls, size, pack, big, small, times = (np.concatenate(x) for x in (cls, size, pack, big, small, times))
+            cls, size, pack, big, small, times, hot = (np.concatenate(x) for x in (cls, size, pack, big, small, times, hot))
             u, first, number = np.unique(cls, return_index=True, return_inverse=True)
-            pack, size = pack[first], size[first].astype(np.int64)
+            pack, size, hot = pack[first], size[first].astype(np.int64), hot[first].astype(np.int64)
             key, inverse = np.unique((number[big].astype(U) << U(32)) | number[small].astype(U), return_inverse=True)
             times = np.bincount(inverse, weights=times)
             big, small = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
             must = np.minimum(_ceil(percent, size[big] + size[small], 100 + percent), share)
-            ok = (times >= must) | core.member(u, np.unique(np.concatenate(hot)))[big]
+            ok = times + np.minimum(hot[big], hot[small]) >= must
             big, small = big[ok], small[ok]
             first = np.flatnonzero(np.concatenate(([True], big[1:] != big[:-1]))) if len(big) else big
             home = np.repeat(small[first], np.diff(np.append(first, len(big))))  # the least class that the larger one is paired with
@@ -444,8 +486,8 @@ def send(sets_in):
             wanted.setdefault(-1 - p, []).append(np.frombuffer(_unzip(block)[0], U))
         if wanted:
             pack = pack_of(left)
-            bodies = [b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1]
-            sets = list(sets_in(bodies[:1]))
+            body = next(b for p, b in zip(left.column("part").to_pylist(), left.column("block").to_pylist(), strict=True) if p == -1)
+            sets = list(sets_in(body, np.unique(np.concatenate([x for y in wanted.values() for x in y]))))
             for p, asked in wanted.items():
                 asked = np.unique(np.concatenate(asked))
                 cls, size, tokens = [], [], []
@@ -524,15 +566,20 @@ def verify(percent):
     return each
 
 
-def members(docs, k):
-    """doc_id, class and set size of every document."""
+def survey(docs, k, bits):
+    """doc_id, class and set size of every document; and, in rows with a slice, the tasks' counters."""
 
     def run(batches):
+        tally = Tally(bits)
         for batch, buf, off in core.chunks(batches):
             s = Sets(buf, off, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.cls.view(np.int64)), pa.array(s.size.astype(np.int64))], names=["doc_id", "cls", "n_shingles"])
+            tally.add(s.tokens)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.cls.view(np.int64)), pa.array(s.size.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "cls", "n_shingles", "slice", "block"])
+        for number, block in tally.blocks():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number], pa.int32()), pa.array([block], pa.binary())], names=["doc_id", "cls", "n_shingles", "slice", "block"])
 
-    return docs.mapInArrow(core.lean(run), "doc_id long, cls long, n_shingles long")
+    return docs.mapInArrow(core.lean(run), "doc_id long, cls long, n_shingles long, " + Tally.schema)
 
 
 def components(edges):
@@ -558,13 +605,11 @@ def components(edges):
             return edges.select(F.col("b").alias("cls"), F.col("a").alias("root"))
 
 
-def linked(packed, parts, sets_in, level, percent, frequent, share=SHARE):
+def linked(packed, parts, sets_in, percent, share=SHARE):
     """Links (a, b, forest) between the classes of packs; ``sets_in`` reads the sets of a pack's texts.
 
     One query, so that the packs' shuffle, the candidates' and the homes' are each written once and read again.
     """
-    from pyspark.sql import functions as F
-
     by_part = "part int, pack binary, block binary"
     lean, fence = core.lean, core.fence
 
@@ -577,30 +622,27 @@ def linked(packed, parts, sets_in, level, percent, frequent, share=SHARE):
 
         return df.mapInArrow(keyed, SCHEMA_AT).groupBy("at")
 
-    first = packed.groupBy("at").applyInArrow(lean(pairs(parts, percent, frequent, "rare", share)), by_part).repartition(parts, "part")
-    asked = fence(first).where("part = -1")
-    combos = packed.groupBy("at").cogroup(to_packs(asked)).applyInArrow(lean(combine(parts, sets_in, percent, level, share)), by_part).repartition(parts, "part")
-    second = fence(combos).where("part >= 0").groupBy("part").applyInArrow(lean(pairs(parts, percent, frequent, "all", share)), by_part)
-    hot = fence(combos).where("part <= -2")
-    more = second.unionByName(hot).withColumn("to", F.when(F.col("part") >= 0, F.col("part")).otherwise(-2 - F.col("part")))
-    homes = first.groupBy("part").cogroup(more.groupBy("to")).applyInArrow(lean(gather(parts, percent, share)), by_part).repartition(parts, "part")
-    sets = packed.groupBy("at").cogroup(to_packs(fence(homes).where("part < 0"))).applyInArrow(lean(send(sets_in)), by_part)
-    return core.save(fence(homes).where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(lean(verify(percent)), "a long, b long, forest boolean"))
+    first = packed.groupBy("at").applyInArrow(lean(pairs(parts, percent, share)), by_part).repartition(parts, "part")
+    homes = first.groupBy("part").applyInArrow(lean(gather(parts, percent, share)), by_part).repartition(parts, "part")
+    sets = packed.groupBy("at").cogroup(to_packs(fence(homes).where("part < 0"))).applyInArrow(lean(send(sets_in)), by_part).repartition(parts, "part")
+    return fence(homes).where("part >= 0").groupBy("part").cogroup(sets.groupBy("part")).applyInArrow(lean(verify(percent)), "a long, b long, forest boolean")
 
 
-def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
+def classes(docs, k: int = 2, percent: int = 60, frequent: float = FREQUENT, floor: int = FLOOR, bits: int = 24):
     """(members, per class: size, least doc_id, similar documents of other classes, component root)."""
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
-    parts = core.partitions(spark)
+    parts = core.parts(docs)
     docs = core.docs_of(docs)
-    level = spark.sparkContext.broadcast(rarity(docs, lambda buf, off: Sets(buf, off, k), bits))
-    packed = docs.mapInArrow(core.lean(packs(parts, k, percent, level)), SCHEMA_AT).repartition(parts, "at")
-    links = linked(packed, parts, lambda blocks: (Sets(buf, off, k) for buf, off in _texts(blocks)), level, percent, frequent)
-    who = core.save(members(docs, k))
+    surveyed = core.save(survey(docs, k, bits))
+    who = surveyed.where("slice IS NULL").select("doc_id", "cls", "n_shingles")
+    order = spark.sparkContext.broadcast(Order(levels(surveyed.where("slice IS NOT NULL").select("slice", "block"), bits), who.where("cls <> 0").count(), frequent, floor))
+    packed = docs.mapInArrow(core.lean(packs(parts, k, percent, order)), SCHEMA_AT).repartition(core.partitions(spark), "at")
+    links = core.save(linked(packed, parts, asked_sets(k), percent))
+    order.destroy()
     per = who.where("cls <> 0").groupBy("cls").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
     similar = ends.join(per.select(F.col("cls").alias("b"), "n"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     forest = links.where("forest").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots = components(forest)
@@ -609,18 +651,18 @@ def classes(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int
     return who, rooted.join(lowest, "root").join(similar, "cls", "left").select("cls", "n", "least", "component_id", "root", F.coalesce("others", F.lit(0)).alias("others"))
 
 
-def report(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
+def report(docs, k: int = 2, percent: int = 60, frequent: float = FREQUENT, floor: int = FLOOR, bits: int = 24):
     """One row per document: size of its set, number of similar documents, component."""
     from pyspark.sql import functions as F
 
-    who, per = classes(docs, k, percent, frequent, bits)
+    who, per = classes(docs, k, percent, frequent, floor, bits)
     # Only classes that differ from "one document, no link" are joined.
     other = per.where("n > 1 OR others > 0").select("cls", "n", "component_id", "others")
     out = who.join(other, "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.col("n") - 1 + F.col("others"), F.lit(0)).alias("n_similar"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def clean(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int = 24):
+def clean(docs, k: int = 2, percent: int = 60, frequent: float = FREQUENT, floor: int = FLOOR, bits: int = 24):
     """The documents, all columns, without those similar to another: of each component that of the least doc_id stays.
 
     Of rows with one doc_id and one set, one stays; so do documents with the
@@ -629,20 +671,18 @@ def clean(docs, k: int = 2, percent: int = 60, frequent: int = 4096, bits: int =
     """
     from pyspark.sql import functions as F
 
-    who, per = classes(docs, k, percent, frequent, bits)
-    repeats = who.where("cls <> 0").groupBy("doc_id", "cls").count().where("count > 1")
-    gone = who.join(per.where("n > 1 OR others > 0").select("cls", "component_id"), "cls").where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("cls").alias("_gone_cls")).distinct()
     names, schema = docs.columns, docs.schema
-    mark = "_class_"
-    while mark in names:
-        mark += "_"
+    mark, gone_id, gone_cls = core.fresh(names, "class", "gone_id", "gone_cls")
+    who, per = classes(docs, k, percent, frequent, floor, bits)
+    repeats = who.where("cls <> 0").groupBy("doc_id", "cls").count().where("count > 1")
+    gone = who.join(per.where("n > 1 OR others > 0").select("cls", "component_id"), "cls").where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(gone_id), F.col("cls").alias(gone_cls)).distinct()
 
     def classed(batches):
         for batch, buf, off in core.chunks(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Sets(buf, off, k).cls.view(np.int64))], names=[*names, mark])
 
     rows = docs.mapInArrow(classed, type(schema)([*schema.fields, *type(schema)().add(mark, "long").fields]))
-    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col(mark) == F.col("_gone_cls")), "left_anti")
+    kept = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_cls)), "left_anti")
     if repeats.limit(1).count():
         kept = kept.where(F.col(mark) != 0).dropDuplicates(["doc_id", mark]).unionByName(kept.where(F.col(mark) == 0))
     return kept.select(*names)

@@ -194,12 +194,12 @@ def test_fertility_rejects_symbols_and_tables(spark):
 # ---- op 5
 
 
-def brute_lines(data, percent=80, least=5):
+def brute_lines(data, percent=80):
     every = []
     for r, (i, t) in enumerate(data):
         for n, line in enumerate((t or "").split("\n")):
             s = frozenset(SPLIT.findall(line))
-            if len(s) >= least:
+            if s:
                 every.append(((1 << 63) - 1 if i is None else i, n, r, s))
     gone = set()
     for o, n, r, s in every:
@@ -214,9 +214,9 @@ def brute_lines(data, percent=80, least=5):
         yield i, len(parts) if t else 0, sum((r, n) in gone for n in range(len(parts))), hashlib.sha256(kept.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("frequent", [4096, 2])
-def test_line_dedup(docs, empty, frequent):
-    same(lines.digests(docs, frequent=frequent, bits=14), list(brute_lines([r[:2] for r in rows()])))
+@pytest.mark.parametrize(("frequent", "floor"), [(1.0, 64), (0.0, 2), (0.1, 2)])
+def test_line_dedup(docs, empty, frequent, floor):
+    same(lines.digests(docs, frequent=frequent, floor=floor, bits=14), list(brute_lines([r[:2] for r in rows()])))
     assert lines.digests(empty, bits=14).count() == 0
 
 
@@ -322,9 +322,9 @@ def brute_ngrams(data, percent=60):
         yield data[i][0], len(sets[i]), len(link[i]), min(ids) if ids else None
 
 
-@pytest.mark.parametrize("frequent", [4096, 2])
-def test_ngram_join(docs, empty, frequent):
-    same(ngram_join.report(docs, frequent=frequent, bits=14), list(brute_ngrams([r[:2] for r in rows()])))
+@pytest.mark.parametrize(("frequent", "floor"), [(1.0, 64), (0.0, 2), (0.1, 2)])
+def test_ngram_join(docs, empty, frequent, floor):
+    same(ngram_join.report(docs, frequent=frequent, floor=floor, bits=14), list(brute_ngrams([r[:2] for r in rows()])))
     assert ngram_join.report(empty, bits=14).count() == 0
 
 
