@@ -40,6 +40,8 @@ from .fertility import LINE
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 SHARE = 2
+#: Prefixes of lines are short, so that combinations of two of their tokens are few.
+FREQUENT, FLOOR = 1 / 1024, 64
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
 
 
@@ -231,7 +233,7 @@ def _run(docs, percent, frequent, floor, bits, row, schema):
     return packed.groupBy("at").cogroup(answers.groupBy("at")).applyInArrow(core.lean(each), schema)
 
 
-def digests(docs, percent: int = 80, frequent: float = nj.FREQUENT, floor: int = nj.FLOOR, bits: int = 22):
+def digests(docs, percent: int = 80, frequent: float = FREQUENT, floor: int = FLOOR, bits: int = 22):
     """doc_id, n_lines, n_removed and the SHA-256 of the text without the removed lines."""
 
     def row(batch, texts, lines, removed):
@@ -242,7 +244,7 @@ def digests(docs, percent: int = 80, frequent: float = nj.FREQUENT, floor: int =
     return _run(core.docs_of(docs), percent, frequent, floor, bits, row, SCHEMA)
 
 
-def clean(docs, percent: int = 80, frequent: float = nj.FREQUENT, floor: int = nj.FLOOR, bits: int = 22):
+def clean(docs, percent: int = 80, frequent: float = FREQUENT, floor: int = FLOOR, bits: int = 22):
     """The documents, all columns, without the removed lines.
 
     A document is dropped when every word it had was in a removed line; one

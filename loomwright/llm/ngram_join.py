@@ -52,9 +52,9 @@ SHARE = 4
 SCHEMA_AT = "at long, pack binary, part int, block binary"
 FLAG = U(1 << 24)
 #: Postings of a part that are paired at a time.
-RANGE = 400_000
+RANGE = 200_000
 #: A token is frequent if at least this share of all sets hold it, and at least FLOOR of them.
-FREQUENT, FLOOR = 1 / 32, 64
+FREQUENT, FLOOR = 1 / 64, 16
 
 
 class Sets:
@@ -200,7 +200,7 @@ def indexed(sets: Sets, order: Order, percent: int, share: int, use: np.ndarray)
     left = n[doc] - (np.arange(len(doc)) - begin[doc]) - 1
     upto, a = np.cumsum(left), 0
     while a < len(doc):  # a bounded number of combinations at a time
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 2_000_000, "right")))
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + 500_000, "right")))
         i = np.repeat(np.arange(a, b), left[a:b])
         j = core.ragged(np.arange(a, b) + 1, left[a:b])
         out.append((core.mix(core.mix(token[i] + U(3)) + token[j]) | FLAG, doc[i], pos[i]))
@@ -363,7 +363,7 @@ class Found:
         k, n = np.unique(keys, return_counts=True)
         self.fresh.append((k, n * worth))
         self.waiting += len(k)
-        if self.waiting > 2_000_000:
+        if self.waiting > max(500_000, len(self.keys)):
             self.merge()
 
     def merge(self):
@@ -414,7 +414,7 @@ def pairs(parts, percent, share):
                 rows = np.flatnonzero((left > 0) & (single[run[o]] == kind))
                 many, step = np.cumsum(left[rows]), 0
                 while step < len(rows):  # a bounded number of pairs at a time
-                    end = max(step + 1, int(np.searchsorted(many, (many[step - 1] if step else 0) + 1_000_000, "right")))
+                    end = max(step + 1, int(np.searchsorted(many, (many[step - 1] if step else 0) + 300_000, "right")))
                     i = np.repeat(rows[step:end], left[rows[step:end]])
                     j = core.ragged(rows[step:end] + 1, left[rows[step:end]])
                     step = end
@@ -548,8 +548,8 @@ def verify(percent):
             b = big[a]
             own = tokens[at[b] : at[b] + size[b]]
             mark[own] = True
-            for f in range(a, e, 4096):
-                s = small[f : min(f + 4096, e)]
+            for f in range(a, e, 1024):
+                s = small[f : min(f + 1024, e)]
                 hits = mark[tokens[core.ragged(at[s], size[s])]]
                 inter = np.add.reduceat(hits, np.cumsum(size[s]) - size[s], dtype=np.int64)
                 good = s[(100 + percent) * inter >= percent * (size[s] + size[b])]

@@ -194,7 +194,7 @@ class Model:
             key = (term[a:b].tobytes(), n[a:b].tobytes())
             if (s := self.known.get(key)) is None:
                 s = self.calibrated(self.index.vote(term[a:b], self.vector(term[a:b], n[a:b]), self.k) if b > a else -1.0)
-                if len(self.known) < 100_000:
+                if len(self.known) < 20_000:
                     self.known[key] = s
             out[d] = s
         return out
