@@ -16,6 +16,7 @@ from .functions import text as T
 from .operators import graph as G
 from .operators import knowledge as K
 from .rules import Rules
+from .shared import folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,10 +40,13 @@ def query(sql: str | None):
 
 
 def queries():
+    from . import catalogue_wiki  # noqa: F401  (it registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(_SQL)
 
 
@@ -65,8 +69,10 @@ d AS (SELECT doc, sum(w * q) AS dot FROM w JOIN v USING (token) GROUP BY 1), nr
 SELECT doc, round(dot / (dn * (SELECT sqrt(sum(q * q)) FROM v)), 4) AS score FROM d JOIN nr USING (doc) ORDER BY round(dot / (dn * (SELECT sqrt(sum(q * q)) FROM v)), 9) DESC, doc LIMIT 20""")
 def tfidf_search_topk(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    postings, df = K.index(docs)
-    return K.search(postings, df, SEARCH, 20)
+    path = folder(spark)
+    K.save_index(docs, path)
+    at = K.load_index(spark, path)
+    return K.search(at["postings"], at["df"], SEARCH, 20, at["norms"])
 
 
 @query(f"""WITH {_TF} SELECT doc, count(*) AS n_terms, CAST(sum(n) AS BIGINT) AS n_tokens, max(n) AS max_tf FROM tf GROUP BY 1""")
@@ -91,7 +97,13 @@ def heuristic_page_search(spark, sf_dir):
     return K.heuristic_search(pages, "news of src3 about ontion", ["src3", "ontion"], 25)
 
 
-@query(None)
+def _at(word: str) -> str:
+    return f"list_transform(range(1, len(string_split(low, '{word}'))), lambda i: length(array_to_string(string_split(low, '{word}')[1:i], '{word}')))"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, text, lower(text) AS low FROM documents), h AS (SELECT doc, text, unnest(list_distinct(list_concat({_at("ontion")}, {_at("thhe")}))) AS p FROM d),
+n AS (SELECT a.doc, any_value(a.text) AS text, a.p, count(*) AS n FROM h a JOIN h b ON a.doc = b.doc AND b.p BETWEEN a.p AND a.p + 79 GROUP BY a.doc, a.p), w AS (SELECT doc, any_value(text) AS text, arg_max(p, (n, -p)) AS p FROM n GROUP BY 1)
+SELECT doc, CASE WHEN p > 20 THEN '...' ELSE '' END || substr(text, greatest(p - 20, 0) + 1, 200) || CASE WHEN greatest(p - 20, 0) + 200 < length(text) THEN '...' ELSE '' END AS snippet FROM w""")
 def snippet_densest_window(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     return K.snippet(docs, ["ontion", "thhe"])
@@ -115,19 +127,39 @@ def noise_line_strip(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("cleaned_md5"), F.when(t == "", 0).otherwise(F.size(F.split(t, "\n"))).alias("n_lines"))
 
 
-@query(None)
+_ACTS = " OR ".join(f"contains(lower({{}}), '{w}')" for w in RULES.action_words)
+_NUM, _YEAR = r"[0-9]+\.?[0-9]*\s*(%|GB|TB|nm|mm)", "(19|20)[0-9]{2}"
+# Sentences: after stops and newlines, and at a full stop between a letter and a capital; the second is done twice, as its matches may share a letter.
+_CUT = rf"regexp_replace(%s, '([A-Za-z])\.\s+([A-Z])', '\1' || chr(1) || '\2', 'g')"
+_SENTENCES = rf"list_filter(list_transform(string_split({_CUT % (_CUT % (rf"regexp_replace(c, '([\n；！？。])\s*', '\1' || chr(1), 'g')"))}, chr(1)), lambda x: trim(x)), lambda x: length(x) >= 11)"
+_SPLIT = f"c AS (SELECT doc_id, lang, text AS t, array_to_string({_CLEAN}, chr(10)) AS c FROM documents), s AS (SELECT *, {_SENTENCES} AS ss FROM c)"
+_QUALITY = f"""{_SPLIT}, m AS (SELECT *, regexp_matches(t, '{_NUM}') AS numbers, regexp_matches(t, '{RULES.entity_words}') AS entities, ({_ACTS.format("t", "t", "t")}) AS actions, length(t) AS n, length(trim(t)) < 20 AS short,
+least(1::DOUBLE, length(c) / greatest(length(t), 1)) AS clean, len(ss) AS a, len(list_distinct(list_transform(ss, lambda x: left(x, 10)))) AS u FROM s),
+d AS (SELECT *, CASE WHEN a > 0 THEN least(1::DOUBLE, u / a) ELSE 0::DOUBLE END AS diversity FROM m),
+q AS (SELECT *, CASE WHEN short THEN 0::DOUBLE ELSE numbers::INT::DOUBLE * 0.25::DOUBLE + entities::INT::DOUBLE * 0.2::DOUBLE + least(1::DOUBLE, n / 1000::DOUBLE) * 0.15::DOUBLE + diversity * 0.15::DOUBLE + actions::INT::DOUBLE * 0.1::DOUBLE + clean * 0.15::DOUBLE END AS score FROM d),
+g AS (SELECT *, CASE WHEN score >= 0.8::DOUBLE THEN 'S' WHEN score >= 0.5::DOUBLE THEN 'A' WHEN score >= 0.2::DOUBLE THEN 'B' ELSE 'C' END AS grade FROM q)"""
+
+
+@query(f"""WITH {_QUALITY} SELECT doc_id, CAST(round(CAST(CAST(score AS VARCHAR) AS DECIMAL(38, 20)), 3) AS DOUBLE) AS score, grade, CASE WHEN score >= 0.5::DOUBLE THEN 'accept' WHEN score >= 0.2::DOUBLE THEN 'review' ELSE 'reject' END AS action,
+concat_ws(',', CASE WHEN short THEN 'too short' END, CASE WHEN numbers THEN 'numbers' END, CASE WHEN entities THEN 'entities' END, CASE WHEN n < 100 THEN 'brief' END, CASE WHEN diversity < 0.3::DOUBLE AND a > 3 THEN 'repetitive' END, CASE WHEN actions THEN 'events' END, CASE WHEN clean < 0.5::DOUBLE THEN 'noisy' END) AS reasons FROM g""")
 def quality_grade_docs(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id", T.quality(F.col("text"), RULES).alias("q"))
     return d.select("doc_id", "q.score", "q.grade", "q.action", F.array_join("q.reasons", ",").alias("reasons"))
 
 
-@query(None)
+@query(f"WITH {_QUALITY} SELECT lang, grade, count(*) AS n FROM g GROUP BY 1, 2")
 def grade_histogram(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("lang", T.quality(F.col("text"), RULES).alias("q"))
     return d.groupBy("lang", F.col("q.grade").alias("grade")).agg(F.count("*").alias("n"))
 
 
-@query(None)
+_HITS = " + ".join(f"contains(x, '{w}')::INT" for w in RULES.industry_words)
+_SCORE = f"3 * regexp_matches(x, '{_NUM}')::INT + 2 * regexp_matches(x, '{_YEAR}')::INT + 2 * ({_ACTS.format('x', 'x', 'x')})::INT + {_HITS} + regexp_matches(x, '{RULES.role_words}')::INT + (length(x) > 20 AND length(x) < 200)::INT - 2 * (length(x) > 300)::INT - regexp_matches(x, '^(请问|您好)')::INT"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){p}') THEN '{k}'" for p, k in RULES.info_types) + " ELSE '新闻' END"
+
+
+@query(f"""WITH {_SPLIT}, b AS (SELECT *, list_sort(list_transform(ss, lambda x, i: {{'n': -({_SCORE}), 'i': i, 's': x}}))[1:3] AS best FROM s), p AS (SELECT *, list_transform(list_sort(list_transform(best, lambda y: {{'i': y.i, 's': y.s}})), lambda y: y.s) AS points, -best[1].n AS top FROM b)
+SELECT doc_id, md5(coalesce(array_to_string(list_transform(points, lambda y: '- ' || y), chr(10)), '')) AS summary_md5, CAST(len(points) AS INT) AS n_points, {_KIND} AS info_type, CASE WHEN top >= 5 THEN 'high' WHEN top >= 2 THEN 'medium' ELSE 'low' END AS quality FROM p""")
 def sentence_topk_summary(spark, sf_dir):
     s = T.summary(F.col("text"), 3, RULES)
     return _table(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.md5("s.summary").alias("summary_md5"), F.size("s.points").alias("n_points"), "s.info_type", "s.quality")
@@ -140,9 +172,9 @@ def doc_classify_rules(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.when(kind == "新闻", "prose").otherwise(kind).alias("doc_type"))
 
 
-@query("SELECT url_kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(url), 'ads.') OR contains(lower(url), '/login') THEN 'blocked' ELSE 'ok' END AS url_kind FROM pages) GROUP BY 1")
+@query("SELECT url_kind, count(*) AS n FROM (SELECT CASE WHEN contains(lower(url), 'blog.') OR contains(lower(url), '.net/') THEN 'blocked' ELSE 'ok' END AS url_kind FROM pages) GROUP BY 1")
 def url_blacklist_filter(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select(F.when(T.contains_any(F.lower("url"), ("ads.", "/login")), "blocked").otherwise("ok").alias("url_kind")).groupBy("url_kind").agg(F.count("*").alias("n"))
+    return _table(spark, sf_dir, "pages").select(F.when(T.contains_any(F.lower("url"), ("blog.", ".net/")), "blocked").otherwise("ok").alias("url_kind")).groupBy("url_kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (WHERE length(text) >= 50) AS n_long, count(*) FILTER (WHERE length(text) < 200) AS n_thin FROM documents GROUP BY 1")
@@ -375,15 +407,16 @@ def related_peers(spark, sf_dir):
 # ---- gaps
 
 
-@query("SELECT c_custkey AS entity, kind FROM customer, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = kind)")
+@query("SELECT c_custkey AS entity, kind FROM customer, (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = kind)")
 def missing_matrix(spark, sf_dir):
     have = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("kind"))
-    return K.missing(have, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity")), ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    return K.missing(have, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity")), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def orphan_customers(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    """Customers without a pending order."""
+    o = _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return _table(spark, sf_dir, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

@@ -14,6 +14,11 @@ HAN = r"一-鿿"
 RULES = Rules()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
@@ -29,9 +34,10 @@ def count_hits(text: Column, words) -> Column:
 
 def tokens(text: Column) -> Column:
     """Han runs as overlapping bigrams (one character alone as itself), other letter and digit runs in lower case."""
+    plain = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower)
     runs = F.regexp_extract_all(text, F.lit(rf"[{HAN}]+|[\p{{L}}\p{{N}}_&&[^{HAN}]]+"), F.lit(0))
     grams = F.transform(runs, lambda r: F.when(r.rlike(rf"^[{HAN}]"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: r.substr(i, F.lit(2)))).otherwise(F.array(F.lower(r))))
-    return F.flatten(grams)
+    return F.when(text.rlike(f"[{HAN}]"), F.flatten(grams)).otherwise(plain)
 
 
 def strip_frontmatter(text: Column) -> Column:
@@ -105,20 +111,28 @@ def sentence_score(s: Column, rules: Rules = RULES) -> Column:
 def quality(text: Column, rules: Rules = RULES) -> Column:
     """struct(score, grade, action, reasons): six weighted dimensions of a document."""
     w = rules.weights
-    numbers, entities = text.rlike(rules.number_units), text.rlike(rules.entity_words)
-    actions = contains_any(F.lower(text), [x.lower() for x in rules.action_words])
-    cleaned = clean_text(text, rules)
-    ss = sentences(cleaned)
-    unique = F.size(F.array_distinct(F.transform(ss, lambda s: F.left(s, F.lit(10)))))
-    diversity = F.when(F.size(ss) > 0, F.least(F.lit(1.0), unique / F.greatest(F.size(ss), F.lit(1)))).otherwise(0.0)
-    clean_share = F.least(F.lit(1.0), F.length(cleaned) / F.greatest(F.length(text), F.lit(1)))
-    total = numbers.cast("double") * w["has_specific_numbers"] + entities.cast("double") * w["has_entity_names"] + F.least(F.lit(1.0), F.length(text) / 1000.0) * w["content_length"] + diversity * w["sentence_diversity"] + actions.cast("double") * w["has_action_verbs"] + clean_share * w["no_noise_ratio"]
-    short = F.coalesce(F.length(F.trim(text)), F.lit(0)) < 20
-    score = F.when(short, 0.0).otherwise(total)
-    grade = F.when(score >= rules.grades["S"], "S").when(score >= rules.grades["A"], "A").when(score >= rules.grades["B"], "B").otherwise("C")
-    action = F.when(score >= rules.accept, "accept").when(score >= rules.review, "review").otherwise("reject")
-    reasons = F.filter(F.array(F.when(short, "too short"), F.when(numbers, "numbers"), F.when(entities, "entities"), F.when(F.length(text) < 100, "brief"), F.when((diversity < 0.3) & (F.size(ss) > 3), "repetitive"), F.when(actions, "events"), F.when(clean_share < 0.5, "noisy")), lambda x: x.isNotNull())
-    return F.struct(F.round(score, 3).alias("score"), grade.alias("grade"), action.alias("action"), reasons.alias("reasons"))
+
+    def measured(x):
+        heads = F.transform(sentences(x["c"]), lambda s: F.left(s, F.lit(10)))
+        return F.struct(
+            x["t"].rlike(rules.number_units).alias("numbers"), x["t"].rlike(rules.entity_words).alias("entities"), contains_any(F.lower(x["t"]), [a.lower() for a in rules.action_words]).alias("actions"),
+            F.length(x["t"]).alias("n"), (F.coalesce(F.length(F.trim(x["t"])), F.lit(0)) < 20).alias("short"), F.least(F.lit(1.0), F.length(x["c"]) / F.greatest(F.length(x["t"]), F.lit(1))).alias("clean"),
+            let(heads, lambda h: F.struct(F.size(h).alias("all"), F.size(F.array_distinct(h)).alias("unique"))).alias("s"),
+        )
+
+    def scored(m):
+        diversity = F.when(m["s.all"] > 0, F.least(F.lit(1.0), m["s.unique"] / F.greatest(m["s.all"], F.lit(1)))).otherwise(0.0)
+        total = m["numbers"].cast("double") * w["has_specific_numbers"] + m["entities"].cast("double") * w["has_entity_names"] + F.least(F.lit(1.0), m["n"] / 1000.0) * w["content_length"] + diversity * w["sentence_diversity"] + m["actions"].cast("double") * w["has_action_verbs"] + m["clean"] * w["no_noise_ratio"]
+        reasons = F.filter(F.array(F.when(m["short"], "too short"), F.when(m["numbers"], "numbers"), F.when(m["entities"], "entities"), F.when(m["n"] < 100, "brief"), F.when((diversity < 0.3) & (m["s.all"] > 3), "repetitive"), F.when(m["actions"], "events"), F.when(m["clean"] < 0.5, "noisy")), lambda x: x.isNotNull())
+        return F.struct(F.when(m["short"], 0.0).otherwise(total).alias("score"), reasons.alias("reasons"))
+
+    def graded(x):
+        score = x["score"]
+        grade = F.when(score >= rules.grades["S"], "S").when(score >= rules.grades["A"], "A").when(score >= rules.grades["B"], "B").otherwise("C")
+        action = F.when(score >= rules.accept, "accept").when(score >= rules.review, "review").otherwise("reject")
+        return F.struct(F.round(score, 3).alias("score"), grade.alias("grade"), action.alias("action"), x["reasons"].alias("reasons"))
+
+    return let(F.struct(text.alias("t"), clean_text(text, rules).alias("c")), lambda x: let(measured(x), lambda m: let(scored(m), graded)))
 
 
 def top_sentences(text: Column, k: int = 3, rules: Rules = RULES) -> Column:
@@ -139,11 +153,14 @@ def info_type(text: Column, rules: Rules = RULES) -> Column:
 
 def summary(text: Column, k: int = 3, rules: Rules = RULES) -> Column:
     """struct(summary, points, info_type, quality): the extractive summary of a text."""
-    best = top_sentences(text, k, rules)
-    top = F.array_max(F.transform(best, lambda x: x["score"]))
-    level = F.when(top >= 5, "high").when(top >= 2, "medium").otherwise("low")
-    points = F.transform(best, lambda x: x["s"])
-    return F.struct(F.array_join(F.transform(points, lambda p: F.concat(F.lit("- "), p)), "\n").alias("summary"), points.alias("points"), info_type(text, rules).alias("info_type"), level.alias("quality"))
+
+    def of(best):
+        top = F.array_max(F.transform(best, lambda x: x["score"]))
+        level = F.when(top >= 5, "high").when(top >= 2, "medium").otherwise("low")
+        points = F.transform(best, lambda x: x["s"])
+        return F.struct(F.array_join(F.transform(points, lambda p: F.concat(F.lit("- "), p)), "\n").alias("summary"), points.alias("points"), info_type(text, rules).alias("info_type"), level.alias("quality"))
+
+    return let(top_sentences(text, k, rules), of)
 
 
 def file_type(name: Column, rules: Rules = RULES) -> Column:
@@ -198,6 +215,40 @@ def question_templates(q: Column, synonyms: dict[str, list[str]]) -> Column:
     return F.when(F.size(hit) > 0, F.array_distinct(hit)).otherwise(query_keywords(q)) if synonyms else query_keywords(q)
 
 
+#: Templates of questions: what ends the subject, and the words that are then looked for with it.
+TEMPLATES = (("如何|怎样|怎么样", ()), ("进展|情况|状况", ("进展",)), ("趋势|方向", ("趋势",)), ("格局|竞争", ("格局", "竞争")), ("国产化率|替代", ("国产化", "替代")), ("产能|产量", ("产能",)), ("订单|客户", ("订单", "客户")), ("技术|创新", ("技术", "创新")))
+
+
+def subject_keywords(q: Column, templates=TEMPLATES, least: str = rf"[{HAN}]{{2,}}") -> Column:
+    """The subject before the first template's ending that occurs, with that template's words; else the runs of ``least``, else the question."""
+    q = F.regexp_replace(q, "[?？]", "")
+    out = None
+    for ending, words in templates:
+        hit = F.regexp_extract(q, rf"(?s)([^\n]+?)(?:{ending})", 1)
+        value = F.array(hit, *(F.lit(w) for w in words))
+        out = F.when(hit != "", value) if out is None else out.when(hit != "", value)
+    runs = F.regexp_extract_all(q, F.lit(least), F.lit(0))
+    other = F.when(F.size(runs) > 0, runs).otherwise(F.array(q))
+    return other if out is None else out.otherwise(other)
+
+
+def valid_question(q: Column, markers=("？", "?", "吗", "哪", "如何", "什么", "多少", "是否", "为什么", "能否", "会不会"), reject=(), least: int = 10, most: int = 100) -> Column:
+    """Of a proper length, marked as a question, and without a rejected phrase."""
+    q = F.trim(q)
+    return F.coalesce(F.length(q).between(least, most) & contains_any(q, markers) & ~contains_any(q, reject), F.lit(False))
+
+
+def valid_assessment(text: Column, reject=(), least: int = 50, most: int = 800, rules: Rules = RULES) -> Column:
+    """Of a proper length, without a rejected phrase, and with a number or an entity."""
+    t = F.trim(text)
+    return F.coalesce(F.length(t).between(least, most) & ~contains_any(t, reject) & (t.rlike("[0-9]") | t.rlike(rules.entity_words)), F.lit(False))
+
+
+def valid_ticker(ticker: Column) -> Column:
+    """Six digits, one to five letters, or digits with a suffix."""
+    return F.coalesce(ticker.rlike(r"^([0-9]{6}|[A-Za-z]{1,5}|[0-9]+\.[A-Za-z]+)$"), F.lit(False))
+
+
 def relevant_sentences(text: Column, words: Column, k: int = 3) -> Column:
     """The k sentences with the most keywords, best first, ties by place."""
     ss = F.transform(sentences(text), lambda s, i: F.struct((-F.size(F.filter(words, lambda w: F.contains(F.lower(s), F.lower(w))))).alias("n"), i.alias("pos"), s.alias("s")))
@@ -215,7 +266,7 @@ def timeline(text: Column, heading: str = "时间线", source: str = "来源") -
 
     def entry(b, i):
         head = F.substring_index(b, "\n", 1)
-        lines = F.transform(F.slice(F.split(b, "\n"), 2, 100000), F.trim)
+        lines = F.transform(F.slice(F.split(b, "\n"), 2, F.length(b) + 1), F.trim)
         link = rf"\[{source}\]\(([^)]*)\)"
         points = F.transform(F.filter(lines, lambda x: x.startswith("- ") & ~x.rlike(link)), lambda x: F.trim(x.substr(F.lit(3), F.length(x))))
         part = lambda n: F.trim(F.get(F.split(head.substr(F.lit(5), F.length(head)), r"\s*\|\s*"), F.lit(n)))
@@ -246,6 +297,47 @@ def inject_links(text: Column, targets: Column) -> Column:
     return F.concat(head, F.aggregate(by_length, body, step))
 
 
+def quoted(path: Column, safe: str = "/:@!$&'()*+,;=-._~") -> Column:
+    """A path as it stands in a link: everything but letters, digits and ``safe`` per cent encoded."""
+    coded = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    for c in safe:
+        coded = F.replace(coded, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return coded
+
+
+def link_targets(target: Column) -> Column:
+    """What a link's target is looked up as: itself, then without its first directories, one by one."""
+    parts = F.split(target, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
+def links_to_markdown(text: Column, pages: Column, page: Column) -> Column:
+    """Wikilinks outside code as Markdown links, relative to ``page``; ``pages`` maps names to paths.  A link that leads nowhere stays."""
+    depth = F.length(page) - F.length(F.replace(page, F.lit("/"), F.lit("")))
+    up = F.when(depth > 0, F.repeat(F.lit("../"), depth)).otherwise(F.lit("./"))
+
+    def convert(link):
+        inner = link.substr(F.lit(3), F.length(link) - 4)
+        target = F.trim(F.substring_index(inner, "|", 1))
+        shown = F.when(F.contains(inner, F.lit("|")), F.trim(inner.substr(F.locate("|", inner) + 1, F.length(inner)))).otherwise(target)
+        found = F.get(F.filter(F.transform(link_targets(target), lambda t: F.try_element_at(pages, t)), lambda p: p.isNotNull()), F.lit(0))
+        return F.when(found.isNull(), link).otherwise(F.concat(F.lit("["), shown, F.lit("]("), quoted(F.regexp_replace(F.concat(up, found), r"\.md$", "")), F.lit(")")))
+
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)`{3}.*?(?:`{3}|\z)|`[^`]*`|\[\[.*?\]\]|.[^`\[]*"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("[["), convert(p)).otherwise(p)), "")
+
+
+def related_section(text: Column, related: Column, heading: str = "相关页面") -> Column:
+    """The text with its section of related pages replaced, or added at its end."""
+    block = F.concat(F.lit(f"## {heading}\n\n"), F.array_join(F.transform(related, lambda r: F.concat(F.lit("- [["), r, F.lit("]]"))), "\n"), F.lit("\n"))
+    mark = f"\n## {heading}\n"
+    at = F.locate(mark, text)
+    rest = text.substr(at + len(mark), F.length(text))
+    after = F.when(F.locate("\n## ", rest) > 0, rest.substr(F.locate("\n## ", rest), F.length(rest))).otherwise(F.lit(""))
+    ended = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
+    return F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), F.lit("\n"), block, after)).otherwise(F.concat(ended, F.lit("\n"), block))
+
+
 def slug(text: Column, n: int = 40) -> Column:
     return F.left(F.regexp_replace(text, rf"(?U)[^\w{HAN}]", "_"), F.lit(n))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed as _checkpointed
+
 
 def upstream(edges: DataFrame, entity: str) -> DataFrame:
     return edges.where((F.col("type") == "upstream_of") & (F.col("dst") == entity)).orderBy("pos").select(F.col("src").alias("entity"))
@@ -32,16 +36,8 @@ def sector_topics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(edges.where(F.col("type") == "belongs_to").select(F.col("dst").alias("sector"), F.col("src").alias("topic"))).distinct()
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
-def paths(edges: DataFrame, start: DataFrame, max_hops: int = 32) -> DataFrame:
-    """Every simple path from ``start`` (entity) to a node without out-edges.
+def paths(edges: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Every simple path from ``start`` (entity) to a node without out-edges, of at most ``max_hops`` if that is given.
 
     A branch that comes back to a node it has visited gives no path.
     """
@@ -49,7 +45,7 @@ def paths(edges: DataFrame, start: DataFrame, max_hops: int = 32) -> DataFrame:
     sinks = hop.select(F.col("_d").alias("last")).unionByName(start.select(F.col("entity").alias("last"))).distinct().join(hop.select(F.col("_s").alias("last")).distinct(), "last", "left_anti")
     live = start.select(F.array("entity").alias("path"), F.col("entity").alias("last"))
     found = live.join(sinks, "last", "left_semi")
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         live = _checkpointed(live.join(hop, F.col("last") == F.col("_s")).where(~F.array_contains("path", F.col("_d"))).select(F.array_append("path", F.col("_d")).alias("path"), F.col("_d").alias("last")))
         if live.isEmpty():
             break
@@ -70,6 +66,37 @@ def reach(edges: DataFrame, start: DataFrame, max_hops: int = 10) -> DataFrame:
     return seen
 
 
+def find_path(edges: DataFrame, start: str | int, goal: str | int, max_hops: int = 10) -> DataFrame:
+    """A shortest path as one row (path, hops); of several the least in order of its nodes; no row beyond ``max_hops``.
+
+    Breadth first: each node is expanded once, with the least of its paths.
+    """
+    hop = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    kind = hop.schema["_s"].dataType
+    seen = _checkpointed(edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("entity"), F.array(F.lit(start).cast(kind)).alias("path")))
+    frontier = seen
+    for _ in range(max_hops):
+        if not frontier.where(F.col("entity") == F.lit(goal)).isEmpty():
+            break
+        nearer = frontier.join(hop, F.col("entity") == F.col("_s")).select(F.col("_d").alias("entity"), F.array_append("path", F.col("_d")).alias("path"))
+        frontier = _checkpointed(nearer.groupBy("entity").agg(F.min("path").alias("path")).join(seen.select("entity"), "entity", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = _checkpointed(seen.unionByName(frontier))
+    return seen.where(F.col("entity") == F.lit(goal)).select("path", (F.size("path") - 1).alias("hops"))
+
+
+def company_sectors(companies: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per company and sector of it: the sector's tier, and what is upstream and downstream of it, sorted."""
+    member = companies.select(F.col("name").alias("company"), F.explode("sectors").alias("sector"))
+    flow = edges.where("type = 'upstream_of'")
+    up = flow.groupBy(F.col("dst").alias("sector")).agg(F.array_sort(F.collect_set("src")).alias("upstream"))
+    down = flow.groupBy(F.col("src").alias("sector")).agg(F.array_sort(F.collect_set("dst")).alias("downstream"))
+    none = F.array().cast("array<string>")
+    info = nodes.select(F.col("name").alias("sector"), "tier").join(up, "sector", "left").join(down, "sector", "left")
+    return member.join(info, "sector", "left").select("company", "sector", "tier", F.coalesce("upstream", none).alias("upstream"), F.coalesce("downstream", none).alias("downstream"))
+
+
 def related(companies: DataFrame, nodes: DataFrame, entity: str, have: DataFrame) -> DataFrame:
     """Pages related to an entity: its sectors, their companies, its themes; or a sector's companies and parents; among ``have``."""
     own = companies.where(F.col("name") == entity)

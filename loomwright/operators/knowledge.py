@@ -24,8 +24,7 @@ def route(docs: DataFrame, graph: dict, rules: Rules) -> DataFrame:
     Branches: the hinted company; the cascade of its sectors and themes;
     keywords, weighed by specificity; prominent mentions of companies.  Of each
     key the best score counts, if it reaches the least one.  Keywords and names
-    come from the graph, a dimension; the join by containment is broadcast
-    only after its rows were counted (``dimension``).
+    come from the graph, a dimension; one pass finds them all (``containing``).
     """
     companies, nodes, edges = graph["companies"], graph["nodes"], graph["edges"]
     topics = sector_topics(nodes, edges)
@@ -38,24 +37,65 @@ def route(docs: DataFrame, graph: dict, rules: Rules) -> DataFrame:
     over = F.create_map(*(F.lit(x) for kv in rules.specificity.items() for x in kv)) if rules.specificity else F.create_map().cast("map<string,double>")
     k = k.withColumn("spec", F.coalesce(F.try_element_at(over, F.col("keyword")), F.lit(rules.default_specificity))).where(F.col("spec") >= rules.min_specificity)
     lowered = docs.select("doc", F.lower("text").alias("low"))
-    c = lowered.join(dimension(k), F.col("low").contains(F.col("keyword"))).select("doc", "entity", F.col("type").alias("entity_type"), F.lit("news").alias("topic"), (F.col("spec") * rules.keyword_max).alias("score"))
+    c = containing(lowered, k, "low", "keyword").select("doc", "entity", F.col("type").alias("entity_type"), F.lit("news").alias("topic"), (F.col("spec") * rules.keyword_max).alias("score"))
     names = company_keys(companies).where((F.length("key") >= 2) & ~F.col("key").isin(*rules.name_blacklist))
     d = prominent(docs, names, rules).select("doc", F.col("company").alias("entity"), F.lit("company").alias("entity_type"), F.lit("news").alias("topic"), F.lit(rules.mention_score).alias("score"))
     best = a.unionByName(b).unionByName(c).unionByName(d).groupBy("doc", "entity", "entity_type", "topic").agg(F.max("score").alias("score"))
     return best.where(F.col("score") >= rules.min_score)
 
 
-DIMENSION_ROWS = 100_000
+DIMENSION_BYTES = 64 << 20
 
 
 def dimension(df: DataFrame) -> DataFrame:
-    """Broadcast a side if it is small, by its rows; else leave the plan to choose."""
-    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
+    """Broadcast a side if the optimizer knows that it is small; else leave the plan to choose."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= DIMENSION_BYTES else df
+
+
+def containing(docs: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
+    """docs x words where the text contains the word: one pass per batch over all words at once.
+
+    An automaton of the words (an entity graph's names and keywords, a
+    dimension that is broadcast as such) reads each text once, however many
+    words there are; without its library, plain searches do.  Empty words are in no text.
+    """
+    held = [r[0] for r in words.select(word).where(F.length(word) > 0).distinct().collect()]
+    spark = docs.sparkSession
+    every = spark.sparkContext.broadcast(held)
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            import ahocorasick
+        except ImportError:
+            ahocorasick = None
+        find = None
+        if ahocorasick is not None and every.value:
+            automaton = ahocorasick.Automaton()
+            for w in every.value:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            find = lambda t: {w for _, w in automaton.iter(t)}
+        for batch in batches:
+            i = batch.schema.get_field_index(text)
+            at, found = [], []
+            for row, t in enumerate(batch.column(i).to_pylist()):
+                hits = sorted(find(t) if find else {w for w in every.value if w in t}) if t else []
+                at += [row] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(found, pa.string())], names=[*batch.schema.names, hit])
+
+    hit = "_hit"
+    while hit in docs.columns or hit in words.columns:
+        hit += "_"
+    got = docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields, *type(docs.schema)().add(hit, "string").fields]))
+    return got.join(dimension(words), F.col(hit) == F.col(word)).drop(hit)
 
 
 def prominent(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
     """Names near the beginning of a text, or often in it."""
-    hit = docs.select("doc", "text").join(dimension(names), F.col("text").contains(F.col("key")))
+    hit = containing(docs.select("doc", "text"), names, "text", "key")
     early = F.left("text", F.lit(rules.prominent_chars)).contains(F.col("key"))
     return hit.where(early | (T.mentions(F.col("text"), F.col("key")) >= rules.prominent_count)).select("doc", "company").distinct()
 
@@ -65,8 +105,8 @@ def prominent(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc, token, n, total) of docs (doc, text)."""
-    each = docs.select("doc", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
-    return each.join(each.groupBy("doc").agg(F.sum("n").alias("total")), "doc")
+    each = docs.select("doc", T.tokens(F.col("text")).alias("t")).select("doc", F.size("t").alias("total"), F.explode("t").alias("token"))
+    return each.groupBy("doc", "total", "token").agg(F.count("*").alias("n")).select("doc", "token", "n", F.col("total").cast("long").alias("total"))
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,15 +117,39 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tf.join(df, "token").select("token", "doc", (F.col("n") / F.col("total") * F.col("idf")).alias("w")), df
 
 
-def search(postings: DataFrame, df: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """The k documents of highest cosine to the query; scores are rounded after ranking."""
+def save_index(docs: DataFrame, path: str) -> None:
+    """The inverted index of docs (doc, text) as tables ``counts``, ``df``, ``postings`` and ``norms`` below a path; texts are read once."""
+    spark = docs.sparkSession
+    term_counts(docs).write.mode("overwrite").parquet(f"{path}/counts")
+    tf = spark.read.parquet(f"{path}/counts")
+    n = docs.agg(F.count("*").alias("N"))
+    tf.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).withColumn("idf", F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).drop("N").write.mode("overwrite").parquet(f"{path}/df")
+    df = spark.read.parquet(f"{path}/df")
+    w = tf.join(df, "token").select("token", "doc", (F.col("n") / F.col("total") * F.col("idf")).alias("w"))
+    w.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")).write.mode("overwrite").parquet(f"{path}/norms")
+
+
+def load_index(spark, path: str) -> dict[str, DataFrame] | None:
+    """A saved index, or None where there is none (whole and readable), so that the caller builds it."""
+    try:
+        return {t: spark.read.parquet(f"{path}/{t}") for t in ("df", "postings", "norms")}
+    except Exception as e:
+        if any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE")):
+            return None
+        raise
+
+
+def search(postings: DataFrame, df: DataFrame, query: str, k: int = 10, norms: DataFrame | None = None) -> DataFrame:
+    """The k documents of highest cosine to the query; scores are rounded after ranking.  ``norms`` (doc, dn) spares a pass over the postings."""
     spark = postings.sparkSession
     q = spark.createDataFrame([(query,)], "q string").select(F.explode(T.tokens(F.col("q"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     total = q.agg(F.sum("n").alias("m"))
     v = q.join(F.broadcast(df.join(F.broadcast(q.select("token")), "token", "left_semi")), "token").join(F.broadcast(total)).select("token", (F.col("n") / F.col("m") * F.col("idf")).alias("q"))
     length = v.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     dots = postings.join(F.broadcast(v), "token").groupBy("doc").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    norms = postings.join(dots.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
+    if norms is None:
+        norms = postings.join(dots.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     scored = dots.join(norms, "doc").join(F.broadcast(length)).select("doc", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 9)), "doc").limit(k).select("doc", F.round("score", 4).alias("score"))
 
@@ -119,20 +183,40 @@ def snippet(docs: DataFrame, words: list[str], width: int = 80, lead: int = 20,
 # ---- contradictions
 
 
-def numeric_contradictions(values: DataFrame, share: float = 0.3) -> DataFrame:
-    """values (entity, metric, value) -> per entity and metric: values, distinct ones, and pairs that differ by more than ``share`` of the larger.
+def far_pairs(values: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """keys -> n_pairs: pairs of positive values with equal keys that differ by more than ``share`` of the larger.
 
-    Pairs are counted, not made: over distinct positive values with their
-    counts, a running total in order of value tells how many lie far below.
+    Pairs are counted, not made: over distinct values with their counts, a
+    running total in order of value tells how many lie far below.
     """
-    d = values.where("value > 0").groupBy("entity", "metric", "value").agg(F.count("*").alias("n"))
-    # The k-th distinct value pairs with all that are below value x (1 - share).
-    lows = d.select("entity", "metric", F.col("value").alias("at"), F.col("n").alias("low"), F.lit(0).alias("high"))
-    highs = d.select("entity", "metric", (F.col("value") * (1 - share)).alias("at"), F.lit(0).alias("low"), F.col("n").alias("high"))
-    w = Window.partitionBy("entity", "metric").orderBy("at", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = values.where("value > 0").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    lows = d.select(*keys, F.col("value").alias("at"), F.col("n").alias("low"), F.lit(0).alias("high"))
+    highs = d.select(*keys, (F.col("value") * (1 - share)).alias("at"), F.lit(0).alias("low"), F.col("n").alias("high"))
+    w = Window.partitionBy(*keys).orderBy("at", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = lows.unionByName(highs).withColumn("below", F.sum("low").over(w))
-    pairs = both.groupBy("entity", "metric").agg(F.sum(F.col("high") * F.col("below")).alias("n_pairs"))
-    return d.groupBy("entity", "metric").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct")).join(pairs, ["entity", "metric"]).where("n_pairs > 0")
+    return both.groupBy(*keys).agg(F.coalesce(F.sum(F.col("high") * F.col("below")), F.lit(0)).alias("n_pairs"))
+
+
+def numeric_contradictions(values: DataFrame, share: float = 0.3) -> DataFrame:
+    """values (entity, metric, value[, page][, about]) -> per entity and metric: values, distinct ones, and pairs that contradict.
+
+    A pair contradicts if its values differ by more than ``share`` of the
+    larger, it isn't from one page, and what its statements are about (a string;
+    null or empty: nothing named) isn't named and different on both sides.
+    Counted by inclusion and exclusion over ``far_pairs``.
+    """
+    keys = ["entity", "metric"]
+    page = ["page"] if "page" in values.columns else []
+    terms = [(values, [], 1)] + [(values, page, -1)] * len(page)
+    if "about" in values.columns:
+        named = values.where(F.length("about") > 0)
+        terms += [(named, [], -1), (named, ["about"], 1)] + [(named, page, 1), (named, [*page, "about"], -1)] * len(page)
+    counted = None
+    for v, more, sign in terms:
+        t = far_pairs(v, keys + more, share).select(*keys, (F.col("n_pairs") * sign).alias("n_pairs"))
+        counted = t if counted is None else counted.unionByName(t)
+    d = values.where("value > 0").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    return d.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct")).join(counted.groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs")), keys).where("n_pairs > 0")
 
 
 def categorical_contradictions(values: DataFrame) -> DataFrame:
@@ -153,11 +237,38 @@ def temporal_contradictions(statements: DataFrame, overlap: float = 0.5) -> Data
     return s.where(F.col("next").isNotNull() & (F.col("date") != F.col("next.date")) & same).select("entity", "date", "page", F.col("next.date").alias("other_date"), F.col("next.page").alias("other_page"))
 
 
-def statements(pages: DataFrame) -> DataFrame:
-    """(entity, page, metric, value) of numbers with a unit, in pages (entity, page, content)."""
-    unit = r"(\d+(?:\.\d+)?)\s*(%|亿|万|nm|倍|GB)"
-    every = F.regexp_extract_all("content", F.lit(unit), F.lit(0))
-    return pages.select("entity", "page", F.explode(every).alias("m")).select("entity", "page", F.regexp_extract("m", unit, 2).alias("metric"), F.expr(r"try_cast(regexp_extract(m, '(\\d+(?:\\.\\d+)?)', 1) AS double)").alias("value"))
+#: Units, and the name of what they measure.
+UNITS = (("%", r"\d+\.?\d*", "百分比"), ("亿", r"\d+\.?\d*", "金额（亿）"), ("万", r"\d+\.?\d*", "金额（万）"), ("倍", r"\d+", "倍数"), ("台", r"\d+", "数量（台）"), ("片", r"\d+", "数量（片）"))
+FIRMS = r"[一-鿿]{2,}(?:公司|集团|股份|科技|电子|半导体)"
+
+
+def statements(pages: DataFrame, around: int = 30, units=UNITS, firms: str = FIRMS) -> DataFrame:
+    """(entity, page, metric, value, statement, about) of numbers with a unit in pages (entity, page, content).
+
+    statement: the number with ``around`` characters on both sides, newlines as
+    blanks; about: the firms that it names, sorted and joined by commas.
+    """
+    rows = pages.select("entity", "page", F.col("content").cast("string").alias("content"))
+    fields = ["entity", "page", "metric", "value", "statement", "about"]
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        every, firm = [(re.compile(rf"({number})\s*{unit}"), name) for unit, number, name in units], re.compile(firms)
+        for batch in batches:
+            at, metric, value, text, about = [], [], [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                for pattern, name in every:
+                    for m in pattern.finditer(t or ""):
+                        around_ = t[max(0, m.start() - around) : m.end() + around].replace("\n", " ")
+                        at.append(i), metric.append(name), value.append(float(m[1])), text.append(around_), about.append(",".join(sorted(set(firm.findall(around_)))))
+            where = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(metric, pa.string()), pa.array(value, pa.float64()), pa.array(text, pa.string()), pa.array(about, pa.string())], names=fields)
+
+    kind = rows.schema
+    return rows.mapInArrow(run, type(kind)(kind.fields[:2]).add("metric", "string").add("value", "double").add("statement", "string").add("about", "string"))
 
 
 def attributes(pages: DataFrame, names: tuple[str, ...] = ("行业", "领域", "类型", "地位", "定位")) -> DataFrame:
@@ -269,6 +380,47 @@ def lint(pages: DataFrame, required: tuple[str, ...] = ("entity", "last_updated"
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
+def lint_summary(issues: DataFrame) -> DataFrame:
+    """How many issues (level, ...) are errors, warnings and infos: one row."""
+    return issues.agg(*(F.count_if(F.col("level") == k).alias(f"n_{k.lower()}") for k in ("ERROR", "WARNING", "INFO")))
+
+
+def groups_first(rows: DataFrame, group: str, order: list[str], k: int = 5) -> DataFrame:
+    """Per group its number of rows and, with a rank, its first ``k`` in order."""
+    w = Window.partitionBy(group)
+    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order)))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    return ranked.where(F.col("rank") <= k).join(sizes, group)
+
+
+def missing_cross_references(pages: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """(name, n_pages): names that stand in ``least`` pages (path, content) or more that have no link with the name in it."""
+    hit = containing(pages.select("path", "content"), names.select("name").distinct(), "content", "name")
+    linked = F.exists(F.regexp_extract_all("content", F.lit(r"\[\[([^\]]*)\]\]"), F.lit(1)), lambda x: F.contains(x, F.col("name")))
+    return hit.where(~linked).groupBy("name").agg(F.count_distinct("path").alias("n_pages")).where(F.col("n_pages") >= least)
+
+
+def question_suggestions(docs: DataFrame, routed: DataFrame, patterns: list[tuple[str, str]], existing: DataFrame, top: int = 10) -> DataFrame:
+    """(entity, question): templates filled from docs (doc, text) that match, for each entity of routed (doc, entity), unless asked already; the first ``top``.
+
+    A template's ``{}`` is what its pattern's first group (or all of it) matched first.
+    """
+    asked = None
+    for n, (pattern, template) in enumerate(patterns):
+        hit = F.regexp_extract("text", f"({pattern})" if "(" not in pattern.replace(r"\(", "").replace("(?", "") else pattern, 1)
+        q = docs.where(F.col("text").rlike(pattern)).select("doc", F.lit(n).alias("n"), F.replace(F.lit(template), F.lit("{}"), hit).alias("question"))
+        asked = q if asked is None else asked.unionByName(q)
+    new = routed.select("doc", "entity").join(asked, "doc").join(existing.select("question").distinct(), "question", "left_anti")
+    return new.groupBy("entity", "question").agg(F.min(F.struct("doc", "n")).alias("o")).orderBy("o", "entity", "question").limit(top).select("entity", "question", F.lit(0.5).alias("confidence"))
+
+
+def refine_manifest(timeline: DataFrame, raw: DataFrame, most: int = 1000) -> DataFrame:
+    """Entries (path, date, title, body, source_path) that need refinement, each with its source's cleaned text, cut at ``most`` characters."""
+    need = timeline.where(needs_refinement(F.col("title"), F.col("body")))
+    source = raw.groupBy(F.col("path").alias("source_path")).agg(F.min("body").alias("raw"))
+    return need.join(source, "source_path", "left").select("path", "date", "title", "source_path", F.left(T.clean_simple(F.coalesce("raw", F.lit(""))), F.lit(most)).alias("content"))
+
+
 def suggestions(gaps: DataFrame) -> DataFrame:
     """Gaps (entity, topic, gap_type) with what to search for, high priority first."""
     q = F.when(F.col("gap_type") == "missing_page", F.array(F.concat("entity", F.lit(" 公司介绍")))).when(F.col("gap_type") == "outdated", F.array(F.concat("entity", F.lit(" 最新消息")), F.concat_ws(" ", "entity", "topic"))).otherwise(F.array(F.concat_ws(" ", "entity", "topic")))
@@ -294,6 +446,61 @@ def quality_dashboard(pages: DataFrame, as_of: str) -> DataFrame:
     return p.rollup("entity_type").agg(n.alias("pages"), F.sum("e").alias("entries"), F.count_if("na").alias("no_assessment"), T.floor_percent(F.count_if("na"), n).alias("no_assessment_pct"), F.count_if(F.col("e") < 3).alias("few_entries"), F.count_if(F.coalesce("old", F.lit(False))).alias("stale"))
 
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """pages with what dashboards count: entries, questions, whether there is an assessment."""
+    lines = F.filter(F.split(T.section(F.col("content"), "核心问题"), "\n"), lambda x: x.startswith("- "))
+    text = F.trim(T.section(F.col("content"), "综合评估"), F.lit(" \n"))
+    return pages.select("*", F.size(T.timeline(F.col("content"))).alias("entries"), F.size(lines).alias("questions"), (F.length(text) > 50).alias("has_assessment"))
+
+
+def enrichment_stats(facts: DataFrame) -> DataFrame:
+    """One row: pages, those with questions, with an assessment, with entries, with enough (3) for an assessment; entries' least, most and mean."""
+    return facts.agg(F.count("*").alias("pages"), F.count_if(F.col("questions") > 0).alias("with_questions"), F.count_if("has_assessment").alias("with_assessment"), F.count_if(F.col("entries") > 0).alias("with_timeline"), F.count_if(F.col("entries") >= 3).alias("assessable"), F.min("entries").alias("least"), F.max("entries").alias("most"), F.round(F.avg("entries"), 6).alias("mean"))
+
+
+def sector_coverage(sectors: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per sector (sector): companies (members: sector, name), and its first page's entries, assessment and questions."""
+    first = facts.groupBy("entity").agg(F.min_by(F.struct("entries", "has_assessment", "questions"), "path").alias("f"))
+    n = members.groupBy("sector").agg(F.count_distinct("name").alias("companies"))
+    j = sectors.select("sector").distinct().join(n, "sector", "left").join(first, F.col("sector") == F.col("entity"), "left")
+    return j.select("sector", F.coalesce("companies", F.lit(0)).alias("companies"), F.coalesce("f.entries", F.lit(0)).alias("entries"), F.coalesce("f.has_assessment", F.lit(False)).alias("has_assessment"), F.coalesce("f.questions", F.lit(0)).alias("questions"))
+
+
+def run_totals(results: DataFrame) -> DataFrame:
+    """One row of results (status): files, updated, skipped, failed, and the share that didn't fail (1 if there are none)."""
+    n, bad = F.count("*"), F.count_if(F.col("status") == "error")
+    return results.agg(n.alias("files"), F.count_if(F.col("status") == "updated").alias("updated"), F.count_if(F.col("status") == "skipped").alias("skipped"), bad.alias("failed"), F.round(F.when(n == 0, 1.0).otherwise((n - bad) / F.greatest(n, F.lit(1))), 6).alias("success_rate"))
+
+
+def corpus_stats(files: DataFrame) -> DataFrame:
+    """One row of a listing (path): companies, news, filings and pages, by where they lie."""
+    p = F.col("path")
+    return files.agg(F.count_distinct(F.nullif(F.regexp_extract("path", "companies/([^/]+)/", 1), F.lit(""))).alias("companies"), F.count_if(p.contains("/raw/news/") & p.endswith(".md")).alias("news"), F.count_if(p.endswith(".pdf")).alias("pdfs"), F.count_if(p.contains("/wiki/") & p.endswith(".md")).alias("pages"))
+
+
+def link_stats(pages: DataFrame) -> DataFrame:
+    """One row: wikilinks in all pages, and pages that have any."""
+    n = F.regexp_count("content", F.lit(r"\[\["))
+    return pages.agg(F.coalesce(F.sum(n), F.lit(0)).alias("links"), F.count_if(n > 0).alias("pages_with_links"))
+
+
+def removed_share(kept: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row: kept, removed and the whole per cent removed."""
+    both = kept.select(F.lit(0).alias("gone")).unionByName(rejected.select(F.lit(1).alias("gone")))
+    return both.agg(F.count_if("gone = 0").alias("kept"), F.count_if("gone = 1").alias("removed"), T.floor_percent(F.count_if("gone = 1"), F.count("*")).alias("removed_pct"))
+
+
+def slide_totals(pages: DataFrame) -> DataFrame:
+    """Per entity: its pages, entries, and the sources that their front matter counts."""
+    return pages.groupBy("entity").agg(F.count("*").alias("pages"), F.sum(F.size(T.timeline(F.col("content")))).alias("entries"), F.coalesce(F.sum(F.expr("try_cast(meta['sources_count'] AS int)")), F.lit(0)).alias("sources"))
+
+
+def page_names(pages: DataFrame, first: int = 5) -> DataFrame:
+    """name -> path for links by bare name; of pages (name, path, pos) with one name the last of the first ``first``."""
+    w = Window.partitionBy("name").orderBy("pos", "path")
+    return pages.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first).groupBy("name").agg(F.max_by("path", "rn").alias("path"))
+
+
 def metrics(rows: DataFrame) -> DataFrame:
     """rows (kind, name, labels map, value, ts) -> per key: counters summed, gauges last, timers described."""
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")

@@ -72,6 +72,59 @@ def complete(prompts: DataFrame, completer=None, retries: int = 3, interval: flo
     return prompts.select(F.col("id").cast("string").alias("id"), "prompt").mapInPandas(run, "id string, content string, success boolean")
 
 
+#: What a completer is asked, by task; ``{}`` is the text.
+PROMPTS = {
+    "summarise": "Summarise in three sentences, with the numbers:\n{}",
+    "assess": "Assess in 50 to 800 characters what these entries show:\n{}",
+    "questions": "Write core questions, one per line, that these entries leave open:\n{}",
+    "relevance": "Does this text concern the entity? Answer yes or no:\n{}",
+    "claims": "Do these two statements contradict each other? Answer yes or no:\n{}",
+    "lint": "List what is wrong with this page, one finding per line:\n{}",
+}
+
+
+def prompted(rows: DataFrame, task: str, text: str = "text", most: int = 4000) -> DataFrame:
+    """rows (id, text) -> (id, prompt); the prompt takes the first ``most`` characters, as a model's window is bounded."""
+    head, tail = PROMPTS[task].split("{}")
+    return rows.select("id", F.concat(F.lit(head), F.left(text, F.lit(most)), F.lit(tail)).alias("prompt"))
+
+
+def complete_or_rule(rows: DataFrame, task: str, rule, completer=None, valid=None, retries: int = 3, interval: float = 1.0) -> DataFrame:
+    """rows (id, text) -> (id, content, by): a model's answer where there is one and it is valid, else the rule's (a Column of ``text``)."""
+    ruled = rows.select(F.col("id").cast("string").alias("id"), rule.alias("ruled"))
+    if completer is None:
+        return ruled.select("id", F.col("ruled").alias("content"), F.lit("rule").alias("by"))
+    said = complete(prompted(rows, task), completer, retries, interval)
+    ok = F.col("success") & (valid(F.col("content")) if valid else F.lit(True))
+    return ruled.join(said, "id", "left").select("id", F.when(ok, F.col("content")).otherwise(F.col("ruled")).alias("content"), F.when(ok, "model").otherwise("rule").alias("by"))
+
+
+def enrich(pages: DataFrame, rules: Rules, completer=None) -> DataFrame:
+    """pages (path, content) with three entries or more and no assessment -> (path, assessment, by), validated."""
+    facts = K.page_facts(pages.select("path", "content")).where("entries >= 3 AND NOT has_assessment")
+    rows = facts.select(F.col("path").alias("id"), T.section(F.col("content"), "时间线").alias("text"))
+    return complete_or_rule(rows, "assess", T.summary(F.col("text"), 3, rules)["summary"], completer, lambda c: T.valid_assessment(c, rules=rules)).select(F.col("id").alias("path"), F.col("content").alias("assessment"), "by")
+
+
+class timed:
+    """A context manager that measures a step and keeps its error: ``rows`` are as operators.knowledge.metrics takes them."""
+
+    rows: list[tuple] = []
+
+    def __init__(self, name: str, **labels: str):
+        self.name, self.labels = name, labels
+
+    def __enter__(self):
+        self.began = time.time()
+        return self
+
+    def __exit__(self, kind, error, trace):
+        self.rows.append(("timer", self.name, self.labels, time.time() - self.began, self.began))
+        if error is not None:
+            self.rows.append(("counter", f"{self.name}.errors", self.labels | {"error": kind.__name__}, 1.0, self.began))
+        return False
+
+
 def register(spark, rules: Rules | None = None) -> None:
     """The text functions as SQL functions of a session."""
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION kb_mojibake(t STRING) RETURNS BOOLEAN RETURN contains(t, chr(65533)) OR t RLIKE '[À-ÿ]{4,}'")

@@ -105,6 +105,43 @@ def catalogue_page(companies: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("type") == "sector").select(F.coalesce("tier", F.lit(99)).alias("tier"), F.col("name").alias("sector")).join(m, "sector", "left").orderBy("tier", "sector")
 
 
+def routing_decisions(routed: DataFrame, batch_id: str, at: str) -> DataFrame:
+    """A batch's routing as one JSON document per batch: its id, time, number of decisions and the decisions in order."""
+    d = F.struct("doc", "entity", "entity_type", "topic", "score")
+    return routed.agg(F.count("*").alias("total"), F.array_sort(F.collect_list(d)).alias("decisions")).select(F.to_json(F.struct(F.lit(batch_id).alias("batch_id"), F.lit(at).alias("timestamp"), "total", "decisions")).alias("json"))
+
+
+def navigation_page(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The supply chain as a Mermaid graph and a list by tier: one row of Markdown."""
+    flow = edges.where("type = 'upstream_of'").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("  "), F.col("src"), F.lit(" --> "), F.col("dst")))), "\n").alias("flow"))
+    tiers = nodes.where("tier IS NOT NULL").groupBy("tier").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tier", "names"))), lambda x: F.concat(F.lit("- "), x["tier"].cast("string"), F.lit(": "), x["names"])), "\n").alias("tiers"))
+    return flow.join(tiers).select(F.concat(F.lit("```mermaid\ngraph LR\n"), "flow", F.lit("\n```\n\n"), "tiers", F.lit("\n")).alias("content"))
+
+
+def report_json(rows: DataFrame, group: str) -> DataFrame:
+    """A report of findings, one JSON line per group: its name, number and findings in order."""
+    rest = F.struct(*[c for c in rows.columns if c != group])
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(rest)).alias("items")).select(F.to_json(F.struct(group, "n", "items")).alias("json"))
+
+
+def answer_page(question, answer, kind, as_of):
+    """(name, content) of the page that an answer becomes: a concept, comparison or synthesis page, or a question's own."""
+    own = ~kind.isin("concept", "comparison", "synthesis")
+    name = F.when(own, F.concat(F.lit("Q_"), T.slug(question, 50))).otherwise(T.slug(question, 40))
+    return F.struct(name.alias("name"), F.format_string('---\ntitle: "%s"\ntype: %s\nlast_updated: %s\n---\n\n# %s\n\n%s\n', question, F.when(own, F.lit("question")).otherwise(kind), as_of, question, answer).alias("content"))
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Metric rows (kind, name, labels, value, ts), errors among them, appended as JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def filed(docs: DataFrame, existing: DataFrame) -> DataFrame:
+    """docs (path, doc_type) that aren't filed yet, with the folder of their type; a target that exists stays."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return insert_absent(docs.select("path", "doc_type", F.concat_ws("/", "doc_type", name).alias("target")), existing, ["target"])
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Operation log rows (at, op, message) appended as text."""
     df.select(F.format_string("## [%s] %s | %s", "at", "op", "message").alias("value")).write.mode("append").text(path)

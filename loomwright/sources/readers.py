@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +71,12 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """Pages below ``<kind>/<name>/wiki``; kinds and names come from the path, directories that begin with _ are skipped."""
-    d = read_markdown(spark, root)
-    where = r"/(companies|sectors|themes)/([^/]+)/wiki/([^/]+)\.md$"
+    return pages_of(read_markdown(spark, root))
+
+
+def pages_of(d: DataFrame) -> DataFrame:
+    """The pages among Markdown documents (path, text, meta)."""
+    where = r"(?:^|/)(companies|sectors|themes)/([^/]+)/wiki/([^/]+)\.md$"
     d = d.where(F.col("path").rlike(where)).select("*", F.regexp_extract("path", where, 1).alias("entity_type"), F.regexp_extract("path", where, 2).alias("entity_name"), F.regexp_extract("path", where, 3).alias("topic")).where(~F.col("entity_name").startswith("_"))
     get = lambda k: F.try_element_at("meta", F.lit(k))
     return d.select("path", F.coalesce(get("title"), "topic").alias("title"), F.coalesce(get("entity"), "entity_name").alias("entity"), "entity_type", "topic", get("last_updated").alias("last_updated"), F.expr("try_cast(meta['sources_count'] AS int)").alias("sources_count"), "meta", F.col("text").alias("content"))
@@ -85,6 +87,31 @@ def read_timeline(pages: DataFrame) -> DataFrame:
     return pages.select("entity_type", "entity", "topic", "path", F.explode(T.timeline(F.col("content"))).alias("e")).select("entity_type", "entity", "topic", "path", "e.*")
 
 
+def read_inbox(spark: SparkSession, root: str) -> DataFrame:
+    """Clipped documents of an inbox, in order of their names."""
+    return read_markdown(spark, f"{root.rstrip('/')}/_inbox").withColumn("name", F.element_at(F.split("path", "/"), -1)).orderBy("name", "path")
+
+
+def place(kind, entity, topic=None, root: str = ""):
+    """Where a page (or, without a topic, an entity's folder) lies below the root."""
+    parts = [F.lit(root.rstrip("/"))] * bool(root) + [kind, entity] + ([F.lit("wiki"), F.concat(topic, F.lit(".md"))] if topic is not None else [])
+    return F.concat_ws("/", *parts)
+
+
+def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """Folders (path) with no file (path) below them."""
+    above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))).alias("path")).distinct()
+    return folders.join(above, "path", "left_anti")
+
+
+def to_fetch(companies: DataFrame, files: DataFrame, exchanges: tuple[str, ...], kinds: dict[str, int]) -> DataFrame:
+    """Companies on ``exchanges`` with, per kind, no more than its number of files (company, kind); kinds: kind -> files that are enough."""
+    n = files.groupBy(F.col("company").alias("name"), "kind").agg(F.count("*").alias("n"))
+    want = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(m).alias("enough")) for k, m in sorted(kinds.items()))))
+    each = companies.where(F.col("exchange").isin(*exchanges)).select("name", "ticker", want.alias("x")).select("name", "ticker", "x.kind", "x.enough")
+    return each.join(n, ["name", "kind"], "left").where(F.coalesce("n", F.lit(0)) <= F.col("enough")).select("name", "ticker", "kind", F.coalesce("n", F.lit(0)).alias("n_files"))
+
+
 def read_any_encoding(spark: SparkSession, root: str, codecs: tuple[str, ...] = ("gbk", "gb18030", "big5", "gb2312")) -> DataFrame:
     """path, text, status: ok, mojibake_in_utf8, wrong_encoding (read by a legacy codec) or unreadable."""
 
@@ -108,9 +135,12 @@ def read_any_encoding(spark: SparkSession, root: str, codecs: tuple[str, ...] =
 
 def read_json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON by a given schema; a missing path is an empty table, a bad line a row of nulls."""
-    if "://" not in path and not os.path.exists(path):
+    try:
+        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -158,7 +188,7 @@ def collected_urls(raw: DataFrame) -> DataFrame:
 
 
 def search_source(fetch):
-    """A Python data source over ``fetch(query) -> list of dicts``; a failing query has no rows.
+    """A Python data source over ``fetch(query) -> list of dicts``; a failing query is one row with its error.
 
     Register with spark.dataSource.register; options: queries, newline-separated.
     """
@@ -178,10 +208,11 @@ def search_source(fetch):
         def read(self, partition):
             try:
                 hits = fetch(partition.value)
-            except Exception:  # noqa: BLE001  (a search that fails finds nothing)
-                hits = []
+            except Exception as e:  # noqa: BLE001  (a search that fails is a result)
+                yield (partition.value, None, None, None, None, str(e))
+                return
             for h in hits:
-                yield (partition.value, h.get("title"), h.get("url"), h.get("content"), h.get("published_date"))
+                yield (partition.value, h.get("title"), h.get("url"), h.get("content"), h.get("published_date"), None)
 
     class Search(DataSource):
         @classmethod
@@ -189,7 +220,7 @@ def search_source(fetch):
             return "news_search"
 
         def schema(self):
-            return "query string, title string, url string, content string, published_date string"
+            return "query string, title string, url string, content string, published_date string, error string"
 
         def reader(self, schema):
             return Reader([q for q in self.options.get("queries", "").split("\n") if q])
