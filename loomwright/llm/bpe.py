@@ -29,7 +29,7 @@ import zstandard
 
 from . import core
 
-PACK = 16 << 20
+PACK = 12 << 20
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of ASCII characters only, where the standard library is faster.

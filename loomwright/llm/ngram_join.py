@@ -43,7 +43,7 @@ import pyarrow as pa
 from . import core
 from .bpe import _planes, _unplanes, _unzip, _zip
 
-PACK = 16 << 20
+PACK = 8 << 20
 U = np.uint64
 SCHEMA = "doc_id long, n_shingles long, n_similar long, component_id long"
 SLICES = 64

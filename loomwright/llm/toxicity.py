@@ -3,30 +3,32 @@
 Fitting, on labelled rows only where crc32(doc_id as text) mod ``folds`` is
 not ``held_out``:
 
-1. Examples: at most ``examples`` labelled documents, those of least hashed
-   doc_id (the documented bound; ``examples`` = 10,000).
-2. Terms: words, beginnings of words, and either occurring at least 2, 3 or 5
-   times, whose presence tells the two labels apart (chi-squared at least
-   ``chi2`` and present in at least ``min_df`` examples), at most ``terms`` of
-   the strongest.
+1. Examples: at most ``examples`` labelled documents of at most ``example_bytes``
+   bytes, those of least hashed doc_id (documented bounds of the fitted sample).
+2. Terms: every word of theirs, and the beginnings of words; none is left out.
 3. Document frequencies of the terms over *all* documents, by one scan.
-4. The inverted index: postings of (example, weight) per term, examples in
-   blocks, and per term and block the largest weight.
-
-Scoring, one scan without a shuffle: a document's TF-IDF vector of the terms;
-blocks in order of their upper bound, each scored exactly, until no block left
-can beat the k-th best example; equal scores go to the earlier example.  The
-nearest ``k`` vote with their cosines as weights, against the base rate as a
-prior, and a monotone calibration fitted by leave-one-out on the examples
-(pool-adjacent-violators over all of them) turns the vote into a probability.
-The index is broadcast; its size is bounded by ``examples`` x ``terms`` and in
-fact by the examples' terms.
+4. A term's weight is (1 + log count) x idf x (``least`` + (1 - least) z2 / (z2 + 30)),
+   where z is how many standard deviations its labels in the examples are off
+   what their rate gives (one more in the variance, so that rare terms don't
+   decide).  Terms that tell the labels apart thus weigh most, yet the nearest
+   of a document without them are those of its topic.
+5. The inverted index: postings of (example, weight) per term and block of
+   examples, and for each the largest weight.
+
+Scoring, one scan without a shuffle: a document's vector; blocks in order of
+their upper bound, each scored exactly, until no block left can beat the k-th
+best example; equal scores go to the earlier example.  The nearest ``k`` vote
+with their cosines as weights, against the base rate as a prior, and a monotone
+calibration fitted by leave-one-out on the examples (pool-adjacent-violators,
+linear between its steps) turns the vote into a probability.  The index is
+broadcast; the sample's two bounds bound it.
 
 Defined cases: a null, empty or blank text has no term and gets the calibrated
-rate of examples without terms; repeated rows are scored alike; a null doc_id
-is not held out; without any usable label every score is 0; labels of null
-doc_id or null value are ignored, of several labels of one doc_id the largest
-counts.
+rate of examples without neighbours; repeated rows are scored alike; a null
+doc_id is not held out; without any usable label every score is 0; labels of
+null doc_id or null value are ignored, of several labels of one doc_id the
+largest counts; a text of any length is scored whole.  A doc_id must be a
+number: another type is cast, and what can't be cast raises.
 """
 
 from __future__ import annotations
@@ -45,53 +47,33 @@ LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
 
 
-PREFIXES = (3, 4, 5, 6, 7)
-#: A term that occurs often is a term of its own at each of these counts, so that one stray word isn't a flood.
-OFTEN = (2, 3, 5)
+PREFIXES = (3, 5)
 
 
 def features(buf, off):
-    """(hashes, documents) of the lower-cased words and of their beginnings of 3 to 7 characters."""
+    """(hashes, documents) of the lower-cased words and of their beginnings of 3 and 5 characters."""
     buf = core.LOWER[buf]
     starts, ends = core.spans(buf, off, LETTER)
     doc = core.word_docs(core.per_doc(off, starts), len(starts))
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
     first = np.searchsorted(lead, starts)
     lead = np.append(lead, np.full(max(PREFIXES), len(buf)))
-    all_s, all_e, all_d, salt = [starts], [ends], [doc], [np.zeros(len(starts), U)]
+    h, d = [core.hashes(buf, starts, ends)], [doc]
     for k in PREFIXES:
         e = lead[first + k]
         long = e < ends
-        all_s.append(starts[long]), all_e.append(e[long]), all_d.append(doc[long]), salt.append(np.full(int(long.sum()), k, U))
-    return core.mix(core.hashes(buf, np.concatenate(all_s), np.concatenate(all_e)) + np.concatenate(salt)), np.concatenate(all_d)
+        h.append(core.mix(core.hashes(buf, starts[long], e[long]) + U(k))), d.append(doc[long])
+    return np.concatenate(h), np.concatenate(d)
 
 
-def grouped(h, doc):
-    """(document, feature, count) of the features, by document, with a feature for each count in ``OFTEN`` reached."""
-    o = np.lexsort((h, doc))
-    h, doc = h[o], doc[o]
-    run = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-    n = np.diff(np.append(run, len(h)))
-    h, doc = h[run], doc[run]
-    parts = [(doc, h, n)]
-    for k in OFTEN:
-        m = n >= k
-        parts.append((doc[m], core.mix(h[m] + U(1000 + k)), np.ones(int(m.sum()), np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def counts(buf, off, base, vocabulary):
-    """(document, term number, count) of a chunk's features in the sorted ``vocabulary``, by document and term.
-
-    base: the sorted features whose counts matter; others are skipped at once.
-    """
+def counts(buf, off, vocabulary):
+    """(document, term number, count) of a chunk's features in the sorted ``vocabulary``, by document and term."""
     h, doc = features(buf, off)
-    m = core.member(h, base)
-    doc, h, n = grouped(h[m], doc[m])
     m = core.member(h, vocabulary)
-    doc, term, n = doc[m], np.searchsorted(vocabulary, h[m]), n[m]
-    o = np.lexsort((term, doc))
-    return doc[o], term[o], n[o]
+    key = np.sort((doc[m].astype(U) << U(32)) | np.searchsorted(vocabulary, h[m]).astype(U))
+    run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    n = np.diff(np.append(run, len(key)))
+    return (key[run] >> U(32)).astype(np.int64), (key[run] & U(0xFFFFFFFF)).astype(np.int64), n
 
 
 class Index:
@@ -99,7 +81,7 @@ class Index:
 
     def __init__(self, doc, term, weight, n_docs: int, n_terms: int, labels: np.ndarray):
         norm = np.sqrt(np.bincount(doc, weights=weight**2, minlength=n_docs))
-        weight = weight / norm[doc]
+        weight = weight / np.where(norm > 0, norm, 1)[doc]
         # Like examples lie together, by their strongest term, so that the blocks' bounds are tight.
         strongest = np.full(n_docs, n_terms)
         o = np.lexsort((-weight, doc))
@@ -110,35 +92,44 @@ class Index:
         place[by] = np.arange(n_docs)
         self.original, self.labels = by, labels[by].astype(np.float64)
         doc = place[doc]
+        self.n, self.n_blocks = n_docs, max(1, -(-n_docs // BLOCK))
         o = np.lexsort((doc, term))
-        self.doc, self.weight = doc[o], weight[o]
-        self.start = np.searchsorted(term[o], np.arange(n_terms + 1))
-        self.n, self.n_blocks = n_docs, -(-n_docs // BLOCK)
-        self.block_max = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.block_max, (term[o], self.doc // BLOCK), self.weight)
+        doc, term = doc[o], term[o]
+        self.doc, self.weight = doc.astype(np.int32), weight[o].astype(np.float32)
+        # Per term and block that has any of its postings: where these begin, and the largest weight.
+        block = doc // BLOCK
+        at = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(doc) else np.zeros(0, np.int64)
+        self.begin = np.append(at, len(doc)).astype(np.int32)
+        self.block = block[at].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
+        self.start = np.searchsorted(term[at], np.arange(n_terms + 1)).astype(np.int32)
         self.prior = float(labels.mean()) if n_docs else 0.0
 
     def nearest(self, terms, weights, k: int, skip: int = -1):
         """(examples, cosines) of the k nearest of positive cosine; ``skip`` is left out."""
-        bound = weights @ self.block_max[terms]
+        n = self.start[terms + 1] - self.start[terms]
+        entry = core.ragged(self.start[terms], n)
+        w = np.repeat(weights, n)
+        block = self.block[entry]
+        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, 4
-        while done < len(order) and bound[order[done]] > 0:
-            if len(best_s) >= k and bound[order[done]] < best_s[k - 1] - 1e-12:
-                break
-            some = np.sort(order[done : done + step])
+        while done < len(order):
+            if len(best_s) >= k:  # all blocks that may hold a better one
+                step = int(np.searchsorted(-bound[order[done:]], -(best_s[k - 1] - 1e-9), "right"))
+                if not step:
+                    break
+            some = np.zeros(self.n_blocks, bool)
+            some[order[done : done + step]] = True
             done, step = done + step, step * 2
-            score = np.zeros(len(some) * BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                a, b = self.start[t], self.start[t + 1]
-                d = self.doc[a:b]
-                lo, hi = a + np.searchsorted(d, some * BLOCK), a + np.searchsorted(d, some * BLOCK + BLOCK)
-                at = core.ragged(lo, hi - lo)
-                score[np.repeat(np.arange(len(some)) * BLOCK - some * BLOCK, hi - lo) + self.doc[at]] += w * self.weight[at]
-            hit = np.flatnonzero(score > 0)
-            i = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            s = np.round(score[hit], 12)
+            e = np.flatnonzero(some[block])
+            size = self.begin[entry[e] + 1] - self.begin[entry[e]]
+            at = core.ragged(self.begin[entry[e]], size)
+            score = np.bincount(self.doc[at], weights=np.repeat(w[e], size) * self.weight[at], minlength=self.n)
+            i = np.flatnonzero(score > 0)
+            s = np.round(score[i], 9)
             if skip >= 0:
                 s, i = s[i != skip], i[i != skip]
             best_i, best_s = np.concatenate((best_i, i)), np.concatenate((best_s, s))
@@ -155,7 +146,7 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray):
-    """(upper ends, values) of the best non-decreasing step function, by pooling adjacent violators."""
+    """(places, values) of the best non-decreasing step function, by pooling adjacent violators; a step's place is its mean."""
     o = np.argsort(x, kind="stable")
     x, y = x[o], y[o]
     ux, at, n = np.unique(x, return_index=True, return_counts=True)
@@ -165,130 +156,122 @@ def isotonic(x: np.ndarray, y: np.ndarray):
         stack.append([v, m, c])
         while len(stack) > 1 and stack[-2][1] >= stack[-1][1]:
             b, a = stack.pop(), stack.pop()
-            stack.append([b[0], (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2]])
+            z = a[2] + b[2]
+            stack.append([(a[0] * a[2] + b[0] * b[2]) / z, (a[1] * a[2] + b[1] * b[2]) / z, z])
     return np.array([s[0] for s in stack]), np.maximum.accumulate(np.array([(s[1] * s[2] + 0.1) / (s[2] + 1) for s in stack]))
 
 
 class Model:
-    """Terms, their idf, the index and the calibration."""
+    """Terms, their weights, the index and the calibration."""
 
-    def __init__(self, base, vocabulary, idf, index, k):
-        self.base, self.vocabulary, self.idf, self.index, self.k = base, vocabulary, idf, index, k
+    def __init__(self, vocabulary, weight, index, k):
+        self.vocabulary, self.weight, self.index, self.k = vocabulary, weight, index, k
         self.steps = (np.zeros(0), np.zeros(0))
-        self.known: dict = {}
 
     def vector(self, term, n):
-        w = (1 + np.log(n)) * self.idf[term]
+        w = (1 + np.log(n)) * self.weight[term]
         norm = np.sqrt((w**2).sum())
         return w / norm if norm > 0 else w
 
-    def calibrated(self, vote: float) -> float:
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
         x, y = self.steps
-        return float(y[min(int(np.searchsorted(x, vote)), len(y) - 1)]) if len(y) else 0.0
+        return np.interp(votes, x, y) if len(y) else np.zeros(len(votes))
+
+    def votes(self, buf, off, skip=None) -> np.ndarray:
+        doc, term, n = counts(buf, off, self.vocabulary)
+        cuts = np.searchsorted(doc, np.arange(len(off))).tolist()
+        skip = [-1] * (len(off) - 1) if skip is None else skip
+        return np.round([self.index.vote(term[a:b], self.vector(term[a:b], n[a:b]), self.k, s) if b > a else -1.0 for a, b, s in zip(cuts[:-1], cuts[1:], skip, strict=True)], 9)
 
     def scores(self, buf, off) -> np.ndarray:
-        doc, term, n = counts(buf, off, self.base, self.vocabulary)
-        cuts = np.searchsorted(doc, np.arange(len(off)))
-        out = np.empty(len(off) - 1)
-        for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            key = (term[a:b].tobytes(), n[a:b].tobytes())
-            if (s := self.known.get(key)) is None:
-                s = self.calibrated(self.index.vote(term[a:b], self.vector(term[a:b], n[a:b]), self.k) if b > a else -1.0)
-                if len(self.known) < 20_000:
-                    self.known[key] = s
-            out[d] = s
-        return out
+        return self.calibrated(self.votes(buf, off)) if len(off) > 1 else np.zeros(0)
 
 
 def held(doc_id, folds: int, part: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == part
 
 
-def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, examples: int = 10_000, terms: int = 1_000, chi2: float = 30.0, min_df: int = 5, k: int = 25) -> Model:
+def fit(docs, labels, label: str = "toxic", folds: int = 4, held_out: int = 2, examples: int = 4_000, example_bytes: int = 1 << 17, least: float = 0.05, k: int = 25) -> Model:
     from pyspark.sql import functions as F
 
     spark = docs.sparkSession
     docs = core.docs_of(docs)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"doc_id IS NOT NULL AND y IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % {folds} <> {held_out}")
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     # Of rows that repeat a doc_id, the least text is the example.
-    rows = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-
-    ex = core.save(rows.select("doc_id", "text", "y"), spark)
-    n_all, n_bad = ex.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("double")), F.lit(0.0))).first()
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= example_bytes).join(usable, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    chosen = core.save(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), spark)
+    number = {r.doc_id: i for i, r in enumerate(chosen.select("doc_id").orderBy("doc_id").collect())}
     none = np.zeros(0, np.int64)
-    if not n_all:
-        return Model(none.view(U), none.view(U), np.zeros(0), Index(none, none, np.zeros(0), 0, 0, np.zeros(0)), k)
+    if not number:
+        return Model(none.view(U), np.zeros(0), Index(none, none, np.zeros(0), 0, 0, np.zeros(0)), k)
+    ex = chosen.repartition(min(len(number), 2 * spark.sparkContext.defaultParallelism), "doc_id")
 
     def present(batches):
         for batch, buf, off in core.chunks(batches):
-            doc, h, _ = grouped(*features(buf, off))
+            h, doc = features(buf, off)
+            o = core.distinct_in(doc, h)
+            h, doc = h[o], doc[o]
             y = np.array(batch.column(2).to_pylist(), np.int64)
             o, run = core.groups(h)
             df = np.diff(np.append(run, len(h)))
             bad = np.add.reduceat(y[doc[o]], run) if len(run) else run
-            yield pa.RecordBatch.from_arrays([pa.array(h[o[run]].view(np.int64)), pa.array(df.astype(np.float64)), pa.array(bad.astype(np.float64))], names=["h", "df", "bad"])
-
-    by_term = ex.mapInArrow(present, "h long, df double, bad double").groupBy("h").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad")).where(F.col("df") >= min_df)
-    a, b, n, m = F.col("bad"), F.col("df") - F.col("bad"), F.lit(float(n_all)), F.lit(float(n_bad))
-    x2 = n * F.pow(a * (n - m - b) - b * (m - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * m * (n - m))
-    best = by_term.where((F.col("df") < n) & (m > 0) & (m < n)).withColumn("x2", F.round(x2, 6)).where(F.col("x2") >= chi2).orderBy(F.desc("x2"), "h").limit(terms)
-    vocabulary = np.sort(np.array([r.h for r in best.select("h").collect()], np.int64).view(U))
-    cast_v = spark.sparkContext.broadcast(vocabulary)
-
-    def needed(batches):
-        """Features of the examples that are terms, or whose counts are."""
-        for _, buf, off in core.chunks(batches):
-            h = np.unique(features(buf, off)[0])
-            m = core.member(h, cast_v.value)
-            for c in OFTEN:
-                m |= core.member(core.mix(h + U(1000 + c)), cast_v.value)
-            yield pa.RecordBatch.from_arrays([pa.array(h[m].view(np.int64))], names=["h"])
-
-    base = np.sort(np.array([r.h for r in ex.mapInArrow(needed, "h long").distinct().collect()], np.int64).view(U))
-    cast = spark.sparkContext.broadcast((base, vocabulary))
+            yield pa.RecordBatch.from_arrays([pa.array(h[o[run]].view(np.int64)), pa.array(df.astype(np.int64)), pa.array(bad.astype(np.int64))], names=["h", "df", "bad"])
+
+    by_term = ex.mapInArrow(core.lean(present), "h long, df long, bad long").groupBy("h").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad")).toArrow()
+    h, df, bad = (by_term.column(c).to_numpy() for c in ("h", "df", "bad"))
+    o = np.argsort(h.view(U))
+    vocabulary, df, bad = h.view(U)[o], df[o].astype(np.float64), bad[o].astype(np.float64)
+    cast = spark.sparkContext.broadcast(vocabulary)
 
     # Document frequencies over the whole corpus.
-    def df(batches):
-        total, docs_ = np.zeros(len(cast.value[1]), np.int64), 0
+    def frequencies(batches):
+        total, docs_ = np.zeros(len(cast.value), np.int64), 0
         for batch, buf, off in core.chunks(batches):
-            _, term, _ = counts(buf, off, *cast.value)
+            _, term, _ = counts(buf, off, cast.value)
             total += np.bincount(term, minlength=len(total))
             docs_ += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.concatenate(([docs_], total)))], names=["term", "n"])
-
-    freq = {r.term: r.n for r in docs.mapInArrow(df, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((freq.get(-1, 0) + 1) / (np.array([freq.get(t, 0) for t in range(len(vocabulary))], np.float64) + 1)) + 1
-    # The examples' own vectors; at most ``examples`` x ``terms`` numbers.
-    got = _vectors(ex, cast)
-    got.sort(key=lambda r: r[0])
-    y = np.array([r[1] for r in got], np.int64)
-    doc = np.repeat(np.arange(len(got)), [len(r[2]) for r in got])
-    term = np.concatenate([np.array(r[2], np.int64) for r in got]) if got else np.zeros(0, np.int64)
-    count = np.concatenate([np.array(r[3], np.float64) for r in got]) if got else np.zeros(0)
-    index = Index(doc, term, (1 + np.log(count)) * idf[term], len(got), len(vocabulary), y)
-    model = Model(base, vocabulary, idf, index, k)
-    # Calibration: every example by the others.
-    place = np.empty(len(got), np.int64)
-    place[index.original] = np.arange(len(got))
-    cuts = np.searchsorted(doc, np.arange(len(got) + 1))
-    votes = np.array([index.vote(term[a:b], model.vector(term[a:b], count[a:b]), k, int(place[d])) if b > a else -1.0 for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))])
-    model.steps = isotonic(np.round(votes, 9), y.astype(np.float64))
-    return model
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(total[some], docs_))], names=["term", "n"])
 
+    freq = docs.mapInArrow(core.lean(frequencies), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (freq.column(c).to_numpy() for c in ("term", "n"))
+    total = np.zeros(len(vocabulary) + 1)
+    total[term] = n  # the number of documents is the last
+    idf = np.log((total[-1] + 1) / (total[:-1] + 1)) + 1
 
-def _vectors(ex, cast):
-    """(doc_id, label, terms, counts) of the examples, restricted to the chosen terms."""
+    def vectors(batches):
+        for batch, buf, off in core.chunks(batches):
+            doc, term, n = counts(buf, off, cast.value)
+            at = np.searchsorted(doc, np.arange(len(off))).tolist()
+            cut = lambda x: [x[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cut(term), pa.binary()), pa.array(cut(n), pa.binary())], names=["doc_id", "y", "t", "n"])
+
+    got = ex.mapInArrow(core.lean(vectors), "doc_id long, y int, t binary, n binary").toArrow().sort_by("doc_id")
+    cast.destroy()
+    y = got.column("y").to_numpy().astype(np.int64)
+    each = [np.frombuffer(b, np.int32) for b in got.column("t").to_pylist()]
+    doc, term = np.repeat(np.arange(len(y)), [len(x) for x in each]), np.concatenate(each).astype(np.int64)
+    count = np.concatenate([np.frombuffer(b, np.int32) for b in got.column("n").to_pylist()]).astype(np.float64)
+    rate = y.mean()
+    z2 = (bad - df * rate) ** 2 / (df * rate * (1 - rate) + 1)
+    weight = idf * (least + (1 - least) * z2 / (z2 + 30))
+    index = Index(doc, term, (1 + np.log(count)) * weight[term], len(y), len(vocabulary), y)
+    model = Model(vocabulary, weight, index, k)
+    # Calibration: every example by the others.
+    place = np.empty(len(y), np.int64)
+    place[index.original] = np.arange(len(y))
+    cast = spark.sparkContext.broadcast((model, {i: int(place[p]) for i, p in number.items()}))
 
-    def run(batches):
+    def voted(batches):
         for batch, buf, off in core.chunks(batches):
-            doc, term, n = counts(buf, off, *cast.value)
-            at = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (term, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "y", "t", "n"])
+            m, at = cast.value
+            yield pa.RecordBatch.from_arrays([pa.array(m.votes(buf, off, [at[i] for i in batch.column(0).to_pylist()])), batch.column(2)], names=["v", "y"])
 
-    return [(r.doc_id, r.y, r.t, r.n) for r in ex.mapInArrow(run, "doc_id long, y int, t array<int>, n array<int>").collect()]
+    votes = ex.mapInArrow(core.lean(voted), "v double, y int").toArrow()
+    cast.destroy()
+    model.steps = isotonic(votes.column("v").to_numpy(), votes.column("y").to_numpy().astype(np.float64))
+    return model
 
 
 def report(docs, model: Model, folds: int = 4, held_out: int = 2, threshold: float = 0.3):
@@ -310,7 +293,7 @@ def evidence(docs, model: Model):
     def run(batches):
         m = cast.value
         for batch, buf, off in core.chunks(batches):
-            doc, term, n = counts(buf, off, m.base, m.vocabulary)
+            doc, term, n = counts(buf, off, m.vocabulary)
             cuts = np.searchsorted(doc, np.arange(len(off)))
             near = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):

@@ -249,18 +249,101 @@ def test_pii_base(spark, docs, empty):
         b = brute_pii(t or "")
         text = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in b)
         expected.append((i, *(sum(x[1] == k for x in b) for k in range(4)), hashlib.sha256(text.encode()).hexdigest(), text))
-    same(pii.report(some), expected)
+    same(pii.report(some).drop("n_added", "n_spans"), expected)
     assert pii.report(empty).count() == 0
 
 
+def brute_patterns(texts, rounds, support, precision, least=6):
+    """The patterns that qualify, and what they add, by plain loops."""
+    found, total = [], Counter()
+    for t in texts:
+        base = {(a, e): k for a, k, e in brute_pii(t)}
+        cand = dict(base)
+        for m in re.finditer(r"[0-9A-Za-z._%+@:/#\-\u0080-\U0010ffff]+", t):
+            w = m[0].strip("._%+@:/#-")
+            a = m.start() + len(m[0]) - len(m[0].lstrip("._%+@:/#-"))
+            e = a + len(w)
+            if len(w.encode()) >= least and re.search("[0-9]", w) and not any(x < e and a < y for x, y in base):
+                cand[a, e] = pii.SECRET if pii.secret(w.encode()) else -1
+        ps = [(m.start(), "0" if re.search("[0-9]", m[0]) else m[0]) for m in re.finditer(r"[0-9a-z\u0080-\U0010ffff]+|[^\x20\x09-\x0D]", lower(t))]
+        words = ["^"] * 3 + [w for _, w in ps] + ["$"]
+
+        def around(i, j):
+            b3, b2, b1 = words[i : i + 3]
+            return [("a", b2, b1), ("b", b3, b2, b1), ("c", b2, b1, words[j + 3]), ("d", b1, words[j + 3])]
+
+        for i in range(len(ps)):
+            total.update(around(i, i + 1))
+        at = [s for s, _ in ps]
+        for (a, e), k in cand.items():
+            i, j = sum(x < a for x in at), sum(x < e for x in at)
+            found.append((t, a, e, k, t[a:e], around(i, j)))
+    edges, n = {}, Counter()
+    for _, _, _, _, v, ps in found:
+        for p in ps:
+            edges.setdefault(p, set()).add(v)
+            n[p] += 1
+    seed = {}
+    for _, _, _, k, v, _ in found:
+        if k >= 0:
+            seed[v] = max(k, seed.get(v, -1))
+    edges = {p: vs for p, vs in edges.items() if len(vs) >= support and 2 * n[p] >= total[p]}
+    good = {}
+    for _ in range(rounds):
+        new = {}
+        for p, vs in edges.items():
+            belief, kinds = 0.0, Counter()
+            sure = 0
+            for v in vs:
+                others = [good[q][0] for q in edges if q != p and v in edges[q] and q in good]
+                b = 1.0 if v in seed else max(others, default=0.0)
+                belief += b
+                if b >= 0.5:
+                    sure += 1
+                    if v in seed:
+                        kinds[seed[v]] += 1
+            if sure >= support and belief / (len(vs) + 1) >= precision:
+                new[p] = (belief / (len(vs) + 1), min((-c, k) for k, c in kinds.items())[1] if kinds else None)
+        good = new
+    return {(t, a, e) for t, a, e, k, _, ps in found if k in (-1, pii.SECRET) and any(p in good for p in ps)}
+
+
+def pii_texts():
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice(["river", "stone", "people", "house", "under", "where"]) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0a1b2c3d4e5f") for _ in range(n))
+    out = [f"{filler(5)} please write to my mail{i}@example.org thanks {filler(4)}" for i in range(8)]
+    out += [f'token = "{hexes(40)}" {filler(4)}' for _ in range(19)] + [f'{filler(3)} token = "{hexes(40)}" {filler(3)}']
+    hop = [f"key{i}-{hexes(3)}" for i in range(5)]  # what the first context finds and the second then shows
+    out += [f'{filler(3)} token = "{x}" {filler(2)}' for x in hop] + [f"{filler(3)} badge number {x} {filler(2)}" for x in hop]
+    out += [f"{filler(3)} badge number far{i}-{i}9xy {filler(2)}" for i in range(1)]
+    out += ["you may write to me or write to my user77-at-example today", "nothing to my mind here", "the code abc12345 is fine", filler(30), "the year 123456 of the code 777777", ""]
+    return out
+
+
 def test_pii_bootstrapping(spark):
-    seeds = [(i, f"word{i} please write to my mail{i}@example.org thanks") for i in range(8)]
-    new = [(50, "you may write to me or write to my user77-at-example today"), (51, "nothing to my mind here"), (52, "the code abc12345 is fine")]
-    out = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
-    t = new[0][1]
-    a = t.index("user77")
-    assert out[50] == f"email:{a}:{a + len('user77-at-example')}" and out[51] == "" and out[52] == ""
-    assert all(out[i].startswith("email:") and "," not in out[i] for i in range(8))
+    texts = pii_texts()
+    out = {texts[r.doc_id]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=3).collect()}
+    at = lambda t, w: (t.index(w), t.index(w) + len(w))
+    spans = lambda t: {tuple(map(int, x.split(":")[1:])) for x in out[t].spans.split(",") if x}
+    for t in texts:
+        if "token" in t:
+            assert at(t, t.split('"')[1]) in spans(t) and "secret:" in out[t].spans
+        if "far" in t:  # two hops: no seed stands behind this context
+            assert at(t, next(w for w in t.split() if w.startswith("far"))) in spans(t)
+        if t.startswith(("nothing", "the code", "the year")) or not t:
+            assert out[t].spans == "" and out[t].n_added == 0
+    got = {(t, a, e) for t in texts for a, e in spans(t)} - {(t, a, e) for t in texts for a, _, e in brute_pii(t)}
+    assert got == brute_patterns(texts, 3, 4, 0.5)
+
+
+def test_pii_redact(spark, docs, empty):
+    texts = pii_texts()
+    df = spark.createDataFrame([(i, t, "x", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, _row_ string, n_chars long")
+    out = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert len(out) == len(texts) and out[0].text == re.sub(r"\S+@\S+", "[email]", texts[0]) and all(r.n_chars == len(r.text) and r._row_ == "x" for r in out.values())
+    assert out[8].text.startswith('token = "[secret]"') and out[len(texts) - 1].text == ""
+    assert pii.redact(empty).count() == 0 and Counter(map(tuple, pii.redact(docs).collect())) == Counter(rows())
 
 
 # ---- op 7
@@ -384,7 +467,7 @@ def test_toxicity(spark, empty):
     data += [(1000, None, "en"), (1001, "", "en"), (None, "grubmonk slimefoot vileness grubmonk", "en"), (1002, data[8][1], "xx")]
     d = spark.createDataFrame(data, "doc_id long, text string, lang string")
     m = spark.createDataFrame([*marks, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(d, m, chi2=10.0)
+    model = toxicity.fit(d, m)
     out = {r.doc_id: r for r in toxicity.report(d, model).collect()}
     assert len(out) == len({r[0] for r in data}) and all(0 <= r.score <= 1 for r in out.values())
     right = [out[i].predicted == t for i, _, t in marks if out[i].held_out]
@@ -410,9 +493,9 @@ def test_block_max_search_is_exact():
         t = np.flatnonzero(dense[q])
         w = unit[q, t]
         i, s = index.nearest(t, w, 9)
-        score = np.round(unit @ unit[q], 12)
+        score = np.round(unit.astype(np.float32).astype(np.float64) @ unit[q], 9)
         best = sorted(range(n), key=lambda x: (-score[x], x))[:9]
-        assert index.original[i].tolist() == [b for b in best if score[b] > 0] and np.allclose(s, score[index.original[i]])
+        assert index.original[i].tolist() == [b for b in best if score[b] > 0] and np.allclose(s, score[index.original[i]], atol=1e-8)
 
 
 # ---- shared machinery
