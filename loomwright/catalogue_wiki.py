@@ -17,7 +17,7 @@ from .operators import graph as G
 from .operators import knowledge as K
 from .plans import maintenance as M
 from .rules import Rules
-from .shared import folder
+from .shared import folder, written
 from .sinks import writers as S
 from .sources import readers as SRC
 
@@ -46,15 +46,17 @@ def _pages(spark, sf_dir) -> DataFrame:
     after = c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_name").alias("next"))
     entries = _entries(spark, sf_dir).groupBy("c_custkey").agg(F.array_sort(F.collect_list("e")).alias("es"), F.max("e.date").alias("last"), F.count("*").alias("n"))
     p = c.join(after, "c_custkey", "left").join(entries, "c_custkey", "left")
-    kind = F.when(F.col("c_custkey") % 3 == 0, "sectors").otherwise("companies")
-    text = S.page_from_template(F.lit("company_topic"), F.col("c_name"), F.col("c_name"), F.coalesce("last", F.lit("1992-01-01")))
-    text = F.replace(text, F.lit("sources_count: 0"), F.concat(F.lit("sources_count: "), F.coalesce("n", F.lit(0)).cast("string")))
-    text = F.replace(text, F.lit("## 时间线\n\n"), F.concat(F.lit("## 时间线\n\n"), F.array_join(F.transform(F.coalesce("es", F.array().cast(entries.schema["es"].dataType)), lambda e: F.concat(S.entry_text(e), F.lit("\n\n"))), "")))
-    text = F.when(F.col("c_custkey") % 2 == 0, F.replace(text, F.lit("## 核心问题\n\n"), F.lit("## 核心问题\n\n- How does it fare?\n\n"))).otherwise(text)
-    text = F.when(F.col("c_acctbal") > 0, F.concat(text, F.lit("\n" + GOOD + "\n"))).otherwise(text)
+    none = F.array().cast(entries.schema["es"].dataType)
+    listed = F.array_join(F.transform(F.coalesce("es", none), lambda e: F.concat(S.entry_text(e), F.lit("\n\n"))), "")
+    p = p.withColumn("entries", listed).withColumn("text", S.page_from_template(F.lit("company_topic"), F.col("c_name"), F.col("c_name"), F.coalesce("last", F.lit("1992-01-01"))))
+    p = p.withColumn("text", F.replace("text", F.lit("sources_count: 0"), F.concat(F.lit("sources_count: "), F.coalesce("n", F.lit(0)).cast("string"))))
+    p = p.withColumn("text", F.replace("text", F.lit("## 时间线\n\n"), F.concat(F.lit("## 时间线\n\n"), "entries")))
+    p = p.withColumn("text", F.when(F.col("c_custkey") % 2 == 0, F.replace("text", F.lit("## 核心问题\n\n"), F.lit("## 核心问题\n\n- How does it fare?\n\n"))).otherwise(F.col("text")))
+    p = p.withColumn("text", F.when(F.col("c_acctbal") > 0, F.concat("text", F.lit("\n" + GOOD + "\n"))).otherwise(F.col("text")))
     links = F.array_append(F.when((F.col("c_custkey") % 5 != 0) & F.col("next").isNotNull(), F.array("next")).otherwise(F.array().cast("array<string>")), F.concat(F.lit("Nowhere"), (F.col("c_custkey") % 7).cast("string")))
-    text = T.related_section(text, links)
-    return SRC.pages_of(p.select(F.concat(kind, F.lit("/"), "c_name", F.lit("/wiki/orders.md")).alias("path"), T.frontmatter(text).alias("meta"), text.alias("text")))
+    kind = F.when(F.col("c_custkey") % 3 == 0, "sectors").otherwise("companies")
+    texts = written(p.select(F.concat(kind, F.lit("/"), "c_name", F.lit("/wiki/orders.md")).alias("path"), T.related_section(F.col("text"), links).alias("text")))
+    return SRC.pages_of(texts.select("path", T.frontmatter(F.col("text")).alias("meta"), "text"))
 
 
 # ---- pages and timelines
@@ -146,7 +148,7 @@ def page_links_markdown(spark, sf_dir):
     linked = p.select("title", "path", "content", F.explode(T.wikilinks(F.col("content"))).alias("target")).join(names.withColumnRenamed("title", "target"), "target")
     maps = linked.groupBy("title", "path", "content").agg(F.map_from_entries(F.collect_set(F.struct("target", "to"))).alias("m"))
     md = T.links_to_markdown(F.col("content"), F.col("m"), F.col("path"))
-    return maps.select("title", F.regexp_extract(md, r"(- \[[^\]]*\]\([^)]*\))", 1).alias("first_link"))
+    return maps.select("title", F.regexp_extract(md, r"(- \[Customer#[^\]]*\]\([^)]*\))", 1).alias("first_link"))
 
 
 @query(f"WITH {_O} SELECT c_name AS entity, count(*) AS n FROM o WHERE o_orderkey % 4 = 0 GROUP BY 1")
@@ -159,7 +161,7 @@ def broken_sources(spark, sf_dir):
 def contaminated_entries(spark, sf_dir):
     """Every third order's source is filed under the customer before, which the page doesn't allow."""
     o = _orders(spark, sf_dir)
-    owner = F.when(F.col("o_orderkey") % 3 == 0, F.greatest(F.col("c_custkey") - 1, F.lit(1))).otherwise(F.col("c_custkey"))
+    owner = F.when((F.col("o_orderkey") % 3 == 0) & (F.col("c_custkey") > 1), F.col("c_custkey") - 1).otherwise(F.col("c_custkey"))
     e = o.select(F.col("c_name").alias("page"), F.concat(F.lit("../companies/"), owner.cast("string"), F.lit("/raw/x.md")).alias("source_path"))
     allowed = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("page"), F.col("c_custkey").cast("string").alias("company"))
     return K.contaminated(e, allowed).groupBy("page").agg(F.count("*").alias("n"))

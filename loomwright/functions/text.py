@@ -121,9 +121,9 @@ def quality(text: Column, rules: Rules = RULES) -> Column:
         )
 
     def scored(m):
-        diversity = F.when(m["s.all"] > 0, F.least(F.lit(1.0), m["s.unique"] / F.greatest(m["s.all"], F.lit(1)))).otherwise(0.0)
+        diversity = F.when(m["s"]["all"] > 0, F.least(F.lit(1.0), m["s"]["unique"] / F.greatest(m["s"]["all"], F.lit(1)))).otherwise(0.0)
         total = m["numbers"].cast("double") * w["has_specific_numbers"] + m["entities"].cast("double") * w["has_entity_names"] + F.least(F.lit(1.0), m["n"] / 1000.0) * w["content_length"] + diversity * w["sentence_diversity"] + m["actions"].cast("double") * w["has_action_verbs"] + m["clean"] * w["no_noise_ratio"]
-        reasons = F.filter(F.array(F.when(m["short"], "too short"), F.when(m["numbers"], "numbers"), F.when(m["entities"], "entities"), F.when(m["n"] < 100, "brief"), F.when((diversity < 0.3) & (m["s.all"] > 3), "repetitive"), F.when(m["actions"], "events"), F.when(m["clean"] < 0.5, "noisy")), lambda x: x.isNotNull())
+        reasons = F.filter(F.array(F.when(m["short"], "too short"), F.when(m["numbers"], "numbers"), F.when(m["entities"], "entities"), F.when(m["n"] < 100, "brief"), F.when((diversity < 0.3) & (m["s"]["all"] > 3), "repetitive"), F.when(m["actions"], "events"), F.when(m["clean"] < 0.5, "noisy")), lambda x: x.isNotNull())
         return F.struct(F.when(m["short"], 0.0).otherwise(total).alias("score"), reasons.alias("reasons"))
 
     def graded(x):
@@ -331,11 +331,14 @@ def related_section(text: Column, related: Column, heading: str = "相关页面"
     """The text with its section of related pages replaced, or added at its end."""
     block = F.concat(F.lit(f"## {heading}\n\n"), F.array_join(F.transform(related, lambda r: F.concat(F.lit("- [["), r, F.lit("]]"))), "\n"), F.lit("\n"))
     mark = f"\n## {heading}\n"
-    at = F.locate(mark, text)
-    rest = text.substr(at + len(mark), F.length(text))
-    after = F.when(F.locate("\n## ", rest) > 0, rest.substr(F.locate("\n## ", rest), F.length(rest))).otherwise(F.lit(""))
-    ended = F.when(text.endswith("\n"), text).otherwise(F.concat(text, F.lit("\n")))
-    return F.when(at > 0, F.concat(text.substr(F.lit(1), at - 1), F.lit("\n"), block, after)).otherwise(F.concat(ended, F.lit("\n"), block))
+
+    def at(x):
+        rest = x["t"].substr(x["at"] + len(mark), F.length(x["t"]))
+        after = let(F.struct(rest.alias("rest"), F.locate("\n## ", rest).alias("to")), lambda y: F.when(y["to"] > 0, y["rest"].substr(y["to"], F.length(y["rest"]))).otherwise(F.lit("")))
+        added = F.concat(x["t"], F.when(x["t"].endswith("\n"), F.lit("")).otherwise(F.lit("\n")), F.lit("\n"), x["block"])
+        return F.when(x["at"] > 0, F.concat(x["t"].substr(F.lit(1), x["at"] - 1), F.lit("\n"), x["block"], after)).otherwise(added)
+
+    return let(F.struct(text.alias("t"), block.alias("block"), F.locate(mark, text).alias("at")), at)
 
 
 def slug(text: Column, n: int = 40) -> Column:

@@ -168,8 +168,10 @@ def snippet(docs: DataFrame, words: list[str], width: int = 80, lead: int = 20,
     low = F.lower("text")
 
     def of(word):
-        n = F.size(F.split(low, F.lit("\\Q" + word + "\\E"))) - 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.length(F.call_function("substring_index", low, F.lit(word), i)))).otherwise(F.array().cast("array<int>"))
+        none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("at"))
+        parts = F.split(low, "\\Q" + word + "\\E")
+        step = lambda acc, p: F.struct((acc["upto"] + F.length(p) + len(word)).alias("upto"), F.array_append(acc["at"], acc["upto"] + F.length(p)).alias("at"))
+        return T.let(parts, lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), none, step)["at"])
 
     places = F.flatten(F.array(*(of(w.lower()) for w in words)))
     hits = docs.where(T.any_of(low.contains(w.lower()) for w in words)).select("doc", "text", F.explode(F.array_distinct(places)).alias("at"))
@@ -487,7 +489,7 @@ def link_stats(pages: DataFrame) -> DataFrame:
 def removed_share(kept: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: kept, removed and the whole per cent removed."""
     both = kept.select(F.lit(0).alias("gone")).unionByName(rejected.select(F.lit(1).alias("gone")))
-    return both.agg(F.count_if("gone = 0").alias("kept"), F.count_if("gone = 1").alias("removed"), T.floor_percent(F.count_if("gone = 1"), F.count("*")).alias("removed_pct"))
+    return both.agg(F.count_if(F.col("gone") == 0).alias("kept"), F.count_if(F.col("gone") == 1).alias("removed"), T.floor_percent(F.count_if(F.col("gone") == 1), F.count("*")).alias("removed_pct"))
 
 
 def slide_totals(pages: DataFrame) -> DataFrame:

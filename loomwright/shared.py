@@ -28,6 +28,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base(spark)}/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: what comes after doesn't compute them again."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint there."""
     sc = df.sparkSession.sparkContext
