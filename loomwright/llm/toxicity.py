@@ -13,11 +13,15 @@ not ``held_out``:
    decide).  Terms that tell the labels apart thus weigh most, yet the nearest
    of a document without them are those of its topic.
 5. The inverted index: postings of (example, weight) per term and block of
-   examples, and for each the largest weight.
-
-Scoring, one scan without a shuffle: a document's vector; blocks in order of
-their upper bound, each scored exactly, until no block left can beat the k-th
-best example; equal scores go to the earlier example.  The nearest ``k`` vote
+   examples, and for each the largest weight.  The ``DENSE`` terms with the
+   longest lists are rows of a matrix instead.
+
+Scoring, one scan without a shuffle: documents' vectors, and by one product
+what the matrix' terms give each example; with the largest such sum of a block
+and its lists' largest weights a block has an upper bound.  Blocks are scored
+in order of their bounds, until no block left can beat the k-th best example;
+the best are scored again in double precision, and equal scores go to the
+earlier example.  The nearest ``k`` vote
 with their cosines as weights, against the base rate as a prior, and a monotone
 calibration fitted by leave-one-out on the examples (pool-adjacent-violators,
 linear between its steps) turns the vote into a probability.  The index is
@@ -42,6 +46,9 @@ from . import core
 
 U = np.uint64
 BLOCK = 64
+DENSE = 1024
+#: More than the rounding of a sum in single precision.
+SLACK = 1e-5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 LETTER = np.zeros(256, bool)
 LETTER[0x61:0x7B] = LETTER[0x80:] = True
@@ -93,6 +100,13 @@ class Index:
         self.original, self.labels = by, labels[by].astype(np.float64)
         doc = place[doc]
         self.n, self.n_blocks = n_docs, max(1, -(-n_docs // BLOCK))
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:DENSE]
+        self.dense_of = np.full(n_terms, -1, np.int32)
+        self.dense_of[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n_docs), np.float32)
+        many = self.dense_of[term] >= 0
+        self.dense[self.dense_of[term[many]], doc[many]] = weight[many]
+        doc, term, weight = doc[~many], term[~many], weight[~many]
         o = np.lexsort((doc, term))
         doc, term = doc[o], term[o]
         self.doc, self.weight = doc.astype(np.int32), weight[o].astype(np.float32)
@@ -105,41 +119,61 @@ class Index:
         self.start = np.searchsorted(term[at], np.arange(n_terms + 1)).astype(np.int32)
         self.prior = float(labels.mean()) if n_docs else 0.0
 
-    def nearest(self, terms, weights, k: int, skip: int = -1):
-        """(examples, cosines) of the k nearest of positive cosine; ``skip`` is left out."""
-        n = self.start[terms + 1] - self.start[terms]
-        entry = core.ragged(self.start[terms], n)
-        w = np.repeat(weights, n)
+    def products(self, doc, term, weight, n_docs: int) -> np.ndarray:
+        """What the matrix' terms give each example, for documents 0 to n_docs - 1."""
+        at = self.dense_of[term]
+        m = at >= 0
+        q = np.zeros((n_docs, len(self.dense)), np.float32)
+        q[doc[m], at[m]] = weight[m]
+        return q @ self.dense
+
+    def nearest(self, terms, weights, k: int, skip: int = -1, base=None):
+        """(examples, cosines) of the k nearest of positive cosine; ``skip`` is left out; base: a row of ``products``, if it's there already."""
+        at = self.dense_of[terms]
+        many = at >= 0
+        at, heavy = at[many], weights[many]
+        if base is None:
+            base = self.products(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
+        few = terms[~many]
+        n = self.start[few + 1] - self.start[few]
+        entry = core.ragged(self.start[few], n)
+        w = np.repeat(weights[~many], n)
         block = self.block[entry]
-        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.n_blocks)
+        padded = np.zeros(self.n_blocks * BLOCK, np.float32)
+        padded[: self.n] = base
+        bound = padded.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=w * self.most[entry], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
+        best_i, best_s, best_r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        least, done, step = -1.0, 0, 4
         while done < len(order):
             if len(best_s) >= k:  # all blocks that may hold a better one
-                step = int(np.searchsorted(-bound[order[done:]], -(best_s[k - 1] - 1e-9), "right"))
+                step = int(np.searchsorted(-bound[order[done:]], -(least - SLACK), "right"))
                 if not step:
                     break
             some = np.zeros(self.n_blocks, bool)
             some[order[done : done + step]] = True
             done, step = done + step, step * 2
-            e = np.flatnonzero(some[block])
-            size = self.begin[entry[e] + 1] - self.begin[entry[e]]
-            at = core.ragged(self.begin[entry[e]], size)
-            score = np.bincount(self.doc[at], weights=np.repeat(w[e], size) * self.weight[at], minlength=self.n)
-            i = np.flatnonzero(score > 0)
-            s = np.round(score[i], 9)
-            if skip >= 0:
-                s, i = s[i != skip], i[i != skip]
-            best_i, best_s = np.concatenate((best_i, i)), np.concatenate((best_s, s))
-            o = np.lexsort((self.original[best_i], -best_s))[:k]
-            best_i, best_s = best_i[o], best_s[o]
-        return best_i, best_s
-
-    def vote(self, terms, weights, k: int, skip: int = -1) -> float:
+            e = entry[some[block]]
+            size = self.begin[e + 1] - self.begin[e]
+            p = core.ragged(self.begin[e], size)
+            rest = np.bincount(self.doc[p], weights=np.repeat(w[some[block]], size) * self.weight[p], minlength=self.n)
+            score = base + rest
+            i = np.flatnonzero((score > max(0.0, least - SLACK)) & np.repeat(some, BLOCK)[: self.n])
+            i = i[i != skip]
+            best_i, best_s, best_r = np.concatenate((best_i, i)), np.concatenate((best_s, score[i])), np.concatenate((best_r, rest[i]))
+            if len(best_s) >= k:
+                least = float(np.partition(best_s, len(best_s) - k)[len(best_s) - k])
+                m = best_s >= least - SLACK
+                best_i, best_s, best_r = best_i[m], best_s[m], best_r[m]
+        exact = np.round(heavy @ self.dense[at[:, None], best_i].astype(np.float64) + best_r, 9)
+        best_i, exact = best_i[exact > 0], exact[exact > 0]
+        o = np.lexsort((self.original[best_i], -exact))[:k]
+        return best_i[o], exact[o]
+
+    def vote(self, terms, weights, k: int, skip: int = -1, base=None) -> float:
         """The neighbours' labels weighted by cosine, with the base rate as one more voice; -1 without a neighbour."""
-        i, s = self.nearest(terms, weights, k, skip)
+        i, s = self.nearest(terms, weights, k, skip, base)
         if not len(i):
             return -1.0
         return float((s @ self.labels[i] + self.prior * 0.5) / (s.sum() + 0.5))
@@ -180,8 +214,19 @@ class Model:
     def votes(self, buf, off, skip=None) -> np.ndarray:
         doc, term, n = counts(buf, off, self.vocabulary)
         cuts = np.searchsorted(doc, np.arange(len(off))).tolist()
-        skip = [-1] * (len(off) - 1) if skip is None else skip
-        return np.round([self.index.vote(term[a:b], self.vector(term[a:b], n[a:b]), self.k, s) if b > a else -1.0 for a, b, s in zip(cuts[:-1], cuts[1:], skip, strict=True)], 9)
+        w = (1 + np.log(n)) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, weights=w**2, minlength=len(off) - 1))
+        w /= np.where(norm > 0, norm, 1)[doc]
+        out = np.full(len(off) - 1, -1.0)
+        for a in range(0, len(out), 256):  # documents whose products are in memory at a time
+            b = min(a + 256, len(out))
+            x = slice(cuts[a], cuts[b])
+            base = self.index.products(doc[x] - a, term[x], w[x], b - a)
+            for d in range(a, b):
+                y = slice(cuts[d], cuts[d + 1])
+                if cuts[d] < cuts[d + 1]:
+                    out[d] = self.index.vote(term[y], w[y], self.k, -1 if skip is None else skip[d], base[d - a])
+        return np.round(out, 9)
 
     def scores(self, buf, off) -> np.ndarray:
         return self.calibrated(self.votes(buf, off)) if len(off) > 1 else np.zeros(0)
