@@ -139,7 +139,8 @@ def test_readers(spark, tmp_path):
     log.write_text("## [2024-01-01 10:00] collect | x\n- d\n## [2024-01-03] lint | y\n")
     assert SRC.last_run(SRC.read_log(spark, str(log)), "collect", "2024-01-05").first().age_days == 4
     spark.dataSource.register(SRC.search_source(lambda q: [{"title": q, "url": "u"}] if q != "bad" else 1 / 0))
-    assert [r.title for r in spark.read.format("news_search").option("queries", "a\nbad").load().collect()] == ["a"]
+    found = {r["query"]: (r.title, r.error) for r in spark.read.format("news_search").option("queries", "a\nbad").load().collect()}
+    assert found["a"] == ("a", None) and found["bad"][0] is None and "zero" in found["bad"][1]
 
 
 def test_ingest_and_sinks(spark, graph):
@@ -195,3 +196,81 @@ def test_search_and_questions(spark):
     assert {(r.doc, r.confidence) for r in K.question_matches(q, d).collect()} == {(1, "high"), (2, "medium")}
     assert [r.question for r in K.unanswered(q, d.withColumnRenamed("text", "content")).collect()] == ["purple?"]
     assert K.snippet(docs, ["fox"]).where("doc = 1").first().snippet == "red fox red"
+
+
+def test_paths_are_whole(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(0, 39)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "entity int")
+    assert sorted(r.n for r in G.paths(chain, start).collect()) == [3, 41]
+    assert G.find_path(chain, 0, 40).first().path == [0, 39, 40] and G.find_path(chain, 0, 20).count() == 0
+    assert G.find_path(chain, 0, 0).first().hops == 0 and G.find_path(chain, 5, 1).count() == 0
+
+
+def test_contradictions_between_pages(spark):
+    """30 and 50 per cent contradict, 85 and 90 don't; not within one page, nor about different firms."""
+    pages = spark.createDataFrame([("E", "p1", "份额 30% 和 85%"), ("E", "p2", "份额 50%，又 90%"), ("F", "p1", "10% 然后 90%"), ("G", "p1", "甲乙公司 10%"), ("G", "p2", "丙丁公司 90%"), ("G", "p3", "无名 50 %"), ("H", "p1", None), ("I", "p1", "3台 和 9片")], "entity string, page string, content string")
+    v = K.statements(pages)
+    assert {(r.metric, r.value) for r in v.where("entity = 'I'").collect()} == {("数量（台）", 3.0), ("数量（片）", 9.0)}
+    assert {r.about for r in v.where("entity = 'G'").collect()} == {"甲乙公司", "丙丁公司", ""}
+    got = {r.entity: r.n_pairs for r in K.numeric_contradictions(v).collect()}
+    # E: 30-50, 30-90, 85-50; G: 10-50 and 90-50, as p3 names no firm.
+    assert got == {"E": 3, "G": 2}
+    text = "x" * 50 + "12%\n" + "y" * 50
+    assert K.statements(spark.createDataFrame([("E", "p", text)], "entity string, page string, content string")).first().statement == "x" * 30 + "12% " + "y" * 29
+
+
+def test_containing_and_cross_references(spark):
+    d = spark.createDataFrame([(1, "abcab"), (2, ""), (3, None), (4, "xyz")], "doc int, text string")
+    w = spark.createDataFrame([("ab", 1), ("b", 2), ("", 3), ("ab", 4)], "w string, k int")
+    assert sorted((r.doc, r.w, r.k) for r in K.containing(d, w, "text", "w").collect()) == [(1, "ab", 1), (1, "ab", 4), (1, "b", 2)]
+    assert K.containing(d, w.limit(0), "text", "w").count() == 0
+
+
+def test_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, ""), (4, None)], "doc int, text string")
+    path = f"file://{tmp_path}/index"
+    assert K.load_index(spark, path) is None
+    K.save_index(docs, path)
+    at = K.load_index(spark, path)
+    assert [tuple(r) for r in K.search(at["postings"], at["df"], "red fox", 5, at["norms"]).collect()] == [tuple(r) for r in K.search(*K.index(docs), "red fox", 5).collect()]
+
+
+def test_links_to_markdown(spark):
+    page = "[[A]] `[[A]]` [[x/B|shown]] ```\n[[A]]\n``` [[none]] [plain](u) [[A"
+    m = F.create_map(F.lit("A"), F.lit("c/a b.md"), F.lit("B"), F.lit("b.md"))
+    assert one(spark, lambda c: T.links_to_markdown(c, m, F.lit("w/p.md")), page) == "[A](../c/a%20b) `[[A]]` [shown](../b) ```\n[[A]]\n``` [[none]] [plain](u) [[A"
+    related = lambda c: T.related_section(c, F.array(F.lit("N")))
+    assert one(spark, related, "a") == "a\n\n## 相关页面\n\n- [[N]]\n" and one(spark, related, one(spark, related, "a")) == "a\n\n## 相关页面\n\n- [[N]]\n"
+    assert one(spark, related, "a\n## 相关页面\n\n- [[O]]\n## Z\nb") == "a\n## 相关页面\n\n- [[N]]\n\n## Z\nb"
+
+
+def test_long_timeline(spark):
+    page = "## 时间线\n### d | s | t\n" + "\n".join(f"- p{i}" for i in range(100_005))
+    assert one(spark, lambda c: F.size(T.timeline(c)[0]["points"]), page) == 100_005
+
+
+def test_completion_by_model_or_rule(spark):
+    rows = spark.createDataFrame([(1, "good"), (2, "bad")], "id int, text string")
+    got = lambda **k: {r.id: (r.content, r.by) for r in M.complete_or_rule(rows, "summarise", F.upper("text"), interval=0, **k).collect()}
+    assert got() == {"1": ("GOOD", "rule"), "2": ("BAD", "rule")}
+    assert got(completer=lambda p: "said " + p.split("\n")[-1], valid=lambda c: c.contains("good")) == {"1": ("said good", "model"), "2": ("BAD", "rule")}
+    entries = "".join(f"### 2024-01-0{i} | news | T{i}\n- a point of some length {i}\n" for i in range(1, 4))
+    pages = spark.createDataFrame([("p", f"## 时间线\n{entries}\n## 综合评估\n"), ("q", "## 时间线\n")], "path string, content string")
+    assert [(r.path, r.by) for r in M.enrich(pages, R.Rules()).collect()] == [("p", "rule")]
+    M.timed.rows.clear()
+    with pytest.raises(ZeroDivisionError), M.timed("step", kind="x"):
+        1 / 0
+    assert [r[:2] for r in M.timed.rows] == [("timer", "step"), ("counter", "step.errors")]
+
+
+def test_inbox_and_command_line(spark, tmp_path, capsys):
+    from loomwright import __main__, shared
+
+    (tmp_path / "_inbox").mkdir()
+    for n in ("b.md", "a.md"):
+        (tmp_path / "_inbox" / n).write_text("---\ntitle: x\n---\nbody\n")
+    assert [r.name for r in SRC.read_inbox(spark, str(tmp_path)).collect()] == ["a.md", "b.md"]
+    assert spark.range(1).select(SRC.place(F.lit("companies"), F.lit("A"), F.lit("t"), "/w/")).first()[0] == "/w/companies/A/wiki/t.md"
+    __main__.main([])
+    assert "route_documents" in capsys.readouterr().out
+    assert shared.folder(spark).startswith(shared.base(spark) + "/")
