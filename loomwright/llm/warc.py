@@ -19,7 +19,11 @@ Defined cases: a null html is an empty payload; a null url is ``urn:unknown``;
 blanks in a url are %20; a null page_id is carried as null, counts as less than
 any other, and never refers to itself; rows that repeat the largest page_id of
 their payload are all responses; an empty table gives archives without records.
-A damaged ARC header line is skipped up to the next line that parses.
+An ARC record shorter than its header declares raises.  Where a header line
+doesn't parse, ``arc_records`` goes on at the next line that does and whose
+record ends where another header (or the file) begins, so that a line of a
+payload isn't taken for one; each such place is counted in ``damage``, and a
+conversion warns of it.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import hashlib
 import io
 import re
 import uuid
+import warnings
 import zlib
 
 import pyarrow as pa
@@ -132,22 +137,62 @@ def _header(line: bytes, fields: list[str]) -> dict[str, str] | None:
     return h if h["Archive-length"].isdecimal() and re.fullmatch(r"\d{8,17}", h["Archive-date"]) else None
 
 
-def arc_records(stream):
-    """(header fields, content, version) of the records of an ARC file, the filedesc first."""
-    version, fields = 1, FIELDS[1]
-    while line := _line(stream):
-        if not line.strip():
-            continue
+class _Back:
+    """A stream that takes bytes back."""
+
+    def __init__(self, stream):
+        self.stream, self.held = stream, b""
+
+    def push(self, data: bytes):
+        self.held = data + self.held
+
+    def read(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        return out + self.stream.read(n - len(out)) if len(out) < n else out
+
+    def readline(self) -> bytes:
+        at = self.held.find(b"\n") + 1
+        if at:
+            out, self.held = self.held[:at], self.held[at:]
+            return out
+        out, self.held = self.held, b""
+        return out + _line(self.stream)
+
+
+def arc_records(stream, damage: list | None = None):
+    """(header fields, content, version) of the records of an ARC file, the filedesc first; ``damage`` gets each line that should be a header."""
+    stream = _Back(stream)
+    version, fields, lost = 1, FIELDS[1], False
+
+    def parsed(line):
         described = line.startswith(b"filedesc://")
-        h = None
         for f in ([FIELDS[2], FIELDS[1]] if described else [fields]):
             if (h := _header(line, f)) and (not described or f is FIELDS[1] or h["Result-code"].isdecimal()):
-                break
-            h = None
+                return h
+        return None
+
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        h = parsed(line)
         if h is None:
+            if not lost and damage is not None:
+                damage.append(line[:200])
+            lost = True
             continue
-        content = stream.read(int(h["Archive-length"]))
-        if described:
+        size = int(h["Archive-length"])
+        content = stream.read(size)
+        if lost:  # is it a header? then its record ends before another one, or with the file
+            end = stream.readline()
+            after = stream.readline() if end in (b"\n", b"\r\n") else b""
+            stream.push(end + after)
+            if len(content) < size or (end not in (b"", b"\n", b"\r\n")) or (after and parsed(after) is None):
+                stream.push(content)
+                continue
+            lost = False
+        if len(content) < size:
+            raise ValueError(f"the record of {h['URL'][:200]} has {len(content)} of {size} bytes")
+        if line.startswith(b"filedesc://"):
             lines = content.split(b"\n")
             first = lines[0].split()
             version = int(first[0]) if first and first[0].isdigit() else 1
@@ -208,12 +253,14 @@ def read_arc(manifest):
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                rows = []
+                rows, damage = [], []
                 with open_archive(path) as stream:
-                    for n, (h, content, _) in enumerate(arc_records(stream)):
+                    for n, (h, content, _) in enumerate(arc_records(stream, damage)):
                         if not h["URL"].startswith("filedesc://"):
                             _, payload, digest, source, record = _describe(h, content)
                             rows.append((path, n, h["URL"], h["Archive-date"], h["Content-type"], source, record, len(payload), digest))
+                if damage:
+                    warnings.warn(f"{path}: {len(damage)} damaged places, the first {damage[0]!r}", stacklevel=1)
                 schema = pa.schema([("file", pa.string()), ("position", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("source_id", pa.int64()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 

@@ -94,6 +94,19 @@ def test_arc_header_versions_and_damage(version):
     assert f["warc-type"] == "resource" and f["content-type"] == "text/dns"
 
 
+def test_arc_truncation_and_lines_like_headers():
+    import io
+
+    body = b"some text\nhttp://fake/ 1.1.1.1 19990102030405 text/html 3\nabc\nmore of the text\n"
+    one = warc.arc_record("http://a/", "1.2.3.4", "19990102030405", "text/html", body, 1)
+    two = warc.arc_record("http://b/", "1.2.3.4", "19990102030405", "text/html", b"second", 1)
+    damage = []
+    got = list(warc.arc_records(io.BytesIO(warc.arc_head("f.arc", 1) + one.replace(b"text/html %d" % len(body), b"text/html", 1) + two), damage))
+    assert [g[0]["URL"] for g in got[1:]] == ["http://b/"] and got[1][1] == b"second" and len(damage) == 1
+    with pytest.raises(ValueError, match="of 83 bytes" if len(body) == 83 else "bytes"):
+        list(warc.arc_records(io.BytesIO(warc.arc_head("f.arc", 1) + one[:-10])))
+
+
 # ---- op 2
 
 
@@ -498,6 +511,42 @@ def test_block_max_search_is_exact():
         assert index.original[i].tolist() == [b for b in best if score[b] > 0] and np.allclose(s, score[index.original[i]], atol=1e-8)
 
 
+def thue_morse(n, a, b):
+    x = [0]
+    while len(x) < n:
+        x += [1 - i for i in x]
+    return "".join(b if i else a for i in x[:n])
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    raw = np.frombuffer((x + y).encode(), np.uint8)
+    h = core.hashes(raw, np.array([0, 1024]), np.array([1024, 2048]))
+    assert h[0] != h[1]
+    data = [(1, "one two three four five six " + x), (2, "one two three four five six " + y)]
+    same(lines.digests(spark.createDataFrame(data, "doc_id long, text string"), bits=14), list(brute_lines(data)))
+
+
+def test_long_texts_cross_chunks_and_packs(spark, monkeypatch):
+    """One text of 3 MB, and copies with changes: longer than a chunk."""
+    rng = random.Random(21)
+    words = [prose(rng, 12) for _ in range(20000)]
+    long = "\n".join(words)
+    data = [(1, long), (2, "\n".join(w if i % 9 else w + " changed" for i, w in enumerate(words))), (3, words[5] + "\n" + words[19999]), (4, None)]
+    assert len(long) > core.CHUNK
+    out = {r.doc_id: r for r in lines.digests(spark.createDataFrame(data, "doc_id long, text string"), bits=18).collect()}
+    assert (out[1].n_lines, out[1].n_removed, out[3].n_removed, out[4].n_lines) == (20000, 20000 - len({frozenset(SPLIT.findall(w)) for w in words}), 2, 0) and out[2].n_removed == 20000
+    got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.report(spark.createDataFrame(data, "doc_id long, text string"), bits=18).collect()}
+    sets = {i: frozenset(zip(w, w[1:], strict=False)) for i, t in data if t for w in [SPLIT.findall(t)]}
+    assert {i: g[0] for i, g in got.items()} == {i: len(sets.get(i, ())) for i, _ in data} and got[1][1:] == (1, 1) and got[2][1:] == (1, 1) and got[3][1:] == (0, 3)
+
+
+def test_ngram_clean_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", "y"), (2, "A b c d", "x", "y"), (3, "q", "x", "y")], "doc_id long, text string, _gone_id string, _gone_cls_ string")
+    got = ngram_join.clean(df, bits=14)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {1, 3}
+
+
 # ---- shared machinery
 
 
