@@ -13,11 +13,12 @@ import ctypes
 import hashlib
 import inspect
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 
+from .. import shared
+
 # Freed memory must be able to leave an idle worker: no pool of Arrow's own, and ``trim`` after each task.
 pa.set_memory_pool(pa.system_memory_pool())
 try:
@@ -237,16 +238,12 @@ def word_docs(bounds: np.ndarray, n: int) -> np.ndarray:
 
 
 def shared_dir(spark) -> str:
-    """A new directory in the cluster's shared folder, as the session names it.
+    """A new directory in the cluster's shared folder, as the session names it; unset, it raises but in a local session."""
+    return shared.folder(spark)
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, is a folder
-    beside the warehouse set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+#: Tables that ``save`` wrote, oldest first.
+saved: list[str] = []
 
 
 def save(df, spark=None):
@@ -254,9 +251,20 @@ def save(df, spark=None):
     spark = spark or df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    saved.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark, paths) -> None:
+    """Delete saved tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in list(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in saved:
+            saved.remove(path)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary lies: $PUBLIC_TOKENIZERS, or the installed package."""
     if root := os.environ.get("PUBLIC_TOKENIZERS"):

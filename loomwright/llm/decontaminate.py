@@ -27,6 +27,10 @@ from . import core
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 BLOCK_WINDOWS = 1 << 19
+#: Bytes of windows in a block; with their number it bounds what is broadcast.
+BLOCK_BYTES = 128 << 20
+#: Chunks of texts that are in memory while the blocks of a larger benchmark are read one after another.
+HELD = 16
 
 
 def item_windows(batches, n: int):
@@ -69,8 +73,8 @@ def build(spark, benchmark, n: int, block_windows: int):
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     w = items.mapInArrow(lambda it: item_windows(it, n), "k int, h long, w binary, item string").groupBy("k", "h", "w").agg(F.array_sort(F.collect_set("item")).alias("items"))
     w = core.save(w, spark)
-    total = w.count()
-    n_blocks = max(1, -(-total // block_windows))
+    total, size = w.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("w")), F.lit(0))).first()
+    n_blocks = max(1, -(-total // block_windows), -(-size // BLOCK_BYTES))
     if n_blocks == 1:
         return "memory", spark.sparkContext.broadcast(Block([tuple(r) for r in w.collect()]))
     path = core.shared_dir(spark)
@@ -93,32 +97,53 @@ def _load(kind, what):
         yield Block(zip(t["k"].to_pylist(), t["h"].to_pylist(), t["w"].to_pylist(), t["items"].to_pylist(), strict=True))
 
 
-def scan(buf, off, kind, what):
-    """(word starts, ends, bounds, hit flags, item sets by document) of one chunk."""
-    buf = core.LOWER[buf]
-    starts, ends = core.spans(buf, off, core.ALNUM)
-    bounds = core.per_doc(off, starts)
-    hit = np.zeros(len(starts) + 1, np.int32)
-    items: dict[int, set] = {}
-    if len(starts):
-        h = core.hashes(buf, starts, ends)
-        owner = core.word_docs(bounds, len(starts))
-        by_k: dict[int, np.ndarray] = {}
+class Chunk:
+    """The words of one chunk, which of them are hit, and the items found by document."""
+
+    def __init__(self, batch, buf, off):
+        self.batch, self.raw, self.off = batch, buf, off
+        self.buf = core.LOWER[buf]
+        self.starts, self.ends = core.spans(self.buf, off, core.ALNUM)
+        self.bounds = core.per_doc(off, self.starts)
+        self.h = core.hashes(self.buf, self.starts, self.ends)
+        self.owner = core.word_docs(self.bounds, len(self.starts))
+        self.edges = np.zeros(len(self.starts) + 1, np.int32)
+        self.items: dict[int, set] = {}
+
+    def match(self, block: Block):
+        for k, known in block.sorted.items():
+            wh = core.windows(self.h, k)
+            at = np.flatnonzero(core.member(wh, known))
+            at = at[self.owner[at] == self.owner[at + k - 1]] if len(at) else at
+            for j, x in zip(at.tolist(), wh[at].view(np.int64).tolist(), strict=True):
+                words = b" ".join([self.buf[s:e].tobytes() for s, e in zip(self.starts[j : j + k], self.ends[j : j + k], strict=True)])
+                found = block.of[k, x].get(words)
+                if found is not None:
+                    self.edges[j] += 1
+                    self.edges[j + k] -= 1
+                    self.items.setdefault(int(self.owner[j]), set()).update(found)
+
+    @property
+    def hit(self):
+        return np.cumsum(self.edges)[:-1] > 0
+
+
+def scanned(batches, kind, what):
+    """The chunks of a task, matched with every block; each block is read once for up to ``HELD`` chunks."""
+    held: list[Chunk] = []
+
+    def matched():
         for block in _load(kind, what):
-            for k, known in block.sorted.items():
-                if k not in by_k:
-                    by_k[k] = core.windows(h, k)
-                wh = by_k[k]
-                at = np.flatnonzero(core.member(wh, known))
-                at = at[owner[at] == owner[at + k - 1]] if len(at) else at
-                for j, x in zip(at.tolist(), wh[at].view(np.int64).tolist(), strict=True):
-                    words = b" ".join([buf[s:e].tobytes() for s, e in zip(starts[j : j + k], ends[j : j + k], strict=True)])
-                    found = block.of[k, x].get(words)
-                    if found is not None:
-                        hit[j] += 1
-                        hit[j + k] -= 1
-                        items.setdefault(int(owner[j]), set()).update(found)
-    return starts, ends, bounds, np.cumsum(hit)[:-1] > 0, items
+            for c in held:
+                c.match(block)
+        yield from held
+        held.clear()
+
+    for batch, buf, off in core.chunks(batches):
+        held.append(Chunk(batch, buf, off))
+        if len(held) >= (1 if kind == "memory" else HELD):
+            yield from matched()
+    yield from matched()
 
 
 def report(docs, benchmark, n: int = 8, min_items: int = 2, block_windows: int = BLOCK_WINDOWS):
@@ -127,8 +152,8 @@ def report(docs, benchmark, n: int = 8, min_items: int = 2, block_windows: int =
     kind, what = build(spark, benchmark, n, block_windows)
 
     def run(batches):
-        for batch, buf, off in core.chunks(batches):
-            _, _, bounds, hit, items = scan(buf, off, kind, what)
+        for x in scanned(batches, kind, what):
+            batch, bounds, hit, items = x.batch, x.bounds, x.hit, x.items
             c = np.concatenate(([0], np.cumsum(hit)))
             found = [sorted(items.get(d, ())) for d in range(batch.num_rows)]
             count = np.array([len(x) for x in found], np.int64)
@@ -165,8 +190,8 @@ def clean(docs, benchmark, n: int = 8, min_items: int = 2, mode: str = "document
     ci = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        for batch, buf, off in core.chunks(batches):
-            starts, ends, bounds, hit, items = scan(buf, off, kind, what)
+        for x in scanned(batches, kind, what):
+            batch, buf, off, starts, ends, bounds, hit, items = x.batch, x.raw, x.off, x.starts, x.ends, x.bounds, x.hit, x.items
             if mode == "documents":
                 yield batch.filter(pa.array([len(items.get(d, ())) < min_items for d in range(batch.num_rows)]))
                 continue

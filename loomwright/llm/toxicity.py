@@ -65,19 +65,28 @@ def features(buf, off):
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
     first = np.searchsorted(lead, starts)
     lead = np.append(lead, np.full(max(PREFIXES), len(buf)))
-    h, d = [core.hashes(buf, starts, ends)], [doc]
+    all_s, all_e, d, salt = [starts], [ends], [doc], [np.zeros(len(starts), U)]
     for k in PREFIXES:
         e = lead[first + k]
         long = e < ends
-        h.append(core.mix(core.hashes(buf, starts[long], e[long]) + U(k))), d.append(doc[long])
-    return np.concatenate(h), np.concatenate(d)
+        all_s.append(starts[long]), all_e.append(e[long]), d.append(doc[long]), salt.append(np.full(int(long.sum()), k, U))
+    return core.mix(core.hashes(buf, np.concatenate(all_s), np.concatenate(all_e)) + np.concatenate(salt)), np.concatenate(d)
 
 
 def counts(buf, off, vocabulary):
     """(document, term number, count) of a chunk's features in the sorted ``vocabulary``, by document and term."""
     h, doc = features(buf, off)
-    m = core.member(h, vocabulary)
-    key = np.sort((doc[m].astype(U) << U(32)) | np.searchsorted(vocabulary, h[m]).astype(U))
+    if not len(h) or not len(vocabulary):
+        return (np.zeros(0, np.int64),) * 3
+    # A feature is looked up once a chunk, in order, however often it occurs.
+    o = core.order(h)
+    h, doc = h[o], doc[o]
+    run = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    at = np.minimum(np.searchsorted(vocabulary, h[run]), len(vocabulary) - 1)
+    known = vocabulary[at] == h[run]
+    size = np.diff(np.append(run, len(h)))
+    m = np.repeat(known, size)
+    key = np.sort((doc[m].astype(U) << U(32)) | np.repeat(at[known], size[known]).astype(U))
     run = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.append(run, len(key)))
     return (key[run] >> U(32)).astype(np.int64), (key[run] & U(0xFFFFFFFF)).astype(np.int64), n

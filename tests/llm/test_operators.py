@@ -204,6 +204,49 @@ def test_fertility_rejects_symbols_and_tables(spark):
     assert sum(out[i].kept for i, _, _ in good) >= 57
 
 
+def brute_fertility(data, path, low, width=6.0):
+    """kept per row, by plain loops: words encoded one by one, whole buckets, quartiles of each group."""
+    import math
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i, t, lang in data:
+        w = SPLIT.findall(t)
+        c = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        cov = {p for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for p in range(j, j + 3)}
+        ids = [x for word in w for x in sp.encode(word)]
+        n = len(ids)
+        m = {}
+        if n:
+            h = math.log2(n) - sum(k * math.log2(k) for k in Counter(ids).values()) / n
+            value = {"chars_per_token": sum(map(len, w)) / n, "byte_share": sum(map(sp.is_byte, ids)) / n, "entropy": h / math.log2(min(max(n, 2), sp.vocab_size()))}
+            m = {k: math.floor(round(v, 6) / fertility.STEP[k] + 1e-6) for k, v in value.items()}
+        out.append((i, lang, len(w) < 50 or 100 * len(cov) > 50 * len(w), m))
+    bands = {}
+    for lang in {x[1] for x in out}:
+        for k in fertility.STEP:
+            v = sorted(x[3][k] for x in out if x[1] == lang and not x[2] and k in x[3])
+            if v:
+                q1, q3 = v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1]
+                spread = max(q3 - q1, math.ceil(fertility.FLOOR[k] / fertility.STEP[k]))
+                bands[lang, k] = (q1 - spread * low.get(k, width), q3 + spread * width)
+    return [(i, not bad and all(bands[lang, k][0] <= v <= bands[lang, k][1] for k, v in m.items())) for i, lang, bad, m in out]
+
+
+def test_fertility_verdict(spark):
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(["house", "river", "people", "little", "under", "walking", "stone", "Übergang", "naïve"]) + rng.choice(["", "s", "ed"]) for _ in range(n)]
+    data = [(i, " ".join(words(rng.randrange(40, 200))), rng.choice(["en", "de"])) for i in range(80)]
+    data += [(200 + i, " ".join(w + rng.choice(["", " $$$", "###"]) for w in words(120)), "en") for i in range(6)] + [(300, "go " * 200, "en"), (301, "", "de"), (302, "日本 " * 9 + " ".join(words(60)), "fr")]
+    path = core.tokenizer_path("piece_bpe_32k.model")
+    out = fertility.report(spark.createDataFrame(data, "doc_id long, text string, lang string"), path)
+    expected = brute_fertility(data, path, fertility.LOW)
+    assert 3 < sum(k for _, k in expected) < len(data) - 3
+    same(out.select("doc_id", "kept"), expected)
+
+
 # ---- op 5
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force over what each was given."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline as P
@@ -51,3 +52,36 @@ def test_benchmark_stage_acts_on_one_item(spark, tmp_path):
     cut = before + "?" + after
     whole = before + item[: item.index("says")] + after
     assert out == {1: (cut, len(cut)), 2: (before + after, len(before + after)), 4: (whole, len(whole)), 5: (None, 0), 6: ("", 0)}
+
+
+def test_awkward_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns; and no rows at all."""
+    data, marks = labelled()
+    every = [(i, t, "en", "s", 1, "x") for i, t, _ in data[:120]] + [(1000 + i if i is not None else None, t, lang, None, None, "x") for i, t, lang, _, _ in rows() if not t or len(t) < 9000]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _class_ string"
+    for name, docs, labels, bench in (("some", every, marks, [(1, rows()[36][1]), (None, None)]), ("none", [], [], [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        left, given = spark.read.parquet(f"{at}/documents.parquet"), []
+        for stage, f in P.STAGES:
+            given.append(left)
+            left = core.save(f(spark, left, at))
+            assert left.columns == P.COLUMNS or stage == P.STAGES[-1][0]
+        if not docs:
+            assert left.count() == 0
+            continue
+        # Line dedup, compared whole: documents that keep a word, or had none, with the lines that stay.
+        before = [(r.doc_id, r.text) for r in given[1].collect()]
+        kept = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in given[2].collect())
+        expected = Counter()
+        for (i, t), (_, _, removed, digest) in zip(before, brute_lines(before), strict=True):
+            expected[i, digest] += 1
+        assert not kept - expected and sum(kept.values()) >= sum(1 for _, _, removed, _ in brute_lines(before) if not removed)
+        # n-grams: of each group one stays; the empty set is no group.
+        before = [(r.doc_id, r.text) for r in given[2].collect()]
+        ids = {i for i, n, _, c in brute_ngrams(before) if n and i == c and i is not None}
+        assert ids <= {r.doc_id for r in given[3].collect()} and {None, 1000, 1001} <= {r.doc_id for r in given[3].collect()} | {None}
+        assert Counter(r.doc_id for r in given[4].collect()) == Counter(r.doc_id for r in left.collect())
+        assert {r.doc_id for r in P.run(spark, at).collect()} == {r.doc_id for r in left.collect()}
