@@ -19,7 +19,8 @@ form one class; classes are joined, members are counted, not paired.
 4. The index lies in parts, as many as the input's bytes ask for; each pairs the
    classes in its lists that pass the length and positional filters.  A pair is
    a candidate if a combination found it, or if the rare shingles it shares and
-   the frequent ones that it may share are enough.
+   the frequent ones that it may share are enough.  Pairs are written, and read
+   again, ``MOST`` at a time: their number in a part grows with the corpus.
 5. Candidates meet at a home, the least class among those they are paired
    with, so that a group's sets move there once, and are verified exactly.
 6. Components: alternating star contraction over the links' spanning forests,
@@ -53,6 +54,8 @@ SCHEMA_AT = "at long, pack binary, part int, block binary"
 FLAG = U(1 << 24)
 #: Postings of a part that are paired at a time.
 RANGE = 200_000
+#: Pairs that a task holds at a time (beyond, it writes what it has, or works class by class); tokens of sets, likewise.
+MOST = 2_000_000
 #: A token is frequent if at least this share of all sets hold it, and at least FLOOR of them.
 FREQUENT, FLOOR = 1 / 64, 16
 
@@ -340,96 +343,125 @@ def pack_of(left: pa.Table) -> bytes:
 
 
 def _read_postings(table: pa.Table):
-    """Postings (token, number of the class's entry, position), and entries (class, size, signature, frequent tokens, block)."""
-    posts, entries, base = [], [], 0
-    for p, block in enumerate(table.column("block").to_pylist()):
-        t, high, u, z, i, q, g, h = _unzip(block)
-        u = np.frombuffer(u, U)
+    """Per block the sorted tokens, the classes' numbers and positions; and of all classes hash, size, a block they are in, signature, frequent tokens."""
+    posts, entries = [], []
+    for block in table.column("block"):
+        t, high, u, z, i, q, g, h = _unzip(block.as_py())
         token = np.cumsum(_unplanes(t).astype(U) | (np.frombuffer(high, np.uint8).astype(U) << U(32)), dtype=U)
-        posts.append((token, (_unplanes(i) + np.uint32(base)).astype(np.int32), _unplanes(q).astype(np.int32)))
-        entries.append((u, _unplanes(z).astype(np.int64), np.frombuffer(g, U), np.frombuffer(h, np.uint8), np.full(len(u), p)))
-        base += len(u)
-    return [np.concatenate(x) for x in zip(*posts, strict=True)], [np.concatenate(x) for x in zip(*entries, strict=True)]
+        posts.append([token, _unplanes(i).astype(np.int32), _unplanes(q).astype(np.int32)])
+        g = np.frombuffer(g, U)
+        entries.append((np.frombuffer(u, U), _unplanes(z), g if g.any() else None, np.frombuffer(h, np.uint8)))
+    u = np.unique(np.concatenate([e[0] for e in entries]))
+    size, home, sig, hot = np.zeros(len(u), np.int64), np.zeros(len(u), np.int32), np.zeros(len(u) if any(e[2] is not None for e in entries) else 0, U), np.zeros(len(u), np.uint8)
+    for p, (cls, z, g, h) in enumerate(entries):  # a class may come from many packs: any stands for it
+        number = np.searchsorted(u, cls).astype(np.int32)
+        size[number], home[number], hot[number] = z, p, h
+        if g is not None:
+            sig[number] = g
+        posts[p][1], entries[p] = number[posts[p][1]], None
+    return posts, u, size, home, sig if len(sig) else None, hot
+
+
+def _lists(posts):
+    """Postings of a bounded number at a time, whole lists sorted by token; those of one posting, which pair nothing, are left out."""
+    slices = -(-sum(len(t) for t, _, _ in posts) // 1_000_000)
+    cuts = [np.searchsorted(t, np.arange(slices + 1, dtype=U) * U((1 << 40) // slices + 1)) for t, _, _ in posts]
+    for i in range(slices):
+        token, c, pos = (np.concatenate([x[j][e[i] : e[i + 1]] for x, e in zip(posts, cuts, strict=True)]) for j in range(3))
+        o = core.order(token)
+        token = token[o]
+        same = token[1:] == token[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(token) else np.zeros(0, bool)
+        o = o[keep]
+        if len(o):
+            yield token[keep], c[o], pos[o]
 
 
 class Found:
-    """Pairs (larger << 32 | smaller) and how often they were met, up to ``share``."""
+    """Pairs and how often they were met, up to ``share``: larger << 36 | smaller << 8 | times, in one array."""
 
-    def __init__(self, share: int):
-        self.share, self.keys, self.times = share, np.zeros(0, U), np.zeros(0, np.int64)
+    def __init__(self, share: int, n: int):
+        if n >> 28:
+            raise RuntimeError("a part of the index has 2 ** 28 classes or more")
+        self.share, self.packed = share, np.zeros(0, U)
         self.fresh, self.waiting = [], 0
 
-    def add(self, keys, worth: int):
-        k, n = np.unique(keys, return_counts=True)
-        self.fresh.append((k, n * worth))
-        self.waiting += len(k)
-        if self.waiting > max(500_000, len(self.keys)):
+    def add(self, x, y, worth: int):
+        self.fresh.append((np.maximum(x, y) << U(36)) | (np.minimum(x, y) << U(8)) | U(worth))
+        self.waiting += len(x)
+        if self.waiting > max(500_000, len(self.packed) // 2):
             self.merge()
 
     def merge(self):
-        keys, inverse = np.unique(np.concatenate((self.keys, *(k for k, _ in self.fresh))), return_inverse=True)
-        n = np.bincount(inverse, weights=np.concatenate((self.times, *(n for _, n in self.fresh))), minlength=len(keys))
-        self.keys, self.times, self.fresh, self.waiting = keys, np.minimum(n, self.share).astype(np.int64), [], 0
+        k = np.concatenate((self.packed, *self.fresh))
+        self.packed, self.fresh, self.waiting = k, [], 0
+        k.sort()
+        if len(k):
+            start = np.flatnonzero(np.concatenate(([True], (k[1:] ^ k[:-1]) > U(255))))
+            times = np.minimum(np.add.reduceat((k & U(255)).astype(np.uint8), start, dtype=np.uint32), self.share)
+            self.packed = (k[start] & ~U(255)) | times.astype(U)
+
+    def take(self):
+        """(larger, smaller, times) of what was found; it starts anew."""
+        self.merge()
+        k, self.packed = self.packed, np.zeros(0, U)
+        return (k >> U(36)).astype(np.int64), ((k >> U(8)) & U((1 << 28) - 1)).astype(np.int64), (k & U(255)).astype(np.uint8)
 
 
 def pairs(parts, percent, share):
-    """One part of the index: candidate pairs by the part of the larger class."""
+    """One part of the index: candidate pairs by the part of the larger class, at most about ``MOST`` at a time; in place of the pack's name, their number."""
 
     def each(table: pa.Table) -> pa.Table:
         out = ([], [], [])
         if table.column("part")[0].as_py() < 0:  # texts, which the same shuffle brings
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["part", "pack", "block"])
         names = table.column("pack").to_pylist()
-        (token, local, pos), (cls, size, sig, hot, owner) = _read_postings(table)
-        # A class may come from many packs: the first stands for it.
-        u, first, number = np.unique(cls, return_index=True, return_inverse=True)
-        size, home, sig, hot = size[first], owner[first], sig[first], hot[first]
-        sig = sig if sig.any() else None
-        o = core.order(token)
-        token, c, pos = token[o], number.astype(np.int32)[local[o]], pos[o]
-        del o, local
-        # Lists of one posting pair nothing.
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        length = np.diff(np.append(start, len(token)))
-        start, length = start[length > 1], length[length > 1]
-        upto = np.cumsum(length)
-        found, width, a = Found(share), int(size.max()) * 100 // percent + 2, 0
-        while a < len(start):
-            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RANGE, "right")))
-            at = core.ragged(start[a:b], length[a:b])
-            run = np.repeat(np.arange(b - a), length[a:b])
-            # One posting of a class in a list, the first; within a list by size: partners are those that follow, up to the largest size that can be similar.
-            key = run * len(u) + c[at]
-            o = np.argsort(key, kind="stable")
-            keep = np.sort(o[np.concatenate(([True], key[o][1:] != key[o][:-1]))])
-            at, run = at[keep], run[keep]
-            key = run * width + size[c[at]]
-            o = np.argsort(key, kind="stable")
-            key, ck, pk = key[o], c[at[o]].astype(np.int64), pos[at[o]]
-            single = (token[start[a:b]] & U(1)) == 0
-            last = np.searchsorted(key, key - size[ck] + size[ck] * 100 // percent, "right")
-            left = last - np.arange(len(key)) - 1
-            a = b
-            for kind, worth in ((True, 1), (False, share)):  # a combination has two tokens in common
-                rows = np.flatnonzero((left > 0) & (single[run[o]] == kind))
-                many, step = np.cumsum(left[rows]), 0
-                while step < len(rows):  # a bounded number of pairs at a time
-                    end = max(step + 1, int(np.searchsorted(many, (many[step - 1] if step else 0) + 300_000, "right")))
-                    i = np.repeat(rows[step:end], left[rows[step:end]])
-                    j = core.ragged(rows[step:end] + 1, left[rows[step:end]])
-                    step = end
-                    ok = _filter(ck[i], ck[j], size, pk[i], pk[j], percent, share, sig)
-                    x, y = ck[i[ok]].astype(U), ck[j[ok]].astype(U)
-                    found.add((np.maximum(x, y) << U(32)) | np.minimum(x, y), worth)
-        found.merge()
-        big, small = (found.keys >> U(32)).astype(np.int64), (found.keys & U(0xFFFFFFFF)).astype(np.int64)
-        for p, w in core.by_part((u[big] % U(parts)).astype(np.int64)):
-            x, y = big[w], small[w]
-            d = np.unique(np.concatenate((x, y)))
-            packs_, at = np.unique(home[d], return_inverse=True)
-            # Pairs in order of (larger, smaller), as steps: dense groups compress to almost nothing.
-            bi, si = np.searchsorted(d, x), np.searchsorted(d, y)
-            out[0].append(p), out[1].append(b""), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[q] for q in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si), found.times[w].astype(np.uint8), hot[d]))
+        posts, u, size, home, sig, hot = _read_postings(table)
+        found, width = Found(share, len(u)), int(size.max(initial=0)) * 100 // percent + 2
+
+        def write():
+            big, small, times = found.take()
+            for p, w in core.by_part((u[big] % U(parts)).astype(np.int64)):
+                x, y = big[w], small[w]
+                d = np.unique(np.concatenate((x, y)))
+                packs_, at = np.unique(home[d], return_inverse=True)
+                # Pairs in order of (larger, smaller), as steps: dense groups compress to almost nothing.
+                bi, si = np.searchsorted(d, x), np.searchsorted(d, y)
+                out[0].append(p), out[1].append(len(w).to_bytes(8, "little")), out[2].append(_zip(u[d], _planes(size[d]), b"".join(names[q] for q in packs_.tolist()), _planes(at), _planes(np.diff(bi, prepend=0)), _planes(si), times[w], hot[d]))
+
+        for token, c, pos in _lists(posts):
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            length = np.diff(np.append(start, len(token)))
+            upto, a = np.cumsum(length), 0
+            while a < len(start):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + RANGE, "right")))
+                at = core.ragged(start[a:b], length[a:b])
+                run = np.repeat(np.arange(b - a), length[a:b])
+                # One posting of a class in a list, the first; within a list by size: partners are those that follow, up to the largest size that can be similar.
+                key = run * len(u) + c[at]
+                o = np.argsort(key, kind="stable")
+                keep = np.sort(o[np.concatenate(([True], key[o][1:] != key[o][:-1]))])
+                at, run = at[keep], run[keep]
+                key = run * width + size[c[at]]
+                o = np.argsort(key, kind="stable")
+                key, ck, pk = key[o], c[at[o]].astype(np.int64), pos[at[o]]
+                single = (token[start[a:b]] & U(1)) == 0
+                last = np.searchsorted(key, key - size[ck] + size[ck] * 100 // percent, "right")
+                left = last - np.arange(len(key)) - 1
+                a = b
+                for kind, worth in ((True, 1), (False, share)):  # a combination has two tokens in common
+                    rows = np.flatnonzero((left > 0) & (single[run[o]] == kind))
+                    many, step = np.cumsum(left[rows]), 0
+                    while step < len(rows):  # a bounded number of pairs at a time
+                        end = max(step + 1, int(np.searchsorted(many, (many[step - 1] if step else 0) + 300_000, "right")))
+                        i = np.repeat(rows[step:end], left[rows[step:end]])
+                        j = core.ragged(rows[step:end] + 1, left[rows[step:end]])
+                        step = end
+                        ok = _filter(ck[i], ck[j], size, pk[i], pk[j], percent, share, sig)
+                        found.add(ck[i[ok]].astype(U), ck[j[ok]].astype(U), worth)
+                        if len(found.packed) > MOST:
+                            write()
+        write()
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "pack", "block"])
 
     return each
@@ -443,25 +475,38 @@ def gather(parts, percent, share):
     """
 
     def each(table: pa.Table) -> pa.Table:
-        cls, size, pack, big, small, times, hot, base = [], [], [], [], [], [], [], 0
-        for block in table.column("block").to_pylist():
-            u, z, names, at, b, s, n, h = _unzip(block)
-            u = np.frombuffer(u, U)
-            names = np.frombuffer(names, "V16")
-            cls.append(u), size.append(_unplanes(z)), pack.append(names[_unplanes(at)]), times.append(np.frombuffer(n, np.uint8)), hot.append(np.frombuffer(h, np.uint8))
-            big.append(np.cumsum(_unplanes(b).astype(np.int64)) + base), small.append(_unplanes(s).astype(np.int64) + base)
-            base += len(u)
         out = ([], [], [])
-        if cls:
+        total = sum(int.from_bytes(n, "little") for n in table.column("pack").to_pylist())
+        passes = max(1, -(-total // MOST))
+        for i in range(passes):  # all pairs of a larger class in one pass
+            cls, size, pack, big, small, times, hot, base = [], [], [], [], [], [], [], 0
+            for block in table.column("block"):
+                u, z, names, at, b, s, n, h = _unzip(block.as_py())
+                u, z, at, b, s = np.frombuffer(u, U), _unplanes(z), _unplanes(at), np.cumsum(_unplanes(b).astype(np.int64)), _unplanes(s).astype(np.int64)
+                n, h = np.frombuffer(n, np.uint8), np.frombuffer(h, np.uint8)
+                if passes > 1:
+                    mine = (core.mix(u) % U(passes) == U(i))[b]
+                    b, s, n = b[mine], s[mine], n[mine]
+                    used = np.zeros(len(u), bool)
+                    used[b] = used[s] = True
+                    place = np.cumsum(used) - 1
+                    b, s, u, z, at, h = place[b], place[s], u[used], z[used], at[used], h[used]
+                cls.append(u), size.append(z), pack.append(np.frombuffer(names, "V16")[at]), times.append(n), hot.append(h)
+                big.append(b + base), small.append(s + base)
+                base += len(u)
+            if not base:
+                continue
             cls, size, pack, big, small, times, hot = (np.concatenate(x) for x in (cls, size, pack, big, small, times, hot))
             u, first, number = np.unique(cls, return_index=True, return_inverse=True)
             pack, size, hot = pack[first], size[first].astype(np.int64), hot[first].astype(np.int64)
             key, inverse = np.unique((number[big].astype(U) << U(32)) | number[small].astype(U), return_inverse=True)
             times = np.bincount(inverse, weights=times)
+            del cls, number, first, inverse
             big, small = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
             must = np.minimum(_ceil(percent, size[big] + size[small], 100 + percent), share)
             ok = times + np.minimum(hot[big], hot[small]) >= must
             big, small = big[ok], small[ok]
+            del key, times, must, ok
             first = np.flatnonzero(np.concatenate(([True], big[1:] != big[:-1]))) if len(big) else big
             home = np.repeat(small[first], np.diff(np.append(first, len(big))))  # the least class that the larger one is paired with
             for p, w in core.by_part((u[home] % U(parts)).astype(np.int64)):
@@ -514,19 +559,30 @@ def verify(percent):
     """The candidates of a part of homes, verified: links as (a, b, in_forest)."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        cls, size, tokens = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, U)]
-        for block in right.column("block").to_pylist():
-            c, z, low, high, place = _unzip(block)
+        # Tokens are numbered: first all that occur, block by block, then the sets.
+        known, waiting = np.zeros(0, U), []
+
+        def steps(low, high):
+            return np.cumsum(_unplanes(low).astype(U) | (_unplanes(high).astype(U) << U(32)), dtype=U)
+
+        for block in right.column("block"):
+            _, _, low, high, _ = _unzip(block.as_py())
+            waiting.append(steps(low, high))
+            if sum(map(len, waiting)) > max(MOST, len(known)):
+                known, waiting = np.unique(np.concatenate((known, *waiting))), []
+        known, waiting = np.unique(np.concatenate((known, *waiting))), []
+        cls, size, tokens = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for block in right.column("block"):
+            c, z, low, high, place = _unzip(block.as_py())
             z = _unplanes(z).astype(np.int64)
-            u = np.cumsum(_unplanes(low).astype(U) | (_unplanes(high).astype(U) << U(32)), dtype=U)
-            place = np.cumsum(_unplanes(place).astype(np.int64)) - np.repeat(np.arange(len(z)), z) * len(u)
-            cls.append(np.frombuffer(c, U)), size.append(z), tokens.append(u[place])
+            n = np.searchsorted(known, steps(low, high)).astype(np.int32)
+            place = np.cumsum(_unplanes(place).astype(np.int64)) - np.repeat(np.arange(len(z)), z) * len(n)
+            cls.append(np.frombuffer(c, U)), size.append(z), tokens.append(n[place])
         cls, size, tokens = np.concatenate(cls), np.concatenate(size), np.concatenate(tokens)
         at = np.cumsum(size) - size
         u, first = np.unique(cls, return_index=True)
         size, at = size[first], at[first]
-        n_tokens, tokens = np.unique(tokens, return_inverse=True)
-        mark = np.zeros(len(n_tokens) + 1, bool)
+        mark = np.zeros(len(known) + 1, bool)
         bs, as_ = [], []
         for block in left.column("block").to_pylist():
             c, b, s = _unzip(block)

@@ -606,3 +606,28 @@ def test_core():
     got = core.distinct_in(owner, tokens)
     assert list(zip(owner[got].tolist(), tokens[got].tolist(), strict=True)) == sorted(set(zip(owner.tolist(), tokens.tolist(), strict=True)))
     assert list(core.by_part(np.zeros(0, np.int64))) == []
+
+
+def test_ngram_pairs_in_bounded_memory():
+    """6 million pairs in one list of the index: none is lost, and neither step holds them all."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 3500
+    cls = core.mix(np.arange(1, n + 1, dtype=np.uint64))
+    got = [(np.full(n, 3 << 25, np.uint64), np.arange(n), np.zeros(n, np.int64))]
+    blocks = ngram_join.blocks_of(got, (cls, np.full(n, 100), np.full(n, 255), np.zeros(n, np.uint64)), 1)
+    table = pa.table([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b"x" * 16 for _ in blocks], pa.binary()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "pack", "block"])
+    peaks, total = [], 0
+    for step in (ngram_join.pairs(1, 60, ngram_join.SHARE), ngram_join.gather(1, 60, ngram_join.SHARE)):
+        tracemalloc.start()
+        table = step(table)
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    for p, block in zip(table.column("part").to_pylist(), table.column("block").to_pylist(), strict=True):
+        if p >= 0:
+            total += len(ngram_join._unplanes(ngram_join._unzip(block)[1]))
+    assert total == n * (n - 1) // 2
+    assert max(peaks) < 450, peaks
