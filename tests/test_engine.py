@@ -274,3 +274,27 @@ def test_inbox_and_command_line(spark, tmp_path, capsys):
     __main__.main([])
     assert "route_documents" in capsys.readouterr().out
     assert shared.folder(spark).startswith(shared.base(spark) + "/")
+
+
+def test_char_similar(spark):
+    """Whole texts, against brute force; alphabets of one word of bits and of many, sets that differ by level, copies."""
+    import random
+
+    from loomwright.operators.char_sets import char_sets, char_similar, differ
+
+    rng = random.Random(3)
+    texts = [None, "", "a", "aa", "x" * 600 + "é", "x" * 700]
+    for size, first, spread in ((12, 97, 26), (22, 97, 40), (45, 97, 60), (70, 0x4E00, 100), (150, 0x4E00, 400), (30, 0x1F600, 40)):
+        for _ in range(8):
+            base = rng.sample([chr(first + i) for i in range(spread)], size)
+            for change in (0, 0, 1, 1, 2, 3, 4, 6, 8):
+                t = base[change // 2 :] + [chr(first + spread + rng.randrange(9)) for _ in range(change - change // 2)]
+                rng.shuffle(t)
+                texts.append("".join(t) * 3)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for percent in (95, 80):
+        got = {r.doc_id: (r.class_id, r.n_similar) for r in char_similar(char_sets(d), percent).collect()}
+        sets = {i: frozenset(t) for i, t in enumerate(texts) if t}
+        want = {i: (min(j for j, o in sets.items() if o == s), sum(j != i and 100 * len(s & o) > percent * len(s | o) for j, o in sets.items())) for i, s in sets.items()}
+        assert got == want and any(n > 3 for _, n in got.values())
+    assert [differ(z, 95) for z in (1, 19, 20, 38, 39)] == [0, 0, 1, 1, 2]
