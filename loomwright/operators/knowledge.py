@@ -59,6 +59,7 @@ def containing(docs: DataFrame, words: DataFrame, text: str, word: str) -> DataF
     dimension that is broadcast as such) reads each text once, however many
     words there are; without its library, plain searches do.  Empty words are in no text.
     """
+    The rows of ``words`` are broadcast, too: shuffled, all texts with a word would go to one task.
     held = [r[0] for r in words.select(word).where(F.length(word) > 0).distinct().collect()]
     spark = docs.sparkSession
     every = spark.sparkContext.broadcast(held)
@@ -90,7 +91,7 @@ def containing(docs: DataFrame, words: DataFrame, text: str, word: str) -> DataF
     while hit in docs.columns or hit in words.columns:
         hit += "_"
     got = docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields, *type(docs.schema)().add(hit, "string").fields]))
-    return got.join(dimension(words), F.col(hit) == F.col(word)).drop(hit)
+    return got.join(F.broadcast(words), F.col(hit) == F.col(word)).drop(hit)
 
 
 def prominent(docs: DataFrame, names: DataFrame, rules: Rules) -> DataFrame:
