@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import Rules
+from ..shared import written
 from ..sources.readers import company_keys, keywords
 from .graph import sector_topics
 
@@ -187,12 +188,12 @@ def snippet(docs: DataFrame, words: list[str], width: int = 80, lead: int = 20,
 
 
 def far_pairs(values: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """keys -> n_pairs: pairs of positive values with equal keys that differ by more than ``share`` of the larger.
+    """keys -> n_pairs: pairs of positive values with equal keys that differ by more than ``share`` of the larger; values may come with their number, n.
 
     Pairs are counted, not made: over distinct values with their counts, a
     running total in order of value tells how many lie far below.
     """
-    d = values.where("value > 0").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    d = values.where("value > 0").groupBy(*keys, "value").agg((F.sum("n") if "n" in values.columns else F.count("*")).alias("n"))
     lows = d.select(*keys, F.col("value").alias("at"), F.col("n").alias("low"), F.lit(0).alias("high"))
     highs = d.select(*keys, (F.col("value") * (1 - share)).alias("at"), F.lit(0).alias("low"), F.col("n").alias("high"))
     w = Window.partitionBy(*keys).orderBy("at", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -206,10 +207,15 @@ def numeric_contradictions(values: DataFrame, share: float = 0.3) -> DataFrame:
     A pair contradicts if its values differ by more than ``share`` of the
     larger, it isn't from one page, and what its statements are about (a string;
     null or empty: nothing named) isn't named and different on both sides.
-    Counted by inclusion and exclusion over ``far_pairs``.
+    Counted by inclusion and exclusion over ``far_pairs``, whose terms read
+    values that are mined and counted once.
     """
     keys = ["entity", "metric"]
     page = ["page"] if "page" in values.columns else []
+    beside = [*page, *(["about"] if "about" in values.columns else [])]
+    values = values.where("value > 0").groupBy(*keys, *beside, "value").agg(F.count("*").alias("n"))
+    if beside:
+        values = written(values)
     terms = [(values, [], 1)] + [(values, page, -1)] * len(page)
     if "about" in values.columns:
         named = values.where(F.length("about") > 0)
@@ -218,7 +224,7 @@ def numeric_contradictions(values: DataFrame, share: float = 0.3) -> DataFrame:
     for v, more, sign in terms:
         t = far_pairs(v, keys + more, share).select(*keys, (F.col("n_pairs") * sign).alias("n_pairs"))
         counted = t if counted is None else counted.unionByName(t)
-    d = values.where("value > 0").groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    d = values.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     return d.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.count("*").alias("n_distinct")).join(counted.groupBy(*keys).agg(F.sum("n_pairs").alias("n_pairs")), keys).where("n_pairs > 0")
 
 
