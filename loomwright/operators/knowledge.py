@@ -282,11 +282,12 @@ def statements(pages: DataFrame, around: int = 30, units=UNITS, firms: str = FIR
 
 def attributes(pages: DataFrame, names: tuple[str, ...] = ("行业", "领域", "类型", "地位", "定位")) -> DataFrame:
     """(entity, page, attribute, value) of ``name: value`` lines."""
-    parts = [pages.select("entity", "page", F.lit(n).alias("attribute"), F.explode(F.regexp_extract_all("content", F.lit(rf"(?d){n}[：:]\s*(.+)"), F.lit(1))).alias("value")) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("value", F.trim("value"))
+
+    def of(n):
+        return F.transform(F.regexp_extract_all("content", F.lit(rf"(?d){n}[：:]\s*(.+)"), F.lit(1)), lambda v: F.struct(F.lit(n).alias("attribute"), F.trim(v).alias("value")))
+
+    found = [of(n) for n in names]
+    return pages.select("entity", "page", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("x")).select("entity", "page", "x.attribute", "x.value")
 
 
 # ---- dedup and cleaning
