@@ -59,8 +59,8 @@ def containing(docs: DataFrame, words: DataFrame, text: str, word: str) -> DataF
     An automaton of the words (an entity graph's names and keywords, a
     dimension that is broadcast as such) reads each text once, however many
     words there are; without its library, plain searches do.  Empty words are in no text.
-    """
     The rows of ``words`` are broadcast, too: shuffled, all texts with a word would go to one task.
+    """
     held = [r[0] for r in words.select(word).where(F.length(word) > 0).distinct().collect()]
     spark = docs.sparkSession
     every = spark.sparkContext.broadcast(held)
@@ -382,12 +382,13 @@ def question_matches(questions: DataFrame, docs: DataFrame, least: float = 0.3)
 def lint(pages: DataFrame, required: tuple[str, ...] = ("entity", "last_updated", "sources_count", "tags", "title", "type")) -> DataFrame:
     """(level, category, path) issues of front matter, timelines and assessments."""
     gone = F.filter(F.array(*(F.lit(k) for k in required)), lambda k: ~F.map_contains_key("meta", k))
-    a = pages.where(F.size(gone) > 0).select(F.lit("WARNING").alias("level"), F.lit("frontmatter").alias("category"), "path")
-    b = pages.where(F.size(T.timeline(F.col("content"))) == 0).select(F.lit("INFO").alias("level"), F.lit("empty timeline").alias("category"), "path")
     text = F.trim(T.section(F.col("content"), "综合评估"))
-    c = pages.where((F.length(text) <= 50) | text.contains("待积累")).select(F.lit("INFO").alias("level"), F.lit("no assessment").alias("category"), "path")
-    d = pages.where(T.mojibake(F.col("content"))).select(F.lit("ERROR").alias("level"), F.lit("mojibake").alias("category"), "path")
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    found = [
+        (F.size(gone) > 0, "WARNING", "frontmatter"), (T.no_timeline(F.col("content")), "INFO", "empty timeline"),
+        ((F.length(text) <= 50) | text.contains("待积累"), "INFO", "no assessment"), (T.mojibake(F.col("content")), "ERROR", "mojibake"),
+    ]
+    issues = F.array(*(F.when(bad, F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"))) for bad, level, category in found))
+    return pages.select("path", F.explode(F.array_compact(issues)).alias("x")).select("x.level", "x.category", "path")
 
 
 def lint_summary(issues: DataFrame) -> DataFrame:
